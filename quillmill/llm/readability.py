@@ -31,10 +31,11 @@ ENGLISH_WORDS = "the of and was in for a to is it by that which had with were pe
 #: Abbreviations whose full stop ends no sentence. (fixed values)
 ABBREVIATIONS = "St Mt Dr Mr Mrs Ms No Nos vol vols feat ft c ca tr tp TP pp p vs etc e.g i.e al Jr Sr Prof Gen Col Capt Lt Rev op cf ed eds approx Inc Ltd Co sđd Th TS GS PGS ThS".split()
 
-_VI = re.compile(r"(?<!\w)(?:" + "|".join(VIETNAMESE_WORDS) + r")(?!\w)")
-_EN = re.compile(r"(?<!\w)(?:" + "|".join(ENGLISH_WORDS) + r")(?!\w)", re.I)
-_ABBR = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, ABBREVIATIONS)) + r")\.")
+_VI, _EN = frozenset(VIETNAMESE_WORDS), frozenset(ENGLISH_WORDS)
+_SHORT_WORD = re.compile(r"(?<!\w)(e\.g|i\.e|[^\W\d_]{1,6})\.")
+_ABBREVIATED = frozenset(ABBREVIATIONS)
 _NUMBER = re.compile(r"(?<=\d)[.,:](?=\d)")
+_MARKUP = re.compile(r"[*_#=]+")
 _LIST = re.compile(r"(?m)^\s*(?:\d{1,3}[.)]|[-•])\s.*$")
 _END = re.compile(r"[.!?…][\"”»’)\]]*$")
 _SENTENCE = re.compile(r"[.!?…]+[\"”»’)]*(?:\s+|$)")
@@ -48,7 +49,7 @@ def running_text(text: str) -> str:
     """Prose only: markup, reference marks, list lines, headings and footers without an end mark go."""
     text = without_marks(unicodedata.normalize("NFC", text))
     text = html.unescape(text).replace("\xa0", " ")
-    text = _LIST.sub("", re.sub(r"[*_#=]+", " ", text))
+    text = _LIST.sub("", _MARKUP.sub(" ", text))
     lines = [s for s in (x.strip() for x in text.splitlines()) if s]
     out, after_end = [], True
     for i, line in enumerate(lines):
@@ -62,12 +63,13 @@ def running_text(text: str) -> str:
 
 
 def sentences(prose: str) -> list[str]:
-    prose = _NUMBER.sub("", _ABBR.sub(lambda m: m.group(1).replace(".", ""), prose))
+    prose = _NUMBER.sub("", _SHORT_WORD.sub(lambda m: m[1].replace(".", "") if m[1] in _ABBREVIATED else m[0], prose))
     return [s for s in _SENTENCE.split(prose) if any(map(str.isalnum, s))]
 
 
 def is_vietnamese(prose: str) -> bool:
-    return len(_VI.findall(prose)) > len(_EN.findall(prose))
+    words = prose.lower().split()
+    return sum(w in _VI for w in words) > sum(w in _EN for w in words)
 
 
 @lru_cache(maxsize=200_000)
@@ -136,9 +138,8 @@ def joined_syllables(docs: DataFrame, text: str = "text", min_count: int = 5, mi
 
         for pdf in batches:
             for t in pdf.t:
-                prose = running_text(t)
-                if is_vietnamese(prose):
-                    for s in sentences(prose):
+                if is_vietnamese(t):
+                    for s in sentences(running_text(t)):
                         for clause in _CLAUSE.split(s):
                             words = clause.split()
                             tally.update((w, "") for w in words if w.islower())
