@@ -6,10 +6,10 @@ import html
 import re
 import unicodedata
 
-#: Letters with a stroke that do not decompose. (fixed values)
-_STROKED = str.maketrans({"đ": "d", "Đ": "D"})
+#: Blocks of combining marks. (fixed values)
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 #: Characters without width, dropped inside words. (fixed values)
-_NO_WIDTH = re.compile("[­​-‏⁠﻿]")
+_NO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|&lt;/?[a-zA-Z][^<>&]*&gt;", re.S)
 #: Bracketed reference marks: numbers with an optional letter, notes and editor's marks.
 REF_MARK = r"\[(?:\d{1,3}[a-z]?|[a-z]|note \d+|nb \d+|edit|citation needed|cần dẫn nguồn|sửa)\]"
@@ -22,8 +22,8 @@ def fold_text(text: str) -> str:
     """NFKD without marks, stroked d to d, lower case, nothing of no width."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", _NO_WIDTH.sub("", text).translate(_STROKED))
-    return "".join([c for c in text if not unicodedata.combining(c)]).lower()
+    text = unicodedata.normalize("NFKD", _NO_WIDTH.sub("", text)).replace("đ", "d").replace("Đ", "D")
+    return _COMBINING.sub("", text).lower()
 
 
 def _blank(match: re.Match) -> str:
