@@ -205,7 +205,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     graded = cut_lineage(texts.mapInPandas(measure, f"d {kind}, lang string, grade double"))
     rated = labels.filter(F.col("level").between(1, LEVELS)).select(F.col(doc_id).alias("d"), F.col("level").cast("int").alias("level"), *[c for c in ("rater",) if c in labels.columns]).distinct()
     rated = rated.join(graded, "d").filter(F.col("grade") > float("-inf"))
-    sample = rated.orderBy(F.xxhash64("d", "level")).limit(max_ratings).select("lang", "grade", "level").toPandas()
+    rated = rated.withColumn("h", F.pmod(F.xxhash64("d", "level"), F.lit(1 << 40)))
+    share = min(1.0, 1.5 * max_ratings / max(1, labels.count()))
+    sample = rated.filter(F.col("h") < int(share * (1 << 40))).orderBy("h").limit(max_ratings).select("lang", "grade", "level").toPandas()
     level = F.lit(None).cast("int")
     for lang in ("en", "vi"):
         own = sample[sample.lang == lang]
