@@ -40,3 +40,96 @@ def retrieval_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     out = ranked(spark, d).groupBy("query_id").agg(first.alias("first_hit_rank"))
     hit = lambda k: F.coalesce(F.col("first_hit_rank") <= k, F.lit(False)).cast("int")
     return out.select("query_id", "first_hit_rank", hit(1).alias("hit_1"), hit(5).alias("hit_5"), F.round(F.coalesce(1.0 / F.col("first_hit_rank"), F.lit(0.0)), 6).alias("rr"))
+
+
+@query(_SCORED + "SELECT query_id, vec_id, rnk::INT AS rnk, score FROM r WHERE rnk <= 10")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d).filter("rnk <= 10").select("query_id", "vec_id", "rnk", "score")
+
+
+def hard_negatives(ranks: DataFrame, low: int = 10, high: int = 30, wide: tuple[int, int] = (6, 40), take: int = 4) -> DataFrame:
+    """Negatives of other labels: up to ``take`` of the ranks low..high in md5 order if there are 3 or more, else the first of the wider ranks."""
+    from quillmill.functions.text import unit_hash
+
+    cand = ranks.filter((F.col("label") != F.col("q_label")) & F.col("rnk").between(*wide)).withColumn("inner", F.col("rnk").between(low, high))
+    per = Window.partitionBy("query_id")
+    cand = cand.withColumn("n_inner", F.sum(F.col("inner").cast("int")).over(per))
+    use_inner = F.col("n_inner") >= 3
+    key = F.when(use_inner, unit_hash(F.lit("42"), F.col("query_id").cast("string"), F.col("vec_id").cast("string"))).otherwise(F.col("rnk").cast("double"))
+    cand = cand.filter(F.when(use_inner, F.col("inner")).otherwise(F.lit(True)))
+    return cand.withColumn("pick", F.row_number().over(per.orderBy(key, "vec_id"))).filter(F.col("pick") <= take)
+
+
+SQL_UNIT = "(('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(_SCORED + f""", c6 AS (SELECT *, rnk BETWEEN 10 AND 30 AS inn FROM r WHERE label <> q_label AND rnk BETWEEN 6 AND 40),
+n AS (SELECT *, sum(inn::INT) OVER (PARTITION BY query_id) AS k FROM c6),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN k >= 3 THEN {SQL_UNIT.format("'42|' || query_id || '|' || vec_id")} ELSE rnk::DOUBLE END, vec_id) AS pick FROM n WHERE k < 3 OR inn)
+SELECT query_id, vec_id, rnk::INT AS rnk, pick::INT AS pick, score FROM p WHERE pick <= 4""")
+def hard_negative_mining(spark: SparkSession, d: str) -> DataFrame:
+    return hard_negatives(ranked(spark, d)).select("query_id", "vec_id", "rnk", "pick", "score")
+
+
+_FIRST = _SCORED + ", f AS (SELECT query_id, min(rnk) FILTER (WHERE label = q_label) AS k FROM r GROUP BY query_id)"
+
+
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    return ranked(spark, d).groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rnk"))).alias("k"))
+
+
+@query(_FIRST + """, b AS (SELECT CASE WHEN k = 1 THEN '1' WHEN k <= 5 THEN '2-5' WHEN k <= 10 THEN '6-10' WHEN k <= 30 THEN '11-30' WHEN k > 30 THEN '>30' ELSE 'none' END AS bucket FROM f)
+SELECT bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS pct FROM b GROUP BY bucket""")
+def rank_histogram(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    bucket = F.when(k == 1, "1").when(k <= 5, "2-5").when(k <= 10, "6-10").when(k <= 30, "11-30").when(k > 30, ">30").otherwise("none")
+    n = first_hits(spark, d).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+
+
+@query(_FIRST + f"SELECT query_id, k::INT AS k FROM f WHERE k IS DISTINCT FROM 1 OR {SQL_UNIT.format('query_id::VARCHAR')} < 0.35")
+def rank1_retention_35pct(spark: SparkSession, d: str) -> DataFrame:
+    """Of the queries whose first result hits, a hash keeps 35 %; all others stay."""
+    from quillmill.functions.text import unit_hash
+
+    return first_hits(spark, d).filter(~F.col("k").eqNullSafe(F.lit(1)) | (unit_hash(F.col("query_id").cast("string")) < 0.35)).select("query_id", "k")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
+SELECT vec_id, round(n, 6) AS norm, round(sqrt(list_sum(list_transform(v, lambda x: (x / greatest(n, 1e-12)) * (x / greatest(n, 1e-12))))), 6) AS unit_norm, (len(v) = 64) AS right_size FROM n""")
+def l2_normalize_check(spark: SparkSession, d: str) -> DataFrame:
+    v = as_double(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(norm(l2_unit(v)), 6).alias("unit_norm"), (F.size(v) == 64).alias("right_size"))
+
+
+@query("""SELECT DISTINCT __id__ AS id, len(vector)::INT AS dims, vector IS NULL AS missing, coalesce(round(list_sum(list_transform(list_filter(vector[1:48], lambda x: isfinite(x)), lambda x: x::DOUBLE)), 4), 0.0)::DOUBLE AS sum_48 FROM vdb_chunks""")
+def vector_pad_truncate(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors brought to 48 dimensions, a missing one to zeros; checked by their finite sum."""
+    fitted = fit_dims(as_double(F.col("vector")), 48)
+    finite = F.filter(fitted, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    total = F.round(F.aggregate(finite, F.lit(0.0), lambda s, x: s + x), 4)
+    return table(spark, d, "vdb_chunks").select(F.col("__id__").alias("id"), F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"), F.col("vector").isNull().alias("missing"), total.alias("sum_48")).distinct()
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id // 4 AS batch, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.batch, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) / 0.05 AS logit FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
+m AS (SELECT batch, vec_id, min_by(logit, other) AS pos, ln(sum(exp(logit))) AS lse FROM s GROUP BY batch, vec_id)
+SELECT batch, round(avg(lse - pos), 6) AS loss FROM m GROUP BY batch""")
+def infonce_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Contrastive loss of batches of four: the next vector of a batch is the positive, temperature 0.05."""
+    e = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("batch"), as_double(F.col("embedding")).alias("v"))
+    b = e.select("batch", F.col("vec_id").alias("other"), F.col("v").alias("w"))
+    s = e.join(b, "batch").filter("vec_id <> other").withColumn("logit", cosine(F.col("v"), F.col("w")) / 0.05)
+    m = s.groupBy("batch", "vec_id").agg(F.min_by("logit", "other").alias("pos"), F.log(F.sum(F.exp("logit"))).alias("lse"))
+    return m.groupBy("batch").agg(F.round(F.avg(F.col("lse") - F.col("pos")), 6).alias("loss"))
+
+
+@query(_FIRST + """SELECT q_label AS label, count(*) AS queries, round(avg((k <= 1)::INT), 4) AS hit_1, round(avg((k <= 3)::INT), 4) AS hit_3, round(avg((k <= 5)::INT), 4) AS hit_5, round(avg((k <= 10)::INT), 4) AS hit_10, round(avg(coalesce(1.0 / k, 0)), 4)::DOUBLE AS mrr
+FROM f JOIN (SELECT DISTINCT query_id, q_label FROM q) USING (query_id) GROUP BY GROUPING SETS ((q_label), ())""")
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    """Hit rates and mean reciprocal rank by label and overall."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    k = F.coalesce(F.col("k"), F.lit(1 << 30))
+    rate = lambda n: F.round(F.avg((k <= n).cast("int")), 4).alias(f"hit_{n}")
+    mrr = F.round(F.avg(F.coalesce(1.0 / F.col("k"), F.lit(0.0))), 4).alias("mrr")
+    return first_hits(spark, d).join(labels, "query_id").rollup("label").agg(F.count("*").alias("queries"), rate(1), rate(3), rate(5), rate(10), mrr)
