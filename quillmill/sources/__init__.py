@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers and writers of the formats the engine takes in and gives out."""
