@@ -131,10 +131,12 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_cell(home: np.ndarray, home_ids: np.ndarray, visit: np.ndarray, visit_ids: np.ndarray, k: int, floor: float | None, turn: np.ndarray, tile: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def search_cell(home: np.ndarray, home_ids: np.ndarray, visit: np.ndarray, visit_ids: np.ndarray, k: int, floor: float | None, turn: np.ndarray, known: np.ndarray | None = None, tile: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """k best of each resident among residents and visitors, and of each visitor among residents.
 
-    Returns two record arrays (q, d, c); a ``d`` at or beyond the number of residents is a visitor.
+    ``known`` holds a similarity that k other vectors of each visitor are known to reach; what lies below it is
+    of no use to that visitor. Returns two record arrays (q, d, c); a ``d`` at or beyond the number of
+    residents is a visitor.
     """
     nh = len(home)
     centre = home.mean(axis=0)
@@ -162,6 +164,8 @@ def search_cell(home: np.ndarray, home_ids: np.ndarray, visit: np.ndarray, visit
                 need = np.partition(exact, 3, axis=1)[:, 3] - 1e-5
             else:
                 need = np.full(b - a, least - 1e-6)
+            if back is not None and known is not None:
+                need = np.maximum(need, known[a:b] - 1e-5)
             mask = bound >= need[:, None]
             if reverse is not None:
                 mask |= bound >= reverse[None, :]
@@ -222,6 +226,21 @@ def fit_centroids(sample: np.ndarray, cells: int, seed: int = 11) -> np.ndarray:
     return cent
 
 
+def reached_in_chunk(x: np.ndarray, ids: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
+    """For each vector a similarity that k others of its cell in this chunk reach; -2 where there are fewer. Repeated ids count once."""
+    out = np.full(len(x), -2.0, dtype=np.float32)
+    _, one = np.unique(ids, return_index=True)
+    one = one[np.argsort(cell[one], kind="stable")]
+    cuts = np.flatnonzero(np.r_[True, cell[one][1:] != cell[one][:-1], True])
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > k:
+            v = x[one[a:b]]
+            s = v @ v.T
+            np.fill_diagonal(s, -2)
+            out[one[a:b]] = np.partition(s, b - a - k, axis=1)[:, b - a - k]
+    return out
+
+
 def usable_vectors(df: DataFrame, vec_id: str, vector: str, dims: int) -> DataFrame:
     v = F.col(vector)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -240,7 +259,7 @@ def nearest_vectors(
     cell_rows: int = 1500,
     sample_rows: int = 20_000,
     max_cells: int = 20_000,
-    chunk_rows: int = 40_000,
+    chunk_rows: int = 60_000,
 ) -> DataFrame:
     """Columns ``id, neighbour, cosine, rank``: the ``k`` most similar other vectors of every usable vector.
 
@@ -307,17 +326,20 @@ def nearest_vectors(
                 part = np.argpartition(-dots, probes - 1, axis=1)[:, :probes] if probes < len(cent) else np.tile(np.arange(len(cent)), (len(dots), 1))
                 order = np.argsort(-np.take_along_axis(dots, part, 1), axis=1, kind="stable")
                 near[s : s + 4096] = np.take_along_axis(part, order, 1)
+            reached = reached_in_chunk(x, np.asarray(ids.to_pylist()), near[:, 0], k) if min_cosine is None else np.empty(0, np.float32)
             cell, role = near.ravel(), np.tile(np.arange(probes) > 0, len(x))
             row = np.repeat(np.arange(len(x)), probes)
             order = np.lexsort((role, cell))
             cell, role, row = cell[order], role[order], row[order]
             cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (role[1:] != role[:-1]), True])
-            names, vecs = [], []
+            names, vecs, least = [], [], []
             for a, b in zip(cuts, cuts[1:]):
                 names.append(ids.take(pa.array(row[a:b])).to_pylist())
                 vecs.append(x[row[a:b]].tobytes())
+                least.append(reached[row[a:b]].tobytes() if len(reached) and role[a] else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[cuts[:-1]], pa.int32()), pa.array(role[cuts[:-1]], pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array(vecs, pa.binary())], names=["cell", "visitor", "ids", "vecs"]
+                [pa.array(cell[cuts[:-1]], pa.int32()), pa.array(role[cuts[:-1]], pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array(vecs, pa.binary()), pa.array(least, pa.binary())],
+                names=["cell", "visitor", "ids", "vecs", "reached"],
             )
 
         rows = 0
@@ -332,17 +354,19 @@ def nearest_vectors(
             yield from flush()
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = []
+        sides, known = [], None
         for visitor in (False, True):
             part = pdf[pdf.visitor == visitor]
             ids = np.concatenate([np.asarray(x, dtype=object) for x in part.ids]) if len(part) else np.empty(0, dtype=object)
             x = np.frombuffer(b"".join(part.vecs), dtype=np.float32).reshape(-1, dims)
             _, first = np.unique(ids.astype(str), return_index=True)  # repeated rows are one
             sides += [x[first], ids[first].astype(str)]
+            if visitor and min_cosine is None:
+                known = np.frombuffer(b"".join(part.reached), dtype=np.float32)[first]
         home, home_ids, visit, visit_ids = sides
         if not len(home):
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
-        own, guest = search_cell(home, home_ids, visit, visit_ids, k, min_cosine, shared.value[1])
+        own, guest = search_cell(home, home_ids, visit, visit_ids, k, min_cosine, shared.value[1], known)
         ids = np.concatenate([home_ids, visit_ids])
         return pd.DataFrame(
             {
@@ -352,10 +376,10 @@ def nearest_vectors(
             }
         )
 
-    dealt = searched.mapInArrow(deal, "cell int, visitor boolean, ids array<string>, vecs binary")
+    dealt = searched.mapInArrow(deal, "cell int, visitor boolean, ids array<string>, vecs binary, reached binary")
     hits = dealt.groupBy("cell").applyInPandas(search, "id string, neighbour string, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
-    hits = hits.dropDuplicates(["id", "neighbour"]) if visits else hits
+    hits = hits.repartition("id").dropDuplicates(["id", "neighbour"])  # one shuffle serves this and the window
     found = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
     return found if copies is None else found.unionByName(copies)
 
