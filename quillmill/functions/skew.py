@@ -11,10 +11,11 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", max
 
     Keys that hold more than ``1/max_hot`` of the rows of ``big`` number fewer than ``max_hot``, so their
     rows of ``small`` are a set of proven size and are broadcast; the rows of ``big`` with such a key are
-    joined where they lie. All other keys go through an ordinary shuffled join.
+    joined where they lie. All other keys go through an ordinary shuffled join. ``big`` is read several
+    times, so its lineage should be short.
     """
     total = big.count() if total is None else total
-    if total < 100 * max_hot:  # a hot key then holds fewer rows than one task handles anyway
+    if total < 2000 * max_hot:  # all rows of a hot key are then no more than one task handles anyway
         return big.join(small, key, how)
     hot = [r[0] for r in big.groupBy(key).count().filter(F.col("count") > total / max_hot).select(key).collect()]
     hot = [k for k in hot if k is not None]
