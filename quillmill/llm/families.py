@@ -24,19 +24,25 @@ def families(records: DataFrame, record_id: str, keys: list[str]) -> DataFrame:
     """Columns ``record_id, family``: records that share a value of a key column, also through others.
 
     Null keys link nothing; a record without any key is a family of its own. A repeated ``record_id`` is one
-    record. The family is named by its smallest key. Work is on distinct keys, not on pairs of records: the
+    record. The family is named by one of its keys. Work is on distinct keys, not on pairs of records: the
     keys of one record are linked to its first key, which leaves a graph over keys that holds every link.
     """
     tagged = [F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)]
     nodes = records.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("_r"), F.array_compact(F.array(*tagged)).alias("_k"))
     nodes = nodes.withColumn("_first", F.coalesce(F.try_element_at("_k", F.lit(1)), F.concat(F.lit("r:"), F.col("_r").cast("string"))))
-    edges = nodes.select(F.col("_first").alias("a"), F.explode("_k").alias("b")).filter("a != b").distinct()
+    own = cut_lineage(nodes.select("_r", "_first").distinct())
+    edges = cut_lineage(nodes.select(F.col("_first").alias("a"), F.explode("_k").alias("b")).filter("a != b").distinct())
     # the rows of one record id may carry different keys: they are linked too
-    own = nodes.select("_r", "_first").distinct()
     several = own.groupBy("_r").agg(F.min("_first").alias("_lo"), F.max("_first").alias("_hi")).filter("_lo != _hi").select(F.col("_r").alias("_q"), "_lo")
     repeated = own.join(several, F.col("_r") == F.col("_q")).select(F.col("_lo").alias("a"), F.col("_first").alias("b"))
-    comp = connected_components(edges.unionByName(repeated))
     one = own.groupBy("_r").agg(F.min("_first").alias("node"))
+    if len(keys) == 2:  # a second key that stands with one first key links nothing and leads to that key
+        ends = edges.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+        edges = hot_join(edges, ends.filter("lo != hi").select("b"), "b")
+        second = F.col("node").startswith("1:")
+        led = hot_join(one.filter(second), ends.select(F.col("b").alias("node"), "lo"), "node", how="left")
+        one = one.filter(~second).unionByName(led.select("_r", F.coalesce("lo", "node").alias("node")))
+    comp = connected_components(edges.unionByName(repeated.filter("a != b")))
     out = hot_join(one, comp, "node", how="left")
     return out.select(F.col("_r").alias(record_id), F.coalesce("component", "node").alias("family"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import families, keys, leakage, neighbors, overlap, packing, pairs, pieces, readability
-from quillmill.session import table
+from quillmill.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,9 @@ SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
 def _members(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "val_articles")
     k = a.select("article_id", keys.name_key(F.col("group")).alias("g"), keys.url_key(F.col("url")).alias("u"), keys.split_key(F.col("split")).alias("split")).distinct()
+    k = cut_lineage(k)
     fam = families.families(k, "article_id", ["g", "u"])
-    return k.groupBy("article_id").agg(F.max("split").alias("split")).join(fam, "article_id")
+    return cut_lineage(k.groupBy("article_id").agg(F.max("split").alias("split")).join(fam, "article_id"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
