@@ -120,7 +120,7 @@ def clean_id(col: Column) -> Column:
 def scraped_number(col: Column, low: float = 1.0, high: float = 10.0, default: float = 5.0) -> Column:
     """Digits and points of a text as a number within bounds, or the default."""
     value = F.regexp_replace(col, r"[^\d.]", "").try_cast("double")
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), value)), F.lit(default))
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def page_url(title: Column, base: str) -> Column:

@@ -50,7 +50,7 @@ def article_status(text: Column, title_seen: Column, blocked: Column, least_word
 
 
 #: Question forms too vague to search by. (fixed values)
-VAGUE = [r"^what (?:is|was|are|were) (?:this|that|it|the (?:text|passage|article|document)) about", r"according to the (?:text|passage|article|document)", r"^(?:who|what) is (?:he|she|it|they)\b", r"in this (?:text|passage|article|document)", r"the (?:author|text) (?:say|mention|state)", r"^(?:nó|điều này|đoạn văn)\b"]
+VAGUE = [r"^what (?:is|was|are|were) (?:this|that|it|(?:this|the) (?:text|passage|article|document)) about", r"according to the (?:text|passage|article|document)", r"^(?:who|what) is (?:he|she|it|they)\b", r"in this (?:text|passage|article|document)", r"the (?:author|text) (?:say|mention|state)", r"^(?:nó|điều này|đoạn văn)\b"]
 
 
 def question_verdict(question: Column, title_words: Column) -> Column:
