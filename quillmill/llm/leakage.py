@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.textnorm import folded_words, folded_words_at
+from quillmill.session import cut_lineage
 
 
 class ItemAutomaton:
@@ -142,7 +143,7 @@ def _automata(items: DataFrame, item_id: str, passage: str, min_words: int, bloc
         yield ItemAutomaton(block, min_words)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, block_words: int = 1_000_000) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, block_words: int = 100_000) -> DataFrame:
     """Columns ``doc_id, item_id, longest, covered``: each document and each item that it holds a run of.
 
     ``longest`` is the longest common run in words, ``covered`` the number of words in such runs. The items
@@ -169,36 +170,52 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, max_coverage: float = 0.5, block_words: int = 100_000) -> DataFrame:
     """Columns ``doc_id, text, removed_words, words``: the documents without the leaked runs.
 
     A run of ``min_words`` words or more is cut out; a document of which more than ``max_coverage`` of the
-    words would go is emptied as a whole. Texts without leaks come back as they are; null texts stay null.
+    words would go is emptied as a whole. Blocks of items are applied one after another. Texts without leaks come back as they are; null texts stay null.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(pickle.dumps(a, protocol=pickle.HIGHEST_PROTOCOL)) for a in _automata(items, item_id, passage, min_words, block_words)]
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        autos = [pickle.loads(b.value) for b in blocks]
+    def marked(auto: ItemAutomaton, gone: bytes | None, words: list[str]) -> bytearray:
+        flags = bytearray(gone or bytes(len(words)))
+        for at, run, _ in auto.scan(words):
+            flags[at - run + 1 : at + 1] = b"\x01" * run
+        return flags
+
+    def mark(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            auto = pickle.loads(shared.value)
+            for pdf in batches:
+                gone = [None if t is None else bytes(marked(auto, g, folded_words_at(t)[0])) for t, g in zip(pdf.t, pdf.gone)]
+                yield pd.DataFrame({"d": pdf.d, "t": pdf.t, "gone": gone})
+
+        return run
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf.d, pdf.t):
+            for d, t, gone in zip(pdf.d, pdf.t, pdf.gone):
                 if t is None:
                     rows.append((d, None, 0, 0))
                     continue
                 words, places = folded_words_at(t)
-                gone = [False] * len(words)
-                for auto in autos:
-                    for at, run, _ in auto.scan(words):
-                        gone[at - run + 1 : at + 1] = [True] * run
-                removed = sum(gone)
+                removed = sum(gone) if gone else 0
                 if removed > max_coverage * len(words):
                     t = ""
                 elif removed:
-                    for cut in sorted({p for p, g in zip(places, gone) if g}, reverse=True):
-                        t = t[: cut[0]] + t[cut[1] :]
+                    for at in sorted({p for p, g in zip(places, gone) if g}, reverse=True):
+                        t = t[: at[0]] + t[at[1] :]
                 rows.append((d, t, removed, len(words)))
             yield pd.DataFrame(rows, columns=[doc_id, text, "removed_words", "words"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    return source.mapInPandas(clean, f"`{doc_id}` long, `{text}` string, removed_words int, words int")
+    x = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("gone"))
+    first = True
+    for automaton in _automata(items, item_id, passage, min_words, block_words):
+        if not first:
+            x = cut_lineage(x)  # else the workers of all blocks would be alive at once, each with its automaton
+        shared = spark.sparkContext.broadcast(pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL))
+        x = x.mapInPandas(mark(shared), "d long, t string, gone binary")
+        first = False
+    return x.mapInPandas(cut, f"`{doc_id}` long, `{text}` string, removed_words int, words int")

@@ -45,6 +45,7 @@ def test_leaks_and_removal(spark):
         got = {(r.doc_id, r.item_id, r.longest) for r in leaked_items(d, items, block_words=block).collect()}
         assert got == {(1, 7, 14), (1, 8, 14), (5, 7, 12), (5, 8, 12)}
     clean = {r.doc_id: (r.text, r.removed_words) for r in without_leaks(d.filter("doc_id <> 1"), items).collect()}
+    assert clean == {r.doc_id: (r.text, r.removed_words) for r in without_leaks(d.filter("doc_id <> 1"), items, block_words=14).collect()}
     assert clean[3] == (None, 0) and clean[4] == ("", 0) and clean[2][1] == 0 and clean[5][1] == 12 and "seven" not in clean[5][0] and clean[5][0].startswith("start")
     assert without_leaks(d.filter("doc_id = 1"), items).first().text == ""
     assert leaked_items(d, items.filter("false")).count() == 0 and leaked_items(d.filter("false"), items).count() == 0
