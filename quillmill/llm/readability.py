@@ -1,7 +1,8 @@
 """Problem 8: reading level of each document.
 
-Per document: sentence length, syllables per word and share of long words, from which three classic grade
-formulas (Flesch-Kincaid, Gunning fog, automated readability index) are taken; the grade is their median.
+Per document: sentence length, syllables per word and share of long words, from which five classic grade
+formulas (Flesch-Kincaid, Gunning fog, automated readability index, SMOG, RIX) are taken; the grade is their
+median.
 English syllables are counted by hyphenation-style rules on vowel groups. Written Vietnamese puts a blank
 between syllables, so words are first rejoined: neighbouring syllables that rarely stand apart in the whole
 corpus form one word. Cut points between the levels are fitted per language on rated documents.
@@ -117,7 +118,9 @@ def grade(text: str, joined: frozenset) -> tuple[str, float] | None:
     kincaid = 0.39 * per_sentence + 11.8 * per_word - 15.59
     fog = 0.4 * (per_sentence + 100 * long_words)
     index = 4.71 * letters + 0.5 * per_sentence - 21.43
-    return ("vi" if vi else "en"), sorted((kincaid, fog, index))[1]
+    smog = 1.043 * (30 * long_words * per_sentence) ** 0.5 + 3.1291
+    rix = 1.5 * per_sentence * sum(u[1] >= 7 for u in units) / n + 1
+    return ("vi" if vi else "en"), sorted((kincaid, fog, index, smog, rix))[2]
 
 
 def joined_syllables(docs: DataFrame, text: str = "text", min_count: int = 5, min_share: float = 1e-5, min_bond: float = 0.1) -> frozenset:
