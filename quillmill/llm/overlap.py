@@ -1,11 +1,12 @@
 """Problem 5: records that stand, exactly or almost, in the training split and in an evaluation split.
 
 A title's core (no accents, case, decoration, brackets) gets a 128-bit similarity-hash fingerprint made of
-eight segments: every character pair of the core belongs to one segment and votes on its 16 bits. A slip of
-typing changes at most four character pairs (six if two letters are swapped), hence at most four (six) segments, so
-two fingerprints within the radius still agree in two segments. All combinations of two segments are the
-blocks that are joined across the splits; candidates beyond the Hamming radius go, the rest is verified on
-the text.
+eight segments: every character pair of the core belongs to one segment and votes on its 16 bits. A letter
+changed, added or dropped touches at most four character pairs, hence at most four segments, so four or more
+still agree. The blocks joined across the splits are the twelve pairs of segments within either half of the
+fingerprint: of any three segments two lie in one half, so agreeing fingerprints share a block. Two letters
+swapped touch up to six pairs but leave the bag of letters as it is, whose code is one block more. Candidates
+beyond the Hamming radius go, the rest is verified on the text.
 """
 
 from __future__ import annotations
@@ -76,10 +77,15 @@ def fingerprint(letters: str) -> list[int]:
     return [int(c) if u else -1 for c, u in zip(codes, used)]
 
 
-def _keys(segments: list[int], short: bool) -> list[int]:
+def _keys(segments: list[int], letters: str) -> list[int]:
+    """Blocks of a fingerprint: pairs of segments within a half, the bag of letters; single segments for short strings."""
     full = [(i, s) for i, s in enumerate(segments) if s >= 0]
-    blocks = [(i, s, 0, 0) for i, s in full] if short or len(full) < 2 else [(*a, *b) for a, b in combinations(full, 2)]
-    return [(((i * SEGMENTS + j) << 33) | (s << 16) | t) << 1 | (len(full) < 2 or short) for i, s, j, t in blocks]
+    half = SEGMENTS // 2
+    keys = [(((i * SEGMENTS + j) << 32) | (s << 16) | t) << 1 for (i, s), (j, t) in combinations(full, 2) if i // half == j // half]
+    keys.append(1 << 62 | xxhash.xxh64_intdigest("".join(sorted(letters))) >> 3)
+    if len(letters) < SHORT + 2:
+        keys += [(i << 32 | s) << 1 | 1 for i, s in full]
+    return keys
 
 
 def _coded(cores: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def _coded(cores: DataFrame) -> DataFrame:
             segs = [fingerprint(c.replace(" ", "")) for c in pdf.core]
             words = [[sum((s[4 * h + i] & 0xFFFF) << 16 * i for i in range(4)) for h in (0, 1)] for s in segs]
             signed = np.array(words, dtype=np.uint64).reshape(-1, 2).astype(np.int64)
-            keys = [_keys(s, False) + (_keys(s, True) if len(c.replace(" ", "")) < SHORT + 2 else []) for s, c in zip(segs, pdf.core)]
+            keys = [_keys(s, c.replace(" ", "")) for s, c in zip(segs, pdf.core)]
             yield pd.DataFrame({"cid": pdf.cid, "lo": signed[:, 0], "hi": signed[:, 1], "keys": keys})
 
     return cores.mapInPandas(code, "cid long, lo long, hi long, keys array<long>").select("cid", "lo", "hi", F.explode("keys").alias("key"))
