@@ -178,44 +178,45 @@ def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     spark = docs.sparkSession
 
-    def marked(auto: ItemAutomaton, gone: bytes | None, words: list[str]) -> bytearray:
-        flags = bytearray(gone or bytes(len(words)))
-        for at, run, _ in auto.scan(words):
-            flags[at - run + 1 : at + 1] = b"\x01" * run
-        return flags
-
     def mark(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             auto = pickle.loads(shared.value)
             for pdf in batches:
-                gone = [None if t is None else bytes(marked(auto, g, folded_words_at(t)[0])) for t, g in zip(pdf.t, pdf.gone)]
-                yield pd.DataFrame({"d": pdf.d, "t": pdf.t, "gone": gone})
+                rows = []
+                for d, t, gone, n in zip(pdf.d, pdf.t, pdf.gone, pdf.n):
+                    words = [] if t is None else folded_words(t)
+                    if next(auto.scan(words), None):  # only then are the places of the words needed
+                        words = folded_words_at(t)[0]
+                        flags = bytearray(gone or bytes(len(words)))
+                        for at, run, _ in auto.scan(words):
+                            flags[at - run + 1 : at + 1] = b"\x01" * run
+                        gone = bytes(flags)
+                    rows.append((d, t, gone, len(words)))
+                yield pd.DataFrame(rows, columns=["d", "t", "gone", "n"])
 
         return run
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t, gone in zip(pdf.d, pdf.t, pdf.gone):
-                if t is None:
-                    rows.append((d, None, 0, 0))
-                    continue
-                words, places = folded_words_at(t)
+            for d, t, gone, n in zip(pdf.d, pdf.t, pdf.gone, pdf.n):
+                n = n if marked or t is None else len(folded_words(t))
                 removed = sum(gone) if gone else 0
-                if removed > max_coverage * len(words):
+                if removed > max_coverage * n:
                     t = ""
                 elif removed:
-                    for at in sorted({p for p, g in zip(places, gone) if g}, reverse=True):
+                    for at in sorted({p for p, g in zip(folded_words_at(t)[1], gone) if g}, reverse=True):
                         t = t[: at[0]] + t[at[1] :]
-                rows.append((d, t, removed, len(words)))
+                rows.append((d, t, removed, n))
             yield pd.DataFrame(rows, columns=[doc_id, text, "removed_words", "words"])
 
-    x = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("gone"))
+    x = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("gone"), F.lit(0).alias("n"))
     first = True
     for automaton in _automata(items, item_id, passage, min_words, block_words):
         if not first:
             x = cut_lineage(x)  # else the workers of all blocks would be alive at once, each with its automaton
         shared = spark.sparkContext.broadcast(pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL))
-        x = x.mapInPandas(mark(shared), "d long, t string, gone binary")
+        x = x.mapInPandas(mark(shared), "d long, t string, gone binary, n int")
         first = False
+    marked = not first
     return x.mapInPandas(cut, f"`{doc_id}` long, `{text}` string, removed_words int, words int")
