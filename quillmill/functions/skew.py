@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.session import cut_lineage
+
 
 def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", max_hot: int = 1000, total: int | None = None) -> DataFrame:
     """Equi-join on ``key`` where ``small`` has one row per key and ``big`` may have a hot key.
@@ -45,3 +47,21 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, right_id: str, per_ta
     l = left.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
     r = right.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(right_id), F.coalesce(F.col("_salts"), F.lit(1))).cast("int"))
     return l.drop("_salts").join(r.drop("_salts"), [key, "_salt"]).drop("_salt")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``out`` added: 0, 1, 2 … in order of the columns, without gathering the rows in one task.
+
+    Rows are range-partitioned and sorted; the driver sees one count per partition, rows are ranked inside theirs.
+    Rows that tie in all columns of ``order`` share neither number nor a fixed order.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    offsets, total = [], 0
+    for r in parts.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((r["_part"], total))
+        total += r["count"]
+    if not offsets:
+        return parts.withColumn(out, F.lit(0).cast("long")).drop("_part")
+    before = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn(out, rank.cast("long") + before[F.col("_part").cast("long")]).drop("_part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.skew import numbered
 from quillmill.functions.text import unit_hash
 
 
@@ -53,16 +54,14 @@ def bootstrap(df: DataFrame, record_id: str, value: str, resamples: int = 1000,
     draws come out in any engine. Fewer than two rows give the mean three times, none gives zeros. The
     position table is broadcast only up to ``max_rows`` rows.
     """
-    from pyspark.sql import Window
-
     x = df.filter(F.col(value).isNotNull()).select(record_id, F.col(value).cast("double").alias("x"))
-    x = x.withColumn("pos", F.row_number().over(Window.orderBy(record_id, "x")) - 1)
+    x = numbered(x, [record_id, "x"], "pos")
     n = x.count()
     if n < 2:
         return x.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean")).select("mean", F.col("mean").alias("low"), F.col("mean").alias("high"))
     spark = df.sparkSession
     draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    draws = draws.withColumn("pos", F.floor(unit_hash(F.lit(seed), F.col("b").cast("string"), F.col("j").cast("string")) * n).cast("int"))
+    draws = draws.withColumn("pos", F.floor(unit_hash(F.lit(seed), F.col("b").cast("string"), F.col("j").cast("string")) * n).cast("long"))
     means = draws.join(F.broadcast(x) if n <= max_rows else x, "pos").groupBy("b").agg(F.avg("x").alias("m"))
     interval = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return x.agg(F.avg("x").alias("mean")).join(F.broadcast(interval)).select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])

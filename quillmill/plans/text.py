@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.functions.skew import numbered
 from quillmill.operators import chunking
 from quillmill.plans.catalogue import query
 from quillmill.session import table
@@ -79,8 +80,8 @@ def content_hash_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT item_id, row_number() OVER (ORDER BY subject, item_id) AS new_id FROM eval_passages) SELECT new_id::INT AS new_id, item_id, CASE WHEN new_id <> item_id THEN item_id END AS old_id FROM r")
 def renumber_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids 1..n in order of subject; the former id kept where it changed. The item set has a fixed, small size."""
-    p = table(spark, d, "eval_passages").withColumn("new_id", F.row_number().over(Window.orderBy("subject", "item_id")))
+    """Ids 1..n in order of subject; the former id kept where it changed."""
+    p = numbered(table(spark, d, "eval_passages").select("subject", "item_id"), ["subject", "item_id"], "at").withColumn("new_id", (F.col("at") + 1).cast("int"))
     return p.select("new_id", "item_id", F.when(F.col("new_id") != F.col("item_id"), F.col("item_id")).alias("old_id"))
 
 

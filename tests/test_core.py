@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import metrics as M
 from quillmill.functions import text as T
 from quillmill.functions.folding import fold
-from quillmill.functions.skew import hot_join, pair_join
+from quillmill.functions.skew import hot_join, numbered, pair_join
 from quillmill.functions.vectors import as_double, cosine, fit_dims, l2_unit
 from quillmill.operators import chunking as C
 from quillmill.operators import curation, graph, parsing, runs
@@ -136,6 +136,12 @@ def test_skewed_joins(spark):
     assert sorted((x.l, x.r) for x in pair_join(left, right, "k", "r", per_task=7).collect()) == [("a", i) for i in range(500)]
 
 
+def test_numbered(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k")).repartition(7)
+    assert [(r.k, r.n) for r in numbered(df, ["k"], "n").orderBy("k").collect()] == [(i, i) for i in range(1000)]
+    assert numbered(df.filter("false"), ["k"], "n").count() == 0
+
+
 def test_records(spark):
     raw = '<think>(x)</think>("entity"<|>"Lý"<|>"Person"<|>"a (b) c")##("entity"<|>"lý"<|>person<|>again)\n("relationship"<|>A<|>B<|>knows<|>9/10)##("relationship"<|>B<|>A<|>knows<|>x)##("relationship"<|>A<|>A<|>self<|>1)##("entity"<|>short)##text ("entity"<|>X<|>alien<|>d)<|COMPLETE|>'
     df = spark.createDataFrame([(raw,), ("",), (None,)], "x string").withColumn("r", parsing.records(F.col("x")))
