@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.skew import hot_join
 from quillmill.functions.text import entity_key
 from quillmill.operators.components import connected_components
 from quillmill.session import cut_lineage
@@ -52,7 +53,7 @@ def pair_key(a: str, b: str, sep: str = "<SEP>"):
 def canonical(members: DataFrame, cluster: str, node: str, name: str, weight: str) -> DataFrame:
     """``is_canonical`` added: per cluster the node of most weight, then longest name, then smallest id."""
     best = members.groupBy(cluster).agg(F.min_by(F.col(node), F.struct(-F.col(weight), -F.length(name), F.col(node))).alias("_best"))
-    return members.join(best, cluster).withColumn("is_canonical", F.col(node) == F.col("_best")).drop("_best")
+    return hot_join(members, best, cluster).withColumn("is_canonical", F.col(node) == F.col("_best")).drop("_best")
 
 
 def alias_clusters(nodes: DataFrame, same_as: DataFrame, node: str = "id") -> DataFrame:
@@ -67,10 +68,11 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     A deterministic stand-in for a modularity optimiser. A node keeps its label if that is among the most
     frequent. Counts are combined before each shuffle; lineage is cut every round.
     """
-    e = both_ways(edges)
+    e = cut_lineage(both_ways(edges))
+    edges_in = e.count()
     labels = cut_lineage(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
-        votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "community").agg(F.count("*").alias("n"))
+        votes = hot_join(e, labels.withColumnRenamed("node", "dst"), "dst", total=edges_in).groupBy("src", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("best"), F.max("n").alias("top"))
         own = votes.select(F.col("src").alias("node"), F.col("community").alias("own"), F.col("n").alias("own_n"))
         nxt = labels.join(best, labels["node"] == best["src"]).join(own.withColumnRenamed("own", "community"), ["node", "community"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.skew import hot_join
 from quillmill.functions.text import entity_key
 from quillmill.operators import graph as G
 from quillmill.plans.catalogue import query
@@ -76,7 +77,7 @@ r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 def article_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Articles with equal title or url, also through others; linked by stars around the smallest id of each value."""
     a = table(spark, d, "val_articles").select("article_id", F.lower("title").alias("t"), "url", "words").distinct()
-    star = lambda c: a.join(a.groupBy(c).agg(F.min("article_id").alias("dst")), c).select(F.col("article_id").alias("src"), "dst")
+    star = lambda c: hot_join(a, a.groupBy(c).agg(F.min("article_id").alias("dst")), c).select(F.col("article_id").alias("src"), "dst")
     return G.alias_clusters(a, star("t").unionByName(star("url")).filter("src <> dst"), "article_id")
 
 
