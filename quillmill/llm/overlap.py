@@ -1,19 +1,21 @@
 """Problem 5: records that stand, exactly or almost, in the training split and in an evaluation split.
 
 A title's core (no accents, case, decoration, brackets) gets a 128-bit similarity-hash fingerprint made of
-eight segments: every character pair of the core belongs to one segment and votes on its 16 bits. A letter
-changed, added or dropped touches at most four character pairs, hence at most four segments, so four or more
-still agree. The blocks joined across the splits are the twelve pairs of segments within either half of the
-fingerprint: of any three segments two lie in one half, so agreeing fingerprints share a block. Two letters
-swapped touch up to six pairs but leave the bag of letters as it is, whose code is one block more. Candidates
-beyond the Hamming radius go, the rest is verified on the text.
+eight segments: every character pair of the core belongs to one segment and votes on its 16 bits. Cores are
+joined on the twelve pairs of segments within either half of the fingerprint and kept within a Hamming radius.
+That finds most near titles but promises none, so every core also carries exact keys (``_exact_keys``), which
+meet for each pair that ``same_article`` accepts: the bag of letters for swaps, the whole core less one letter
+for short cores, and for longer ones a half less one letter (of three edits at most one falls in one of the
+halves) or, from 40 letters on, one of four pieces, which three edits can't all touch. Candidates by exact
+keys are thinned only by the parity of letter counts, which no accepted pair fails; all are verified on the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -27,10 +29,14 @@ from quillmill.llm.keys import split_key, url_site
 from quillmill.session import cut_lineage
 
 SEGMENTS, BITS = 8, 16
-#: Hamming radius of 128 bits within which a pair is verified; two slips stay well below it.
+#: Hamming radius of 128 bits within which a pair that shares segments is verified.
 RADIUS = 56
 #: Shorter cores are joined on single segments, as many of their segments are empty.
 SHORT = 14
+#: Cores from here on may hold two slips; three edits lie between them at most, but for swaps.
+TWO_SLIPS, EDITS = 12, 3
+#: Cores from here on have pieces of ten letters or more, which are keys without deletions.
+LONG = 40
 #: Site names that pages append to their titles, folded. (fixed values)
 SITE_NAMES = ["lorepedia", "song ?archive", "(?:old )?annals", "wikipedia"]
 
@@ -78,11 +84,10 @@ def fingerprint(letters: str) -> list[int]:
 
 
 def _keys(segments: list[int], letters: str) -> list[int]:
-    """Blocks of a fingerprint: pairs of segments within a half, the bag of letters; single segments for short strings."""
+    """Blocks of a fingerprint: pairs of segments within a half; single segments for short strings."""
     full = [(i, s) for i, s in enumerate(segments) if s >= 0]
     half = SEGMENTS // 2
     keys = [(((i * SEGMENTS + j) << 32) | (s << 16) | t) << 1 for (i, s), (j, t) in combinations(full, 2) if i // half == j // half]
-    keys.append(1 << 62 | xxhash.xxh64_intdigest("".join(sorted(letters))) >> 3)
     if len(letters) < SHORT + 2:
         keys += [(i << 32 | s) << 1 | 1 for i, s in full]
     return keys
@@ -102,6 +107,46 @@ def _coded(cores: DataFrame) -> DataFrame:
     return cores.mapInPandas(code, "cid long, lo long, hi long, keys array<long>").select("cid", "lo", "hi", F.explode("keys").alias("key"))
 
 
+def _less_one(text: str) -> set[str]:
+    return {text[:i] + text[i + 1 :] for i in range(len(text))}
+
+
+def _exact_keys(letters: str, held: bool) -> set[int]:
+    """Keys of a core that meet, one side ``held``, the other not, for each two cores that ``same_article`` accepts.
+
+    A core that is not held is cut by its own length alone; a held one has the keys of all cuts that a core of
+    up to two letters more or less may have, with ends moved as far as edits can move them.
+    """
+    n = len(letters)
+    parts = {(0, "".join(sorted(letters)))}
+    if 5 <= n <= TWO_SLIPS:  # one edit: equal, or equal less one letter on either side
+        parts |= {(1, t) for t in {letters} | _less_one(letters)}
+    others = [m for m in range(n - 2, n + 3) if m >= TWO_SLIPS] if held else [n] if n >= TWO_SLIPS else []
+    for kind, lengths in ((2, {m // 2 for m in others if m < LONG}), (3, {m - m // 2 for m in others if m < LONG})):
+        end = (lambda k: letters[:k]) if kind == 2 else (lambda k: letters[-k:])
+        ends = {end(min(n, k + s)) for k in lengths for s in ((-1, 0, 1) if held else (0,))}
+        parts |= {(kind, t) for e in ends for t in {e} | _less_one(e)}
+    for m in others:
+        if m >= LONG:
+            cuts = [i * m // (EDITS + 1) for i in range(EDITS + 2)]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                parts |= {(4 + i, letters[a + s : b + s]) for s in (range(-EDITS, EDITS + 1) if held else (0,)) if a + s >= 0 and b + s <= n}
+    return {xxhash.xxh64_intdigest(t, seed=kind) for kind, t in parts}
+
+
+def _exactly_coded(cores: DataFrame, held: bool) -> DataFrame:
+    """One row per core and exact key: cid, parity (one bit per letter, its count odd), key."""
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [c.replace(" ", "") for c in pdf.core]
+            keys = [np.array(list(_exact_keys(t, held)), dtype=np.uint64).astype(np.int64) for t in texts]
+            odd = np.array([reduce(xor, (1 << (ord(c) & 63) for c in t), 0) for t in texts], dtype=np.uint64).astype(np.int64)
+            yield pd.DataFrame({"cid": pdf.cid, "parity": odd, "keys": keys})
+
+    return cores.mapInPandas(code, "cid long, parity long, keys array<long>").select("cid", "parity", F.explode("keys").alias("key"))
+
+
 def slips_apart(a: Column, b: Column, most: Column) -> Column:
     """Whether two strings differ by at most ``most`` (1 or 2) slips of typing.
 
@@ -149,10 +194,15 @@ def class_overlaps(rows: DataFrame) -> DataFrame:
     is_train = F.col("split") == "train"
     classes = cut_lineage(rows.groupBy(*parts).agg(F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval")).withColumn("cid", F.xxhash64("core")))
     cores = classes.groupBy("cid").agg(F.min("core").alias("core"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
-    train = _coded(cores.filter("in_train").select("cid", "core"))
-    held = _coded(cores.filter("in_eval").select("cid", "core")).select(F.col("cid").alias("e_cid"), F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"), "key")
+    train_cores, held_cores = cores.filter("in_train").select("cid", "core"), cores.filter("in_eval").select("cid", "core")
+    train = _coded(train_cores)
+    held = _coded(held_cores).select(F.col("cid").alias("e_cid"), F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"), "key")
     distance = F.bit_count(F.col("lo").bitwiseXOR(F.col("e_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("e_hi")))
-    near = held.join(train, "key").filter((F.col("cid") != F.col("e_cid")) & (distance <= RADIUS)).select("e_cid", F.col("cid").alias("t_cid")).distinct()
+    near = held.join(train, "key").filter((F.col("cid") != F.col("e_cid")) & (distance <= RADIUS)).select("e_cid", F.col("cid").alias("t_cid"))
+    held = _exactly_coded(held_cores, True).select(F.col("cid").alias("e_cid"), F.col("parity").alias("e_parity"), "key")
+    odd = F.bit_count(F.col("parity").bitwiseXOR(F.col("e_parity")))  # two slips change four counts at most
+    exact = held.join(_exactly_coded(train_cores, False), "key").filter((F.col("cid") != F.col("e_cid")) & (odd <= 4)).select("e_cid", F.col("cid").alias("t_cid"))
+    near = near.unionByName(exact).distinct()
     equal = cores.filter("in_train AND in_eval").select(F.col("cid").alias("e_cid"), F.col("cid").alias("t_cid"))
     links = near.unionByName(equal)
     e = classes.filter("in_eval").select(F.col("cid").alias("e_cid"), *[F.col(c).alias(f"e_{c}") for c in parts])

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm.overlap import fingerprint, overlap_report, record_pairs, titled
+from quillmill.llm.overlap import fingerprint, overlap_report, record_pairs, same_article, title_parts, titled
 
 SCHEMA = "article_id long, title string, split string, url string"
 
@@ -56,6 +56,29 @@ def test_one_slip_is_always_found(spark, seed):
     assert len(want - got) <= 2
 
 
+def slip(rng, t):
+    at = rng.randrange(len(t) - 1)
+    kind = rng.randrange(4)
+    if kind == 3:
+        return t[:at] + t[at + 1] + t[at] + t[at + 2 :]
+    return t[:at] + ("" if kind == 0 else "q" if kind == 1 else t[at] + "q") + t[at + 1 :]
+
+
+@pytest.mark.parametrize("shortest, longest", [(5, 13), (12, 16), (16, 21), (21, 38), (38, 44), (44, 90)])
+def test_accepted_pairs_are_all_found(spark, shortest, longest):
+    rng = random.Random(shortest)
+    rows = []
+    for i in range(250):
+        t = "".join(rng.choice("abcdefghijklmnopqrstuvwyz") for _ in range(rng.randrange(shortest, longest)))
+        s = slip(rng, t) if i % 5 == 0 else slip(rng, slip(rng, t))
+        rows += [(2 * i, t, "train"), (2 * i + 1, s, "val")]
+    got = pairs(spark, rows)
+    df = spark.createDataFrame(rows, "i long, t string, s string").select("i", "s", *[c.alias(n) for n, c in title_parts(F.col("t")).items()])
+    left, right = (df.filter(keep).select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side, keep in (("l", "s = 'val'"), ("r", "s = 'train'")))
+    want = {(r.l_i, r.r_i) for r in left.crossJoin(right).filter(same_article("l", "r")).select("l_i", "r_i").collect()}
+    assert len(want) > 50 and got == want, (len(want), len(want - got), len(got - want))
+
+
 def test_fingerprint_keeps_most_segments():
     a, b = fingerprint("gorvenlamtacplideb"), fingerprint("gorvqnlamtacplideb")
     assert sum(x == y for x, y in zip(a, b)) >= 4 and fingerprint("") != fingerprint("x")
