@@ -2,7 +2,8 @@
 
 An answer is split into clauses, each of which a conditional random field tags as answer, refusal, echo,
 foreign or unfinished; the shares of words under each tag make the defect of the pair. The field is fitted on
-a bounded sample of the pairs themselves, tagged by labelling rules, and then tags every pair.
+a bounded sample of the pairs themselves, tagged by labelling rules, and then tags every pair. The words of each
+language, which tell foreign and cut-off words, are counted over all pairs.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.crf import ChainCRF
 from quillmill.llm.textnorm import fold_text
+from quillmill.session import cut_lineage
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 HASHED = 1 << 13
@@ -103,13 +106,17 @@ def language(text: str) -> str | None:
     return None if en == vi else "en" if en > vi else "vi"
 
 
+def _uncited(text: str) -> str:
+    return _CITE.sub(" ", text) if "[" in text or "(" in text else text
+
+
 def said(answer: str | None) -> str:
     """What an answer says: without thinking blocks, labels, citations, marks and words for nothing; '' if it says nothing."""
     text = unicodedata.normalize("NFC", answer or "")
-    text = _THINK.sub(" ", text)
-    text = _NO_WIDTH.sub("", text).strip()
+    text = _THINK.sub(" ", text) if "<" in text else text
+    text = (text if text.isascii() else _NO_WIDTH.sub("", text)).strip()
     text = _LABEL.sub("", text)
-    bare = _CITE.sub(" ", text)
+    bare = _uncited(text)
     if len(bare) < 60:  # long ones say something
         words = " ".join(re.findall(r"\w+", fold_text(bare)))
         if not words or words in _NOTHING:
@@ -119,32 +126,84 @@ def said(answer: str | None) -> str:
 
 def clauses(text: str) -> list[str]:
     text = _ABBR.sub(lambda m: m.group(1) + "․ ", text)
-    out = [_CITE.sub(" ", c).replace("․", ".").strip() for c in _SPLIT.split(text)]
+    out = [_uncited(c).replace("․", ".").strip() for c in _SPLIT.split(text)]
     return [c for c in out if re.search(r"\w", c) or c in ("(", "“", "-", "**")]
 
 
+#: Words with less than this share of all counted words are left out, so a million words of each kind are kept at most.
+WORD_SHARE = 1e-6
+#: The same for words of clauses that decline, which count from the first time on.
+DECLINED_SHARE = 1e-4
+#: Kinds of word counts: clauses told by function words, by language, declining ones, by language, and clauses before the last.
+COUNTED = ["en", "vi", "declined_en", "declined_vi", "inner"]
+
+
+def word_lists(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
+    """Lower-case words of question and answer pairs by kind of count, the language of a clause told by its function words.
+
+    The last word of an answer that doesn't end with a stop may be cut off and is left out.
+    """
+    out: dict[str, list[str]] = {k: [] for k in COUNTED}
+    for question, answer in pairs:
+        parts = clauses(said(answer))
+        for i, c in enumerate([question, *parts]):
+            last = i == len(parts)
+            run = list(filter(str.islower, _WORDS.findall(c)))
+            words = list(filter(str.islower, _WORDS.findall(_QUOTED.sub(" ", c)))) if _MARKS.search(c) else run
+            if i and not last:
+                out["inner"] += run
+            if i and last and words and c.endswith(words[-1]):
+                words.pop()
+            en, vi = sum(map(ENGLISH.__contains__, words)), sum(map(VIETNAMESE.__contains__, words))
+            if max(en, vi) >= 2 and min(en, vi) == 0 and max(en, vi) >= 0.12 * len(words):
+                out["en" if en else "vi"] += words
+                continue
+            low = c.lower()
+            loose = set(_LOOSE.findall(low.replace("’", "'")))
+            if (not loose.isdisjoint(_REFUSAL_WORDS) and _REFUSAL.search(low)) or (not loose.isdisjoint(_AROUND_WORDS) and _AROUND.search(low)):
+                out["declined_en" if en >= vi and c.isascii() or not vi and not _MARKED.search(low) else "declined_vi"] += words
+    return out
+
+
+def vocabulary(rows: DataFrame, flush: int = 500_000) -> Vocabulary:
+    """Vocabulary of all pairs in columns ``q, a``: each task sends its counts by word, the driver gets words above a share."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {k: Counter() for k in COUNTED}
+
+        def sums() -> pd.DataFrame:
+            words = list(set().union(*counts.values()))
+            out = pd.DataFrame({"word": words, **{k: np.array([c[w] for w in words], dtype=np.int64) for k, c in counts.items()}})
+            for c in counts.values():
+                c.clear()
+            return out
+
+        for pdf in batches:
+            for k, words in word_lists(zip(pdf.q, pdf.a)).items():
+                counts[k].update(words)
+            if sum(map(len, counts.values())) > flush:
+                yield sums()
+        if any(counts.values()):
+            yield sums()
+
+    shares = rows.mapInPandas(count, ", ".join(["word string", *[f"{k} long" for k in COUNTED]]))
+    counts = cut_lineage(shares.groupBy("word").agg(*[F.sum(k).alias(k) for k in COUNTED]))
+    total = counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in COUNTED]).first()
+    least = {k: max(1.0, total[k] * (DECLINED_SHARE if k.startswith("declined") else WORD_SHARE)) for k in COUNTED}
+    kept = counts.filter(reduce(or_, [F.col(k) >= least[k] for k in COUNTED])).toPandas()
+    return Vocabulary(kept, least)
+
+
 class Vocabulary:
-    """Words of each language in a bounded sample, told by the function words of the clause they stand in."""
+    """Words of each language by their counts, one row per word with the columns of ``COUNTED``."""
 
-    def __init__(self, sample: list[tuple[str, str]]):
-        count: dict[str, Counter] = {"en": Counter(), "vi": Counter()}
-        declined: dict[str, Counter] = {"en": Counter(), "vi": Counter()}
-        ends: Counter = Counter()
-        for question, answer in sample:
-            for c in [question, *clauses(said(answer))]:
-                words = [w for w in _WORDS.findall(_QUOTED.sub(" ", c)) if w.islower()]
-                en, vi = sum(w in ENGLISH for w in words), sum(w in VIETNAMESE for w in words)
-                if max(en, vi) >= 2 and min(en, vi) == 0 and max(en, vi) >= 0.12 * len(words):
-                    count["en" if en else "vi"].update(words)
-                elif _REFUSAL.search(c.lower()) or _AROUND.search(c.lower()):
-                    declined["en" if en >= vi and c.isascii() or not vi and not _MARKED.search(c.lower()) else "vi"].update(words)
-            ends.update(w for c in clauses(said(answer))[:-1] for w in _WORDS.findall(c) if w.islower())
-        self.known = {k: {w for w, n in c.items() if n >= 3 and n > 4 * count["vi" if k == "en" else "en"][w]} for k, c in count.items()}
-        for k, c in declined.items():
-            self.known[k] |= set(c)
-        self.known["en"] |= ENGLISH
-        self.known["vi"] |= VIETNAMESE
-        self.seen = set(ends) | set().union(*count.values())
+    def __init__(self, counts: pd.DataFrame, least: dict[str, float]):
+        pick = lambda rule: set(counts.word[rule])
+        self.known = {}
+        for k, other, plain in (("en", "vi", ENGLISH), ("vi", "en", VIETNAMESE)):
+            told = (counts[k] >= max(3.0, least[k])) & (counts[k] > 4 * counts[other])
+            self.known[k] = pick(told | (counts[f"declined_{k}"] >= least[f"declined_{k}"])) | plain
+        self.seen = pick((counts.en >= least["en"]) | (counts.vi >= least["vi"]) | (counts.inner >= least["inner"]))
 
     def foreign_share(self, clause: str, lang: str) -> tuple[float, int, list[str], list[str]]:
         """Share of the words, but names and quotes, that the language does not know, and their number; those words; all words."""
@@ -251,8 +310,8 @@ def _hashed(word: str) -> int:
 class PairTagger:
     """The fitted field with its vocabulary."""
 
-    def __init__(self, sample: list[tuple[str, str]]):
-        self.vocab = Vocabulary(sample)
+    def __init__(self, sample: list[tuple[str, str]], vocab: Vocabulary):
+        self.vocab = vocab
         seqs, golds = [], []
         for question, answer in sample:
             facts = self.facts(question, answer)
@@ -292,7 +351,7 @@ def defective_pairs(runs: DataFrame, run_id: str = "output_id", question: str =
     """Columns ``run_id, defect``: each run without error whose answer is defective, with the type of its defect.
 
     Defects are empty, truncated, refusal, copied_question and other_language. The field is fitted on
-    ``sample_rows`` distinct pairs, those of smallest hash; that bound is the only one, every run is tagged. A null
+    ``sample_rows`` distinct pairs, those of smallest hash; words are counted over all runs, every run is tagged. A null
     question counts as one without words, a null answer is empty, a null id is left out; a repeated row is one
     record. An empty table gives an empty result.
     """
@@ -307,7 +366,7 @@ def defective_pairs(runs: DataFrame, run_id: str = "output_id", question: str =
     picked = rows.select("q", "a", near.alias("h")).filter(F.col("h") < int(share * (1 << 40))).orderBy("h", "q", "a").limit(sample_rows).select("q", "a").toPandas().drop_duplicates()
     if not len(picked):
         return spark.createDataFrame([], f"`{run_id}` {kind}, defect string")
-    shared = spark.sparkContext.broadcast(pickle.dumps(PairTagger(list(zip(picked.q, picked.a)))))
+    shared = spark.sparkContext.broadcast(pickle.dumps(PairTagger(list(zip(picked.q, picked.a)), vocabulary(rows.select("q", "a")))))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = pickle.loads(shared.value)

@@ -71,3 +71,13 @@ def test_dirt(spark):
     got = defective_pairs(spark.createDataFrame(rows, SCHEMA).withColumn("i", F.lit(0)).withColumn("defect", F.lit("clash"))).collect()
     assert sorted((r.output_id, r.defect) for r in got) == [(1, "empty"), (2, "empty")]
     assert defective_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_are_counted_over_all_runs(spark):
+    base = spark.read.parquet(f"{DATA}/raw_outputs.parquet").select("output_id", "question", "answer", "error")
+    rare = [a + b for a in "brel drun flon grim plos snav trul vosk welt yarn".split() for b in "aber edge iker olim unda ane ist orn ulle ety".split()]
+    rows = [(20_000_000 + i, QUESTION_EN, f"The king said that {' '.join(rare[(10 * i + 7 * k) % 100] for k in range(10))} had come.", None) for i in range(60)]
+    whole = [(30_000_000 + i, QUESTION_EN, "Bramkro " + " ".join(rare[10 * i : 10 * i + 9]) + ".", None) for i in range(10)]
+    cut = [(40_000_000 + i, QUESTION_EN, f"Pavtac: {w}", None) for i, w in enumerate(rare[:10])]
+    got = defective_pairs(base.unionByName(spark.createDataFrame(rows + whole + cut, SCHEMA)), sample_rows=500).filter("output_id >= 20000000").collect()
+    assert not got
