@@ -36,9 +36,10 @@ def families(records: DataFrame, record_id: str, keys: list[str]) -> DataFrame:
     several = own.groupBy("_r").agg(F.min("_first").alias("_lo"), F.max("_first").alias("_hi")).filter("_lo != _hi").select(F.col("_r").alias("_q"), "_lo")
     repeated = own.join(several, F.col("_r") == F.col("_q")).select(F.col("_lo").alias("a"), F.col("_first").alias("b"))
     one = own.groupBy("_r").agg(F.min("_first").alias("node"))
-    if len(keys) == 2:  # a second key that stands with one first key links nothing and leads to that key
+    if len(keys) == 2:  # a second key that stands with one first key, and not in repeated, links nothing and leads to that key
         ends = edges.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-        edges = hot_join(edges, ends.filter("lo != hi").select("b"), "b")
+        met = repeated.select(F.explode(F.array("a", "b")).alias("b")).filter(F.col("b").startswith("1:"))
+        edges = hot_join(edges, ends.filter("lo != hi").select("b").unionByName(met).distinct(), "b")
         second = F.col("node").startswith("1:")
         led = hot_join(one.filter(second), ends.select(F.col("b").alias("node"), "lo"), "node", how="left")
         one = one.filter(~second).unionByName(led.select("_r", F.coalesce("lo", "node").alias("node")))

@@ -44,6 +44,16 @@ def test_families_equal_union_find(spark, seed):
     assert same_partition(got, union_find(rows))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_whose_rows_carry_different_keys(spark, seed):
+    rng = random.Random(seed)
+    rows = [(1, "A", None, None), (1, None, "U", None), (2, "B", "U", None)]  # 1 and 2 share a page
+    rows += [(3, None, "V", None), (3, None, "W", None), (4, "C", "V", None), (5, "D", "W", None)]
+    rows += [(10 + rng.randrange(60), rng.choice([None, f"g{rng.randrange(80)}"]), rng.choice([None, f"u{rng.randrange(80)}"]), None) for _ in range(80)]
+    got = {r.id: r.family for r in families(spark.createDataFrame(rows, SCHEMA), "id", ["g", "u"]).collect()}
+    assert same_partition(got, union_find(rows))
+
+
 def test_hot_group_and_repeats(spark):
     rows = [(i, "hot" if i % 3 == 0 else None, f"u{i}", "train") for i in range(300)] + [(0, "hot", "u7", "train")]
     got = families(spark.createDataFrame(rows, SCHEMA).withColumn("family", F.lit("clash")), "id", ["g", "u"])
