@@ -56,7 +56,7 @@ VAGUE = [r"^what (?:is|was|are|were) (?:this|that|it|(?:this|the) (?:text|passag
 def question_verdict(question: Column, title_words: Column) -> Column:
     """too_short, vague_pattern, lacks_named_entity_or_topic or ok."""
     w = words(question)
-    named = F.exists(F.slice(w, 2, 10_000), lambda x: x.rlike(r"^\p{Lu}\p{L}+"))
+    named = F.exists(F.slice(w, 2, F.size(w)), lambda x: x.rlike(r"^\p{Lu}\p{L}+"))
     topical = F.arrays_overlap(plain_words(question), title_words)
     return (
         F.when((F.size(w) < 5) | (F.length(question) < 22), F.lit("too_short"))

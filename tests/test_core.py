@@ -201,3 +201,9 @@ def test_plans_stay_in_the_jvm(spark):
     assert "WindowGroupLimit" in plan
     scan = queries["corpus_totals"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "title" not in scan.split("ReadSchema")[-1]
+
+
+def test_a_name_far_into_a_question_counts(spark):
+    q = spark.createDataFrame([("Who " + "went " * 10_050 + "to Gorven",), ("Who " + "went " * 10_050 + "to it",), (None,), ("",)], "x string")
+    verdicts = [r.y for r in q.select(curation.question_verdict(F.col("x"), F.array(F.lit("river"))).alias("y")).collect()]
+    assert verdicts[:2] == ["ok", "lacks_named_entity_or_topic"]
