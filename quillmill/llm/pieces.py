@@ -119,14 +119,11 @@ _FACTS = "id string, doc string, idx int, update_time long, n int, stop_before i
 
 
 def _piece_facts(content: str, size: int, overlap: int) -> tuple:
-    """What the rules need of a stored piece: (words, last inner boundary in reach of the size, whether its
+    """What the rules need of a stored piece: (words, last inner boundary, whether its
     last word ends a sentence, last and first words, where a line ends or a mark follows after each of these)."""
     b = Boundaries(content)
     n = b.words
-    reach = successors(n, b.inner, size, 0) if n else np.zeros(1, dtype=int)
     inner = b.inner[-1] if b.inner else 0
-    if n <= size and n and reach[0] != n:
-        inner = int(reach[0])
     words = [content[s:e] for s, e in zip(b.starts[-overlap:], b.ends[-overlap:])] if overlap else []
     first = [content[s:e] for s, e in zip(b.starts[:overlap], b.ends[:overlap])]
     lines = sum(1 << k for k in range(1, overlap + 1) if k in b.lines)
@@ -138,10 +135,10 @@ def _piece_facts(content: str, size: int, overlap: int) -> tuple:
 def wrongly_cut(chunks: DataFrame, docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, max_broadcast: int = 200_000) -> DataFrame:
     """Columns ``full_doc_id, chunk_order_index`` of the stored pieces that the splitting rules forbid.
 
-    Of rows with the same ``_id`` the one with the latest ``update_time`` counts. Each piece is run through
-    the boundary and successor tables of ``split_texts``: it is wrong if it exceeds ``size`` words, if it does
+    Of rows with the same ``_id`` the one with the latest ``update_time`` counts. Each piece is judged by
+    the boundaries of ``split_texts``, one piece at a time, so no chain of cuts is followed: it is wrong if it exceeds ``size`` words, if it does
     not begin with the last ``overlap`` words of the piece before, or if it stops inside a sentence and line
-    although the successor table has a natural cut in it after the repeated words. Whether a line ends behind
+    although there is a natural cut in it after the repeated words. Whether a line ends behind
     a piece is seen in the next piece where that repeats its end; else (few rows) in the document's text.
 
     Only facts of fixed size are shuffled, not the texts. Neighbours are found inside blocks of 1,024 stored
