@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -110,17 +110,24 @@ class Packing:
     def least_bins(self) -> int:
         return -(-int(self.size.sum()) // self.capacity)
 
-    def improve(self, patience: int = 12) -> None:
-        """Empties light containers until the bound on their number is met or ``patience`` of them resist."""
+    def improve(self) -> None:
+        """Empties light containers until the bound on their number is met or none of them has an exchange left."""
         stuck: set[int] = set()
+        moved = False
         count = sum(map(bool, self.bins))
-        while count > self.least_bins() and len(stuck) < patience:
+        while count > self.least_bins():
             light = min((b for b in range(len(self.bins)) if self.bins[b] and b not in stuck), key=lambda b: -self.free[b], default=None)
             if light is None:
-                break
+                if not moved:
+                    break
+                moved = False
+                stuck.clear()
+                continue
             if not self._step(light):
                 stuck.add(light)
-            elif not self.bins[light]:
+                continue
+            moved = True
+            if not self.bins[light]:
                 count -= 1
                 stuck.clear()
 
@@ -135,7 +142,11 @@ class Packing:
                 self._put(i, int(ok[np.argmin(free[ok])]))
                 return True
         room = np.where(fuller, free, -1)[self.home]
-        for give in [(i,) for i in own] + list(combinations(own[:12], 2)):  # one or two for one
+        alike: dict[int, list[int]] = {}  # sizes add up to the capacity at most, so few differ
+        for i in own:
+            alike.setdefault(int(self.size[i]), []).append(i)
+        twos = [(x[0], y[0]) if x is not y else (x[0], x[1]) for x, y in combinations_with_replacement(alike.values(), 2) if x is not y or len(x) > 1]
+        for give in [(x[0],) for x in alike.values()] + twos:  # one or two for one
             s = int(self.size[list(give)].sum())
             gain = s - self.size
             ok = np.flatnonzero((gain > 0) & (gain <= room))

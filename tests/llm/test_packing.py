@@ -27,6 +27,11 @@ def test_exchange_empties_a_light_container():
     assert sum(map(bool, q.bins)) == q.least_bins() == 2
 
 
+def test_two_for_one_looks_at_small_items_too():
+    p = Packing(np.array([95, *[7] * 12, 4, 3, 2]), 100)  # best fit: 95+4, the rest; only 3 and 2 can go for 4
+    assert p._step(1) and p.free == [0, 12]
+
+
 def test_cut_text_rebuilds_and_fits():
     enc = encoding(RANKS)
     text = "Đại Việt  is  a\n\nland. " * 400 + "x" * 9000 + " end"
