@@ -1,14 +1,18 @@
 """Problem 2: most similar vectors for every vector, with randomly rotated one-bit codes.
 
 Vectors are dealt to cells around centroids fitted on a bounded sample. A vector lives in its nearest cell and
-visits the next nearest ones. In a cell every resident has a code of one bit per rotated dimension of its
-residual and two correction scalars. A query is rotated and rounded to four bits a dimension; four ANDs and
-bit counts over packed codes then give an unbiased estimate of each inner product with an error bound.
-Only residents whose bound reaches the k-th best similarity known so far are compared exactly.
+visits the next nearest ones. Where the rows need more cells than the sample can place, each cell is parted again by
+centroids fitted on a sample of its own, in the tasks, so cells stay small at any number of vectors; the residents
+of a cell that is still large are spread over blocks. In a cell every resident has a code of one bit per rotated
+dimension of its residual and two correction scalars. A query is rotated and rounded at random to four bits a
+dimension; four ANDs and bit counts over packed codes then give an unbiased estimate of each inner product with an
+error bound. Only residents whose bound reaches the k-th best similarity known so far are compared exactly.
+``exact_neighbors`` compares a stated set of queries with every vector, for recall and for small query sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Codes:
     """One-bit codes of unit vectors around a centre, and estimates of inner products with queries."""
 
-    def __init__(self, data: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        self.centre, self.turn = centre, turn
+    def __init__(self, data: np.ndarray, centre: np.ndarray, turn: np.ndarray, seed: int = 5):
+        self.centre, self.turn, self.rng = centre, turn, np.random.default_rng(seed)
         n, dims = data.shape
         self.dims = dims
         res = data - centre
@@ -62,7 +66,7 @@ class Codes:
         y = (res / np.maximum(norm, 1e-12)[:, None]) @ self.turn
         low = y.min(axis=1)
         step = np.maximum((y.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-12)
-        u = np.rint((y - low[:, None]) / step[:, None]).astype(np.uint8)
+        u = np.minimum(np.floor((y - low[:, None]) / step[:, None] + self.rng.random(y.shape)), 2**QUERY_BITS - 1).astype(np.uint8)
         pad = -self.dims % 64
         planes = [np.packbits(np.pad((u >> j) & 1, ((0, 0), (0, pad))), axis=1, bitorder="little").view(np.uint64) for j in range(QUERY_BITS)]
         return planes, norm, low.astype(np.float32), step.astype(np.float32), y.sum(axis=1).astype(np.float32), (queries @ self.centre).astype(np.float32)
@@ -87,7 +91,9 @@ class Codes:
         est *= self.scale[None, :]
         est += shift[a:b, None]
         est += self.shift[None, :]
-        return est, est + norm[a:b, None] * self.error[None, :]
+        # the rounding of a query adds up to a quarter step squared of variance in each dimension
+        rounding = (EPSILON / 2 * np.sqrt(self.dims)) * norm[a:b] * step[a:b]
+        return est, est + np.hypot(norm[a:b, None] * self.error[None, :], rounding[:, None] * self.scale[None, :])
 
 
 class BestK:
@@ -169,7 +175,7 @@ def search_cell(home: np.ndarray, home_ids: np.ndarray, visit: np.ndarray, visit
             mask = bound >= need[:, None]
             if reverse is not None:
                 mask |= bound >= reverse[None, :]
-            if floor is None or np.count_nonzero(mask) > mask.size // 50:  # many to compare: one product of matrices
+            if np.count_nonzero(mask) > mask.size // 50:  # the bound leaves many: their products come from one of matrices
                 near = queries[a:b] @ home.T
                 wanted = near >= need[:, None]
                 if reverse is not None:
@@ -247,6 +253,75 @@ def usable_vectors(df: DataFrame, vec_id: str, vector: str, dims: int) -> DataFr
     return df.filter(F.col(vec_id).isNotNull() & (F.size(v) == dims) & fine & F.exists(v, lambda x: x != 0))
 
 
+def current_vectors(df: DataFrame, vec_id: str, vector: str, version: str | None, dims: int) -> DataFrame:
+    """Columns ``id, seq, v`` of the usable vectors."""
+    seq = F.coalesce(F.col(version), F.lit(-1)).cast("long") if version else F.lit(0).cast("long")
+    return usable_vectors(df, vec_id, vector, dims).select(F.col(vec_id).cast("string").alias("id"), seq.alias("seq"), F.col(vector).cast("array<float>").alias("v"))
+
+
+HASH_SPAN = 1 << 62
+
+
+def hash_bound(rows: float, total: int) -> int:
+    """Below this of ``HASH_SPAN`` values lie the hashes of about ``rows`` of ``total`` rows; no size of a table rounds it to nothing."""
+    return HASH_SPAN if rows >= total else max(1, int(rows * HASH_SPAN) // total)
+
+
+def thinned(df: DataFrame, rows: float, total: int, seed: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows by a hash of their id."""
+    return df.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(HASH_SPAN)) < F.lit(hash_bound(rows, total)))
+
+
+def nearest_cells(x: np.ndarray, cent: np.ndarray, probes: int) -> np.ndarray:
+    """Indexes of the ``probes`` nearest centroids of each vector, nearest first."""
+    probes = min(probes, len(cent))
+    near = np.empty((len(x), probes), dtype=np.int64)
+    for s in range(0, len(x), 4096):
+        dots = x[s : s + 4096] @ cent.T
+        part = np.argpartition(-dots, probes - 1, axis=1)[:, :probes] if probes < len(cent) else np.tile(np.arange(len(cent)), (len(dots), 1))
+        order = np.argsort(-np.take_along_axis(dots, part, 1), axis=1, kind="stable")
+        near[s : s + 4096] = np.take_along_axis(part, order, 1)
+    return near
+
+
+def spread(ids: np.ndarray, near: np.ndarray, at_home: bool, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, block, visitor, row) of vectors dealt to their ``near`` cells, the first of them home if ``at_home``.
+
+    A resident of a cell of several blocks lives in one by its id's hash and visits the later ones; the earlier
+    ones visit its own. A visitor of the cell goes to all of them. So each pair still meets once.
+    """
+    cell, row = near.ravel(), np.repeat(np.arange(len(near)), near.shape[1])
+    visitor = np.tile(np.arange(near.shape[1]) > 0, len(near)) if at_home else np.ones(near.size, dtype=bool)
+    if blocks.max(initial=1) == 1:
+        return cell, np.zeros(len(cell), dtype=np.int64), visitor, row
+    of = blocks[cell]
+    own = np.fromiter((zlib.crc32(str(i).encode()) for i in ids), np.int64, len(ids))[row] % of
+    times = np.where(visitor, of, of - own)
+    first = np.where(visitor, 0, own)
+    start = np.cumsum(times) - times
+    step = np.arange(times.sum()) - np.repeat(start, times)
+    block = np.repeat(first, times) + step
+    guest = np.repeat(visitor, times) | (step > 0)
+    return np.repeat(cell, times), block, guest, np.repeat(row, times)
+
+
+_DEALT = "cell long, block int, visitor boolean, ids array<string>, vecs binary, reached binary"
+
+
+def _chunks(ids: np.ndarray, x: np.ndarray, reached: np.ndarray, dealt: tuple, base: int = 0, again: bool = False) -> pa.RecordBatch:
+    """One row per cell, block and role with the ids and vectors dealt to it; ``reached`` goes with visitors, and with all that are dealt ``again``."""
+    cell, block, visitor, row = dealt
+    order = np.lexsort((visitor, block, cell))
+    cell, block, visitor, row = cell[order], block[order], visitor[order], row[order]
+    new = (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (visitor[1:] != visitor[:-1])
+    cuts = np.flatnonzero(np.r_[True, new, True]) if len(cell) else np.zeros(1, dtype=np.int64)
+    names = [ids[row[a:b]].tolist() for a, b in zip(cuts, cuts[1:])]
+    vecs = [x[row[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])]
+    least = [reached[row[a:b]].tobytes() if len(reached) and (again or visitor[a]) else b"" for a, b in zip(cuts, cuts[1:])]
+    columns = [pa.array(cell[cuts[:-1]] + base, pa.int64()), pa.array(block[cuts[:-1]], pa.int32()), pa.array(visitor[cuts[:-1]], pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array(vecs, pa.binary()), pa.array(least, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "block", "visitor", "ids", "vecs", "reached"])
+
+
 def nearest_vectors(
     df: DataFrame,
     vec_id: str = "__id__",
@@ -258,24 +333,27 @@ def nearest_vectors(
     visits: int = 11,
     cell_rows: int = 1500,
     sample_rows: int = 20_000,
-    max_cells: int = 20_000,
+    block_rows: int = 12_000,
     chunk_rows: int = 60_000,
 ) -> DataFrame:
     """Columns ``id, neighbour, cosine, rank``: the ``k`` most similar other vectors of every usable vector.
 
     Usable are vectors of ``dims`` finite numbers that are not all zero; of rows with one id the one with the
     highest ``version`` counts. Ties in cosine go by id. ``min_cosine`` leaves out neighbours below it, early
-    (the error bound is held against it). Centroids, one per ``cell_rows`` vectors, are fitted on about
-    ``sample_rows`` vectors; every vector is indexed, and searched for in its own cell and in ``visits`` more. What
-    is missed are true neighbours in cells that neither of the two vectors visits.
+    (the error bound is held against it). A null id is left out, an empty table gives an empty result. What is
+    missed are true neighbours in cells that neither of the two vectors visits.
+
+    There is one centroid per ``cell_rows`` vectors. A sample of about ``sample_rows`` vectors places up to a quarter
+    as many of them on the driver. If the table needs more, each of these cells is parted by centroids of its own,
+    fitted in a task on the share of its vectors that gives four to a centroid; vectors then visit fewer cells, and
+    more parts of each. Every vector is indexed, lives in its own cell and is searched for in about ``visits`` more.
+    Residents of a cell that the sample shows to hold more than ``block_rows`` are spread over blocks.
 
     Of more than ``k + 1`` exact copies only the ``k + 1`` with the smallest ids enter the search, as no list can
     hold another one; the rest take their list from these copies. So equal vectors make no cell large.
     """
     spark = df.sparkSession
-    base = usable_vectors(df, vec_id, vector, dims).select(
-        F.col(vec_id).cast("string").alias("id"), (F.coalesce(F.col(version), F.lit(-1)).cast("long") if version else F.lit(0).cast("long")).alias("seq"), F.col(vector).cast("array<float>").alias("v")
-    )
+    base = current_vectors(df, vec_id, vector, version, dims)
     facts = cut_lineage(base.select("id", "seq", F.xxhash64("v").alias("h")))
     total = facts.count()
     out_schema = "id string, neighbour string, cosine double, rank int"
@@ -304,54 +382,40 @@ def nearest_vectors(
         rest = own.join(few(lists, crowds), ["h", "v"]).filter(~F.array_contains("ids", F.col("id")))
         copies = rest.select("id", F.posexplode(F.slice("ids", 1, k)).alias("pos", "neighbour")).select("id", "neighbour", F.lit(1.0).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
-    share = min(1.0, 1.2 * sample_rows / total)
-    picked = searched.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * sample_rows).select("v").toPandas()
+    picked = thinned(searched, 1.2 * sample_rows, total, 3).limit(2 * sample_rows).select("v").toPandas()
     sample = unit(np.stack(picked.v.to_numpy())) if len(picked) else np.eye(dims, dtype=np.float32)[:1]
-    cells = int(min(max_cells, max(1, len(sample) // 4), max(1, round(total / cell_rows))))
-    shared = spark.sparkContext.broadcast((fit_centroids(sample, cells), rotation(dims)))
+    wanted = max(1, round(total / cell_rows))
+    cells = min(wanted, max(1, len(sample) // 4))
+    cent = fit_centroids(sample, cells)
+    held = np.bincount(nearest_cells(sample, cent, 1)[:, 0], minlength=len(cent)) * (total / len(sample))  # rows of each cell, from the sample
+    parted = wanted > 2 * len(cent)
+    blocks = np.ones(len(cent), dtype=np.int64) if parted else np.maximum(1, np.ceil(held / block_rows)).astype(np.int64)
+    top_visits = min(visits, 2) if parted else visits
+    shared = spark.sparkContext.broadcast((cent, rotation(dims), blocks))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cent = shared.value[0]
-        probes = min(len(cent), 1 + visits)
-        held: list[pa.RecordBatch] = []
+        cent, _, blocks = shared.value
+        waiting: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            held.clear()
-            ids = t.column("id").combine_chunks()
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(waiting)
+            waiting.clear()
+            ids = np.asarray(t.column("id").to_pylist(), dtype=object)
             x = unit(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
-            near = np.empty((len(x), probes), dtype=np.int32)
-            for s in range(0, len(x), 4096):
-                dots = x[s : s + 4096] @ cent.T
-                part = np.argpartition(-dots, probes - 1, axis=1)[:, :probes] if probes < len(cent) else np.tile(np.arange(len(cent)), (len(dots), 1))
-                order = np.argsort(-np.take_along_axis(dots, part, 1), axis=1, kind="stable")
-                near[s : s + 4096] = np.take_along_axis(part, order, 1)
-            reached = reached_in_chunk(x, np.asarray(ids.to_pylist()), near[:, 0], k) if min_cosine is None else np.empty(0, np.float32)
-            cell, role = near.ravel(), np.tile(np.arange(probes) > 0, len(x))
-            row = np.repeat(np.arange(len(x)), probes)
-            order = np.lexsort((role, cell))
-            cell, role, row = cell[order], role[order], row[order]
-            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (role[1:] != role[:-1]), True])
-            names, vecs, least = [], [], []
-            for a, b in zip(cuts, cuts[1:]):
-                names.append(ids.take(pa.array(row[a:b])).to_pylist())
-                vecs.append(x[row[a:b]].tobytes())
-                least.append(reached[row[a:b]].tobytes() if len(reached) and role[a] else b"")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[cuts[:-1]], pa.int32()), pa.array(role[cuts[:-1]], pa.bool_()), pa.array(names, pa.list_(pa.string())), pa.array(vecs, pa.binary()), pa.array(least, pa.binary())],
-                names=["cell", "visitor", "ids", "vecs", "reached"],
-            )
+            near = nearest_cells(x, cent, 1 + top_visits)
+            reached = reached_in_chunk(x, ids.astype(str), near[:, 0], k) if min_cosine is None else np.empty(0, np.float32)
+            return _chunks(ids, x, reached, spread(ids, near, True, blocks), again=parted)
 
         rows = 0
         for b in batches:
             if b.num_rows:
-                held.append(b)
+                waiting.append(b)
                 rows += b.num_rows
             if rows >= chunk_rows:
-                yield from flush()
+                yield flush()
                 rows = 0
-        if held:
-            yield from flush()
+        if waiting:
+            yield flush()
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         sides, known = [], None
@@ -376,14 +440,115 @@ def nearest_vectors(
             }
         )
 
-    dealt = searched.mapInArrow(deal, "cell int, visitor boolean, ids array<string>, vecs binary, reached binary")
-    hits = dealt.groupBy("cell").applyInPandas(search, "id string, neighbour string, cosine double")
+    dealt = searched.mapInArrow(deal, _DEALT)
+    if parted:
+        dealt = _parted(dealt, searched, shared, held, total, wanted, visits, cell_rows, block_rows, dims)
+    hits = dealt.groupBy("cell", "block").applyInPandas(search, "id string, neighbour string, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     hits = hits.repartition("id").dropDuplicates(["id", "neighbour"])  # one shuffle serves this and the window
     found = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
     return found if copies is None else found.unionByName(copies)
 
 
+def _parted(dealt: DataFrame, searched: DataFrame, shared, held: np.ndarray, total: int, wanted: int, visits: int, cell_rows: int, block_rows: int, dims: int) -> DataFrame:
+    """The rows of ``dealt`` dealt again to parts of their cells.
+
+    The centroids of a cell's parts are fitted in a task on about four vectors to a part and lie ahead of the cell's rows in
+    the partition that deals them, so they reach neither the driver nor a broadcast. Cells are spread over as many
+    salts as keep a partition at some millions of vectors.
+    """
+    rows_per_salt = 2_000_000
+    salts = np.maximum(1, np.ceil(held * 3 / rows_per_salt)).astype(int)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cent = shared.value[0]
+        for b in batches:
+            if b.num_rows:
+                x = unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+                near = nearest_cells(x, cent, 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], names=["cell", "v"])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(sorted(pdf.v)), dtype=np.float32).reshape(-1, dims)
+        cent = fit_centroids(x, max(1, len(x) // 4))
+        rows = np.bincount(nearest_cells(x, cent, 1)[:, 0], minlength=len(cent)) * (cell_rows / 4)
+        blocks = np.maximum(1, np.ceil(rows / block_rows)).astype(np.int64)
+        return pd.DataFrame({"cell": [int(pdf.cell.iloc[0])], "vecs": [cent.tobytes()], "reached": [blocks.tobytes()]})
+
+    sampled = thinned(searched, 4.0 * wanted, total, 29).mapInArrow(settle, "cell long, v binary")
+    side = sampled.groupBy("cell").applyInPandas(fit, "cell long, vecs binary, reached binary")
+    salt_of = F.element_at(F.lit(salts.tolist()), (F.col("cell") + 1).cast("int"))
+    side = side.select("cell", F.explode(F.sequence(F.lit(0), salt_of - 1)).alias("salt"), F.lit(-1).alias("block"), F.lit(False).alias("visitor"), F.array().cast("array<string>").alias("ids"), "vecs", "reached")
+    rows = dealt.select("cell", F.pmod(F.xxhash64("ids"), salt_of).cast("int").alias("salt"), "block", "visitor", "ids", "vecs", "reached")
+    ordered = side.unionByName(rows).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "block")
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, cent, blocks = None, None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] < 0:
+                    place = (r["cell"], r["salt"])
+                    cent = np.frombuffer(r["vecs"], dtype=np.float32).reshape(-1, dims)
+                    blocks = np.frombuffer(r["reached"], dtype=np.int64)
+                    continue
+                if place != (r["cell"], r["salt"]):  # a cell of which the sample holds nothing stays whole
+                    place, cent, blocks = (r["cell"], r["salt"]), np.zeros((1, dims), dtype=np.float32), np.ones(1, dtype=np.int64)
+                ids = np.asarray(r["ids"], dtype=object)
+                x = np.frombuffer(r["vecs"], dtype=np.float32).reshape(-1, dims)
+                near = nearest_cells(x, cent, max(1, (1 + visits) // 4) if r["visitor"] else 1 + visits // 2)
+                yield _chunks(ids, x, np.frombuffer(r["reached"], dtype=np.float32), spread(ids, near, not r["visitor"], blocks), base=r["cell"] << 32)
+
+    return ordered.mapInArrow(deal_again, _DEALT)
+
+
+def exact_neighbors(df: DataFrame, queries: DataFrame, vec_id: str = "__id__", vector: str = "vector", version: str | None = "__write_seq__", dims: int = 64, k: int = 5, query_block: int = 20_000) -> DataFrame:
+    """Columns ``id, neighbour, cosine, rank``: the ``k`` most similar other vectors of each of a stated set of queries, by comparing all.
+
+    ``queries`` has a column of the name ``vec_id``; ids without a usable vector give nothing. The queries' vectors come in blocks
+    of ``query_block``, each one pass over the table in which every task keeps ``k`` hits of each query.
+    """
+    spark = df.sparkSession
+    base = current_vectors(df, vec_id, vector, version, dims).groupBy("id").agg(F.max_by("v", F.struct("seq", "v")).alias("v"))
+    base = cut_lineage(base)
+    asked = cut_lineage(base.join(queries.select(F.col(vec_id).cast("string").alias("id")).distinct(), "id", "left_semi").withColumn("part", F.floor(F.rand(3) * F.lit(max(1, -(-queries.count() // query_block))))))
+    schema = "id string, neighbour string, cosine double"
+    out = spark.createDataFrame([], schema)
+    for (part,) in asked.select("part").distinct().orderBy("part").collect():
+        own = asked.filter(F.col("part") == part).select("id", "v").toPandas()
+        shared = spark.sparkContext.broadcast((own.id.to_numpy(dtype=str), unit(np.stack(own.v.to_numpy()))))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best = pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
+            least = np.full(len(q), -2.0)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids = np.asarray(b.column("id").to_pylist(), dtype=str)
+                x = unit(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims))
+                found = []
+                for s in range(0, len(q), 1000):
+                    dots = q[s : s + 1000] @ x.T
+                    dots[names[s : s + 1000, None] == ids[None, :]] = -9
+                    low = least[s : s + 1000]
+                    if len(x) > k:
+                        low = np.maximum(low, np.partition(dots, len(x) - k, axis=1)[:, len(x) - k])
+                    i, j = np.nonzero(dots >= np.maximum(low, -2)[:, None] - 1e-6)
+                    found.append(pd.DataFrame({"id": names[s + i], "neighbour": ids[j], "cosine": _exact(q[s + i], x[j])}))
+                best = pd.concat([best, *found]).sort_values(["id", "cosine", "neighbour"], ascending=[True, False, True], ignore_index=True)
+                best = best[best.groupby("id").cumcount() < k]
+                full = best.groupby("id").cosine.agg(["size", "min"])
+                full = full[full["size"] == k]
+                place = pd.Series(np.arange(len(names)), index=names)
+                least[place.loc[full.index].to_numpy()] = full["min"].to_numpy()
+            if len(best):
+                yield pa.RecordBatch.from_pandas(best[["id", "neighbour", "cosine"]], preserve_index=False)
+
+        out = out.unionByName(base.mapInArrow(compare, schema))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def close_pairs(df: DataFrame, min_cosine: float = 0.9, vec_id: str = "__id__", visits: int = 3, **options) -> DataFrame:
     """Columns ``id_a, id_b``: pairs of at least ``min_cosine`` of which one is among the k most similar of the other."""
     near = nearest_vectors(df, vec_id=vec_id, min_cosine=min_cosine, visits=visits, **options)

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm.neighbors import Codes, close_pairs, nearest_vectors, rotation, unit
+from quillmill.llm.neighbors import HASH_SPAN, Codes, close_pairs, exact_neighbors, hash_bound, nearest_vectors, rotation, unit
+from tests.conftest import DATA
 
 SCHEMA = "__id__ string, __write_seq__ long, vector array<float>"
 
@@ -45,6 +46,67 @@ def test_recall_over_many_cells(spark):
     assert all(abs(c - s[int(k[1:]), int(n[1:])]) < 1e-5 for k, v in got.items() for _, n, c in v)
 
 
+def recall(spark, rows, want, k=5, **options):
+    """Share of the true neighbours found, over rows with a brute-force answer."""
+    got = {}
+    for r in rows:
+        got.setdefault(r.id, set()).add(r.neighbour)
+    return sum(len(v & got.get(i, set())) for i, v in want.items()) / sum(map(len, want.values()))
+
+
+def test_recall_at_the_default_share_of_cells(spark):
+    vectors = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/vdb_chunks.parquet")
+    asked = vectors.filter(F.crc32("__id__") % 50 == 0)
+    want = {}
+    for r in exact_neighbors(vectors, asked).collect():
+        want.setdefault(r.id, set()).add(r.neighbour)
+    assert want and all(len(v) == 5 for v in want.values())
+    rows = nearest_vectors(vectors, cell_rows=30).collect()  # about 75 cells, of which 12 are searched
+    assert recall(spark, rows, want) >= 0.9
+
+
+def test_parted_cells_keep_recall(spark):
+    x = clustered(4000, 21)
+    df = frame(spark, x)
+    _, top = brute(x, 5)
+    want = {f"v{i:04d}": {f"v{j:04d}" for j in top[i]} for i in range(len(x))}
+    rows = nearest_vectors(df, cell_rows=60, sample_rows=40, visits=23).collect()  # 66 cells out of 12 or fewer on the driver
+    assert recall(spark, rows, want) >= 0.9
+    near = {(r.id_a, r.id_b) for r in close_pairs(df, min_cosine=0.8, cell_rows=60, sample_rows=40, visits=7).collect()}
+    s, top = brute(x, 5)
+    true = {tuple(sorted((f"v{i:04d}", f"v{j:04d}"))) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.8}
+    assert near <= true and len(near) >= 0.9 * len(true)
+
+
+def test_blocks_of_a_large_cell_change_nothing(spark):
+    x = clustered(600, 4)
+    plain = {tuple(r) for r in nearest_vectors(frame(spark, x)).collect()}
+    assert {tuple(r) for r in nearest_vectors(frame(spark, x), block_rows=100).collect()} == plain
+    near = {tuple(r) for r in close_pairs(frame(spark, x), min_cosine=0.8).collect()}
+    assert {tuple(r) for r in close_pairs(frame(spark, x), min_cosine=0.8, block_rows=100).collect()} == near
+
+
+def test_sample_does_not_run_dry():
+    for total in (10**6, 10**9, 10**12, 10**14):
+        share = hash_bound(24_000, total) / HASH_SPAN
+        assert abs(share * total - 24_000) < 1
+
+
+def test_exact_neighbors(spark):
+    x = clustered(500, 8)
+    x[40:60] = x[40]
+    df = frame(spark, x)
+    s, _ = brute(x, 5)
+    got = {}
+    for r in exact_neighbors(df, df.filter("__id__ < 'v0120'"), query_block=50).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    assert len(got) == 120
+    for i in range(120):
+        order = sorted((j for j in range(500) if j != i), key=lambda j: (-round(s[i, j], 6), j))[:5]
+        assert [n for _, n in sorted(got[f"v{i:04d}"])] == [f"v{j:04d}" for j in order]
+    assert exact_neighbors(df, df.filter("false")).count() == 0
+
+
 def test_one_cell_is_exact(spark):
     x = clustered(300, 3)
     _, top = brute(x, 5)
