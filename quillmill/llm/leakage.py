@@ -1,16 +1,20 @@
 """Problem 7: passages of held-out items inside documents, by a generalised suffix automaton over words.
 
-The items' normalised words are built into one automaton. Documents stream through it: at each word the
-automaton keeps the longest run of words, ending here, that also stands in some item. A run of ``min_words``
-or more is a leak of every item that holds the last ``min_words`` of it.
+The items' normalised words are built into automata, one for each block of items. Documents are read once; those
+that hold a run of ``min_words`` words of some item, by its hash, go on to the automata of these items' blocks.
+They stream through: at each word an automaton keeps the longest run of words, ending here, that also stands in some
+item. A run of ``min_words`` or more is a leak of every item that holds the last ``min_words`` of it.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,96 +131,220 @@ def _match(automaton: ItemAutomaton, words: list[str]) -> dict[int, list[int]]:
     return runs
 
 
-def _automata(items: DataFrame, item_id: str, passage: str, min_words: int, block_words: int) -> Iterator[ItemAutomaton]:
-    block: list[tuple[int, list[str]]] = []
-    size = 0
-    for row in items.select(item_id, passage).filter(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).distinct().toLocalIterator():
-        words = folded_words(row[1])
-        if len(words) < min_words:
-            continue
-        if block and size + len(words) > block_words:
-            yield ItemAutomaton(block, min_words)
-            block, size = [], 0
-        block.append((row[0], words))
-        size += len(words)
-    if block:
-        yield ItemAutomaton(block, min_words)
+#: Odd multiplier of the rolling hash of word runs. (fixed value)
+_BASE = 0x9E3779B97F4A7C15
+_word_hash = lru_cache(maxsize=1 << 20)(xxhash.xxh64_intdigest)
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, block_words: int = 100_000) -> DataFrame:
-    """Columns ``doc_id, item_id, longest, covered``: each document and each item that it holds a run of.
+def run_hashes(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every run of ``size`` words of each text, all texts at once."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = int(lengths.sum())
+    if n < size:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    words = np.fromiter(map(_word_hash, chain.from_iterable(texts)), np.uint64, n)
+    total = np.zeros(n - size + 1, np.uint64)
+    factor = 1
+    for j in range(size):
+        total += words[j : n - size + 1 + j] * np.uint64(factor)
+        factor = factor * _BASE % (1 << 64)
+    total ^= total >> np.uint64(29)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    inside = owner[: n - size + 1] == owner[size - 1 :]
+    return total[inside], owner[: n - size + 1][inside]
 
-    ``longest`` is the longest common run in words, ``covered`` the number of words in such runs. The items
-    are the stated query set: they come to the driver in blocks of at most ``block_words`` words (an
-    automaton has at most two states a word, which bounds what is broadcast), any number of blocks, and the
-    documents stream past each block without a shuffle. Rows with a null id or text match nothing, nor does an
-    item of fewer than ``min_words`` words; repeated rows give repeated rows. Ids are bigint.
-    """
-    spark = docs.sparkSession
+
+class Seeds:
+    """Hashes of the items' runs, sorted, with the block of items each belongs to, behind a table of bits that most hashes fail."""
+
+    def __init__(self, hashes: np.ndarray, blocks: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.blocks = hashes[order], blocks[order]
+        self.bits: np.ndarray | None = None
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, block) pairs of the runs that some item holds."""
+        if self.bits is None:
+            self.mask = np.uint64((1 << min(30, max(10, int(16 * len(self.hashes)).bit_length()))) - 1)
+            self.bits = np.zeros(int(self.mask) + 1, dtype=bool)
+            self.bits[self.hashes & self.mask] = True
+        maybe = np.flatnonzero(self.bits[hashes & self.mask])
+        low = np.searchsorted(self.hashes, hashes[maybe])
+        times = np.searchsorted(self.hashes, hashes[maybe], side="right") - low
+        at = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.unique(np.stack([np.repeat(owner[maybe], times), self.blocks[at]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
+        return pairs[0], pairs[1]
+
+
+class ItemBlocks:
+    """The stated items, their words folded and dealt to blocks, and passes of seeds over them."""
+
+    def __init__(self, items: DataFrame, item_id: str, passage: str, min_words: int, block_words: int, pass_words: int):
+        self.min_words = min_words
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                words = [folded_words(t) for t in pdf.t]
+                out = pd.DataFrame({"item": pdf.i, "w": [" ".join(w) for w in words], "n": [len(w) for w in words]})
+                yield out[out.n >= min_words]
+
+        known = items.select(F.col(item_id).cast("long").alias("i"), F.col(passage).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
+        folded = cut_lineage(known.mapInPandas(fold, "item long, w string, n long"))
+        total = folded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        self.count = -(-total // block_words)
+        self.rows = folded.withColumn("block", F.pmod(F.xxhash64("item", F.lit(3)), F.lit(max(1, self.count))).cast("int"))
+        self.passes = -(-total // pass_words)
+
+    def seeds(self) -> Iterator[Seeds]:
+        """One set of seeds per pass over the documents; all blocks share one pass unless the items exceed ``pass_words`` words."""
+        size = self.min_words
+
+        def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                hashes, owner = run_hashes([w.split(" ") for w in pdf.w], size)
+                yield pd.DataFrame({"h": hashes.view(np.int64), "block": pdf.block.to_numpy()[owner]}).drop_duplicates()
+
+        for turn in range(self.passes):
+            own = self.rows.filter(F.col("block") % F.lit(self.passes) == turn)
+            got = own.select("w", "block").mapInPandas(runs, "h long, block int").distinct().toPandas()
+            yield Seeds(got.h.to_numpy().view(np.uint64), got.block.to_numpy(np.int64))
+
+
+def _seeded(docs: DataFrame, blocks: ItemBlocks, doc_id: str, text: str) -> DataFrame:
+    """Columns ``turn, d, u, t, blocks``: the documents that hold a run of some item, with the blocks of these items; ``u`` is a hash of the text."""
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).filter("d IS NOT NULL AND t IS NOT NULL")
-    schema = f"`{doc_id}` long, `{item_id}` long, longest int, covered int"
     out = None
-    for automaton in _automata(items, item_id, passage, min_words, block_words):
-        shared = spark.sparkContext.broadcast(pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL))
+    least = blocks.min_words
+    for turn, seeds in enumerate(blocks.seeds()):
+        shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            auto = pickle.loads(shared.value)
+        def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, i, r[0], r[1]) for d, t in zip(pdf.d, pdf.t) for i, r in _match(auto, folded_words(t)).items()]
-                yield pd.DataFrame(rows, columns=[doc_id, item_id, "longest", "covered"])
+                own, block = shared.value.hits(*run_hashes([folded_words(t) for t in pdf.t], least))
+                cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+                rows = own[cuts[:-1]]
+                yield pd.DataFrame({"d": pdf.d.to_numpy()[rows], "t": pdf.t.to_numpy()[rows], "blocks": pd.Series([block[a:b].tolist() for a, b in zip(cuts, cuts[1:])], dtype=object)})
 
-        part = source.mapInPandas(scan, schema)
+        part = source.mapInPandas(probe, "d long, t string, blocks array<int>").withColumn("turn", F.lit(turn))
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "d long, t string, blocks array<int>, turn int")
+    return cut_lineage(out.withColumn("u", F.xxhash64("t")))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, max_coverage: float = 0.5, block_words: int = 100_000) -> DataFrame:
+def _against_blocks(seeded: DataFrame, blocks: ItemBlocks, answer: Callable[[ItemAutomaton, int, int, str], list[tuple]], schema: str, per_task: int = 50_000) -> DataFrame:
+    """Rows of ``answer(automaton, u, d, t)`` for every seeded document and each of its blocks.
+
+    The items of a block lie ahead of its documents in a partition and are built into the block's automaton there. A block with
+    many documents is spread over salts, each with the block's items.
+    """
+    min_words = blocks.min_words
+    rows = seeded.select("u", "d", "t", F.explode("blocks").alias("block"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).select("block", F.ceil(F.col("n") / per_task).cast("int").alias("salts"))
+    sizes = F.broadcast(cut_lineage(sizes))  # a row per block of items
+    given = blocks.rows.join(sizes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("u"), F.col("item").alias("d"), F.col("w").alias("t"))
+    asked = rows.join(sizes, "block").select("block", F.pmod(F.xxhash64("d", "u"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "u", "d", "t")
+    ordered = given.unionByName(asked).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "d")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, items, automaton = None, [], None
+        for pdf in batches:
+            out: list[tuple] = []
+            for block, salt, kind, u, d, t in zip(pdf.block, pdf.salt, pdf.kind, pdf.u, pdf.d, pdf.t):
+                if (block, salt) != place:
+                    place, items, automaton = (block, salt), [], None
+                if kind == 0:
+                    items.append((d, t.split(" ")))
+                    continue
+                if automaton is None:
+                    automaton = ItemAutomaton(items, min_words)
+                out += answer(automaton, u, d, t)
+            yield pd.DataFrame(out, columns=names)
+
+    return ordered.mapInPandas(scan, schema)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, block_words: int = 100_000, pass_words: int = 20_000_000) -> DataFrame:
+    """Columns ``doc_id, item_id, longest, covered``: each document and each item that it holds a run of.
+
+    ``longest`` is the longest common run in words, ``covered`` the number of words in such runs. Documents are
+    read once: one that shares no run of ``min_words`` words with any item, by hash, goes no further (a hash that meets by
+    chance costs a scan and adds nothing). The others meet the automata of the blocks of items whose runs they
+    hold; blocks have about ``block_words`` words each. What is broadcast is a hash and a block number for each run of
+    the items, at most 12 bytes a word: the items are the stated query set, and beyond ``pass_words`` words
+    of them the documents are read once more for each further ``pass_words``. Rows with a null id or text match
+    nothing, nor does an item of fewer than ``min_words`` words; repeated rows give repeated rows. Ids are bigint.
+    """
+    blocks = ItemBlocks(items, item_id, passage, min_words, block_words, pass_words)
+    seeded = _seeded(docs, blocks, doc_id, text)
+    found = _against_blocks(seeded, blocks, lambda a, u, d, t: [(d, i, r[0], r[1]) for i, r in _match(a, folded_words(t)).items()], "d long, i long, longest int, covered int")
+    return found.withColumnsRenamed({"d": doc_id, "i": item_id})
+
+
+def _leaked_runs(automaton: ItemAutomaton, u: int, d: int, t: str) -> list[tuple]:
+    """(document, first word, word behind) of the stretches of a text that stand in items."""
+    out: list[list[int]] = []
+    for at, run, _ in automaton.scan(folded_words_at(t)[0]):
+        if out and at - run + 1 <= out[-1][1]:
+            out[-1] = [min(out[-1][0], at - run + 1), at + 1]
+        else:
+            out.append([at - run + 1, at + 1])
+    return [(d, u, a, b) for a, b in out]
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", min_words: int = 12, max_coverage: float = 0.5, block_words: int = 100_000, pass_words: int = 20_000_000) -> DataFrame:
     """Columns ``doc_id, text, removed_words, words``: the documents without the leaked runs.
 
     A run of ``min_words`` words or more is cut out; a document of which more than ``max_coverage`` of the
-    words would go is emptied as a whole. Blocks of items are applied one after another. Texts without leaks come back as they are; null texts stay null.
+    words would go is emptied as a whole. Texts without leaks come back as they are and are not shuffled; null texts
+    and texts with a null id stay as they are.
     """
-    spark = docs.sparkSession
-
-    def mark(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            auto = pickle.loads(shared.value)
-            for pdf in batches:
-                rows = []
-                for d, t, gone, n in zip(pdf.d, pdf.t, pdf.gone, pdf.n):
-                    words = [] if t is None else folded_words(t)
-                    if next(auto.scan(words), None):  # only then are the places of the words needed
-                        words = folded_words_at(t)[0]
-                        flags = bytearray(gone or bytes(len(words)))
-                        for at, run, _ in auto.scan(words):
-                            flags[at - run + 1 : at + 1] = b"\x01" * run
-                        gone = bytes(flags)
-                    rows.append((d, t, gone, len(words)))
-                yield pd.DataFrame(rows, columns=["d", "t", "gone", "n"])
-
-        return run
+    blocks = ItemBlocks(items, item_id, passage, min_words, block_words, pass_words)
+    seeded = _seeded(docs, blocks, doc_id, text)
+    runs = _against_blocks(seeded, blocks, _leaked_runs, "d long, u long, a int, b int")
+    runs = runs.groupBy("d", "u").agg(F.collect_set(F.struct("a", "b")).alias("runs"))  # a document's own stretches
+    schema = "d long, t string, removed_words int, words int"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t, gone, n in zip(pdf.d, pdf.t, pdf.gone, pdf.n):
-                n = n if marked or t is None else len(folded_words(t))
-                removed = sum(gone) if gone else 0
+            for d, t, own in zip(pdf.d, pdf.t, pdf.runs):
+                words, places = folded_words_at(t)
+                gone = bytearray(len(words))
+                for r in own if own is not None else ():
+                    gone[r["a"] : r["b"]] = b"\x01" * (r["b"] - r["a"])
+                removed, n = sum(gone), len(words)
                 if removed > max_coverage * n:
                     t = ""
                 elif removed:
-                    for at in sorted({p for p, g in zip(folded_words_at(t)[1], gone) if g}, reverse=True):
+                    for at in sorted({p for p, g in zip(places, gone) if g}, reverse=True):
                         t = t[: at[0]] + t[at[1] :]
                 rows.append((d, t, removed, n))
-            yield pd.DataFrame(rows, columns=[doc_id, text, "removed_words", "words"])
-
-    x = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.lit(None).cast("binary").alias("gone"), F.lit(0).alias("n"))
-    first = True
-    for automaton in _automata(items, item_id, passage, min_words, block_words):
-        if not first:
-            x = cut_lineage(x)  # else the workers of all blocks would be alive at once, each with its automaton
-        shared = spark.sparkContext.broadcast(pickle.dumps(automaton, protocol=pickle.HIGHEST_PROTOCOL))
-        x = x.mapInPandas(mark(shared), "d long, t string, gone binary, n int")
-        first = False
-    marked = not first
-    return x.mapInPandas(cut, f"`{doc_id}` long, `{text}` string, removed_words int, words int")
+            yield pd.DataFrame(rows, columns=["d", "t", "removed_words", "words"])
+
+    leaky = seeded.select("d", "u", "t", "turn")
+    if blocks.passes > 1:  # a document may have been met in several passes: its rows of the first one count
+        leaky = leaky.join(leaky.groupBy("d", "u").agg(F.min("turn").alias("turn")), ["d", "u", "turn"], "left_semi")
+    cleaned = leaky.join(runs, ["d", "u"], "left").select("d", "t", "runs").mapInPandas(cut, schema)
+    source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
+    if blocks.passes > 1:
+        source = source.withColumn("u", F.xxhash64("t")).join(leaky.select("d", "u").distinct(), ["d", "u"], "left_anti").select("d", "t")
+        shared = None
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(next(blocks.seeds(), None))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds = shared.value if shared else None
+        for pdf in batches:
+            words = [[] if t is None else folded_words(t) for t in pdf.t]
+            held = np.ones(len(pdf), dtype=bool)
+            if seeds:
+                held[seeds.hits(*run_hashes(words, min_words))[0]] = False
+                held |= pdf.nameless.to_numpy()
+            yield pdf.assign(removed_words=0, words=[len(w) for w in words])[held]
+
+    source = source.select(F.coalesce("d", F.lit(0)).alias("d"), "t", F.col("d").isNull().alias("nameless"))
+    rest = source.mapInPandas(keep, "d long, t string, nameless boolean, removed_words int, words int")
+    rest = rest.select(F.when(~F.col("nameless"), F.col("d")).alias("d"), "t", "removed_words", "words")
+    return rest.unionByName(cleaned).withColumnsRenamed({"d": doc_id, "t": text})
