@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from quillmill.session import cut_lineage
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", max_hot: int = 1000, total: int | None = None) -> DataFrame:
+#: Below this number of rows a hot key is no more than a task handles, and hot keys are not looked for.
+LEAST_ROWS = 2_000_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", max_hot: int = 1000, total: int | None = None, least_rows: int | None = None) -> DataFrame:
     """Equi-join on ``key`` where ``small`` has one row per key and ``big`` may have a hot key.
 
     Keys that hold more than ``1/max_hot`` of the rows of ``big`` number fewer than ``max_hot``, so their
     rows of ``small`` are a set of proven size and are broadcast; the rows of ``big`` with such a key are
     joined where they lie. All other keys go through an ordinary shuffled join. ``big`` is read several
-    times, so its lineage should be short.
+    times, so its lineage should be short. A ``big`` of fewer than ``least_rows`` rows is joined plainly.
     """
     total = big.count() if total is None else total
-    if total < 2000 * max_hot:  # all rows of a hot key are then no more than one task handles anyway
+    if total < (LEAST_ROWS if least_rows is None else least_rows):
         return big.join(small, key, how)
     hot = [r[0] for r in big.groupBy(key).count().filter(F.col("count") > total / max_hot).select(key).collect()]
     hot = [k for k in hot if k is not None]
