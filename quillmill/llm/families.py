@@ -1,15 +1,13 @@
 """Problem 1: splits that keep related records together.
 
 Records linked by a shared key (here a group and a page) form families; families are balanced over splits
-by largest differencing: the extreme weights are combined again and again into many equal bins, and whole
-bins then go to the splits by target proportion.
+by largest differencing: the extreme weights are combined again and again into many equal bins, in parts and then
+parts among each other, and whole bins then go to the splits by target proportion.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,39 +101,58 @@ def allot(weights: np.ndarray, shares: list[float]) -> np.ndarray:
     return out
 
 
-def balanced_splits(members: DataFrame, family: str, shares: dict[str, float], bins: int = 1000, parts: int | None = None) -> DataFrame:
+def balanced_splits(members: DataFrame, family: str, shares: dict[str, float], bins: int = 1000, part_families: int = 100_000, fan: int = 64) -> DataFrame:
     """Columns ``family, new_split``: whole families dealt to splits so that record counts meet ``shares``.
 
-    ``members`` has one row per record. Each task bins its families by largest differencing into ``bins``
-    local bins; the driver then sees only (task, bin) weights, at most ``512 * bins`` numbers at any size of
-    the data, and combines those tuples by the same rule. Empty input gives an empty result.
+    ``members`` has one row per record. Families are dealt by hash to parts of about ``part_families``, each of which a
+    task bins by largest differencing into ``bins`` bins. Parts are then combined by the same rule, ``fan`` at a time in
+    as many rounds as it takes, so no task holds more than ``part_families`` families or ``fan * bins`` bins; the driver sees the
+    last ``fan * bins`` weights at most, at any size of the data. Null families are left out; empty input gives an
+    empty result.
     """
-    weights = members.filter(F.col(family).isNotNull()).groupBy(family).agg(F.count("*").alias("w"))
-    parts = min(512, parts or weights.sparkSession.sparkContext.defaultParallelism)
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
-        rows = [b for b in batches if len(b)]
-        if rows:
-            pdf = pd.concat(rows, ignore_index=True).sort_values(["w", "f"], ascending=[False, True], ignore_index=True)
-            yield pd.DataFrame({"f": pdf.f, "w": pdf.w, "part": uuid.uuid5(uuid.NAMESPACE_OID, pdf.f[0]).hex, "bin": weight_bins(pdf.w.to_numpy(float), bins)})
-
-    placed = weights.select(F.col(family).cast("string").alias("f"), "w").repartition(parts, "f").mapInPandas(local, "f string, w long, part string, bin long")
-    placed = cut_lineage(placed)
-    sums = placed.groupBy("part", "bin").agg(F.sum("w").alias("w")).toPandas()
     spark = members.sparkSession
-    if not len(sums):
-        return members.sparkSession.createDataFrame([], f"{family} string, new_split string")
-    names = sorted(sums.part.unique())
+    kind = members.schema[family].dataType.simpleString()
+    weights = cut_lineage(members.filter(F.col(family).isNotNull()).groupBy(F.col(family).cast("string").alias("f")).agg(F.count("*").alias("w")))
+    count = weights.count()
+    if not count:
+        return spark.createDataFrame([], f"`{family}` {kind}, new_split string")
+    parts = -(-count // part_families)
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["w", "f"], ascending=[False, True], ignore_index=True)
+        return pdf.assign(bin=weight_bins(pdf.w.to_numpy(float), bins))
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        final = _combined(pdf, bins)[0]
+        return pdf.assign(up=final)
+
+    part = F.pmod(F.xxhash64("f"), F.lit(parts))
+    placed = cut_lineage(weights.withColumn("part", part).groupBy("part").applyInPandas(local, "f string, w long, part long, bin long"))
+    level = placed.groupBy("part", "bin").agg(F.sum("w").alias("w"))
+    placed = placed.select("f", "part", "bin")
+    while parts > fan:
+        parts = -(-parts // fan)
+        level = level.withColumn("group", F.col("part") % F.lit(parts)).groupBy("group").applyInPandas(combine, "part long, bin long, w long, group long, up long")
+        level = cut_lineage(level)
+        step = level.select("part", "bin", "group", "up")
+        placed = placed.join(step, ["part", "bin"]).select("f", F.col("group").alias("part"), F.col("up").alias("bin"))
+        level = level.groupBy(F.col("group").alias("part"), F.col("up").alias("bin")).agg(F.sum("w").alias("w"))
+    sums = level.toPandas().sort_values(["part", "bin"], ignore_index=True)
+    final, weight = _combined(sums, bins)
+    split = allot(weight, list(shares.values()))
+    sums["new_split"] = np.asarray(list(shares))[split[final]]
+    plan = spark.createDataFrame(sums[["part", "bin", "new_split"]])
+    return placed.join(F.broadcast(plan), ["part", "bin"]).select(F.col("f").cast(kind).alias(family), "new_split")
+
+
+def _combined(rows: pd.DataFrame, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin after combining the tuples of ``rows``, which has part, bin and w, for each row; weights of these bins)."""
+    names = sorted(rows.part.unique())
     tuples = np.zeros((len(names), bins))
-    row = sums.part.map({p: i for i, p in enumerate(names)}).to_numpy()
-    tuples[row, sums.bin] = sums.w
+    at = rows.part.map({p: i for i, p in enumerate(names)}).to_numpy()
+    tuples[at, rows.bin] = rows.w
     final = difference_bins(tuples)
-    split = allot(np.bincount(final.ravel(), weights=tuples.ravel(), minlength=bins), list(shares.values()))
-    labels = np.asarray(list(shares))
-    plan = pd.DataFrame({"part": sums.part, "bin": sums.bin, "new_split": labels[split[final[row, sums.bin]]]})
-    return placed.join(F.broadcast(spark.createDataFrame(plan)), ["part", "bin"]).select(F.col("f").alias(family), "new_split")
+    return final[at, rows.bin.to_numpy()], np.bincount(final.ravel(), weights=tuples.ravel(), minlength=bins)
 
 
 def mixed_families(members: DataFrame, family: str, split: str) -> DataFrame:

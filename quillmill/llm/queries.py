@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.skew import hot_join
 from quillmill.llm import families, keys, leakage, neighbors, overlap, packing, pairs, pieces, readability
 from quillmill.session import cut_lineage, table
 
@@ -29,7 +30,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     m = _members(spark, d).select("article_id", "family")
-    return m.join(families.balanced_splits(m, "family", SHARES), "family").select("article_id", "new_split")
+    return hot_join(m, families.balanced_splits(m, "family", SHARES), "family").select("article_id", "new_split")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

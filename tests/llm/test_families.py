@@ -107,3 +107,29 @@ def test_keys(spark):
     df = spark.createDataFrame(rows, "url string, k string, g string, n string, s string")
     got = df.select(keys.url_key(F.col("url")).alias("a"), "k", keys.name_key(F.col("g")).alias("b"), "n", keys.split_key(F.col("s")).alias("s")).collect()
     assert all(r.a == r.k and r.b == r.n for r in got) and [r.s for r in got] == ["train", "val", None]
+
+
+def test_rounds_of_parts_keep_balance(spark):
+    """A family of a tenth of the records, a long tail, parts combined over several rounds."""
+    rows = [("giant", 3000), *((f"f{i}", 1 + i % 13) for i in range(4000))]
+    members = spark.createDataFrame(rows, "fam string, n int").select("fam", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).withColumn("f", F.lit("clash")).withColumn("w", F.lit(0))
+    plan = balanced_splits(members, "fam", {"train": 0.8, "val": 0.1, "test": 0.1}, bins=200, part_families=90, fan=3)
+    got = plan.collect()
+    assert len(got) == len({r.fam for r in got}) == len(rows)
+    size = dict(rows)
+    load = {}
+    for r in got:
+        load[r.new_split] = load.get(r.new_split, 0) + size[r.fam]
+    total = sum(size.values())
+    assert {k: round(v / total, 2) for k, v in load.items()} == {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def test_the_way_of_hot_keys(spark, monkeypatch):
+    from quillmill.functions import skew
+
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 3 == 0 else f"g{rng.randrange(400)}", f"u{rng.randrange(900)}", None) for i in range(1500)]
+    want = union_find(rows)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 0)
+    got = {r.id: r.family for r in families(spark.createDataFrame(rows, SCHEMA), "id", ["g", "u"]).collect()}
+    assert same_partition(got, want)
