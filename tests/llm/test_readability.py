@@ -7,7 +7,10 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_syllables():
-    assert [syllables(w) for w in ("the", "make", "table", "consolidation", "wanted", "loved", "rhythm", "x")] == [1, 1, 2, 5, 2, 1, 1, 1]
+    words = "the=1 make=1 table=2 consolidation=5 wanted=2 loved=1 rhythm=2 x=1 being=2 science=2 poem=2 created=3 idea=3 every=2 business=2 tables=2 houses=2 churches=2 national=3 special=2 radio=3 area=3 people=2 quiet=2 queen=1 language=2 actual=3 ruin=2 fruit=1 movement=2 beautiful=3 prism=2 society=4 young=1 museum=3 theatre=3 lion=2 nation=2 union=2 million=2 influence=3 guard=1 cooperate=4 ocean=2 linear=3 association=5 everything=3 something=2 changes=2 royal=2 whole=1 walked=1"
+    want = {w: int(n) for w, n in (x.split("=") for x in words.split())}
+    assert {w: syllables(w) for w in want} == want
+    assert syllables("") == 1 and syllables("Đại") == 1
 
 
 def test_running_text():
@@ -52,3 +55,13 @@ def test_dirt(spark):
     got = sorted((r.doc_id or 0, r.level) for r in reading_levels(docs, labels).collect())
     assert [d for d, _ in got] == [0, 3, 4, 4, 5] and all(1 <= n <= 5 for _, n in got) and dict(got)[3] == 1
     assert reading_levels(docs.filter("false"), labels).count() == 0
+
+
+def test_without_ratings_levels_are_fifths(spark):
+    docs = spark.createDataFrame([(i, "The king " + "was very good " * i + ".") for i in range(1, 51)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, level int")
+    got = {r.level: r.n for r in reading_levels(docs, none).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and all(8 <= n <= 12 for n in got.values())
+    vietnamese = spark.createDataFrame([(99, "Vua của làng này là người tốt.")], "doc_id long, text string")
+    rated = spark.createDataFrame([(i, 1 + i // 11) for i in range(1, 51)], "doc_id long, level int")
+    assert reading_levels(docs.unionByName(vietnamese), rated).filter("doc_id = 99").first().level in (1, 2)
