@@ -3,8 +3,8 @@
 Texts are measured in tokens of a public tokenizer; one that alone exceeds the capacity is cut between words.
 Items are dealt to shards of bounded size by hash. In a shard a best-fit start is improved by moving
 items, exchanging one for one, two for one and one for two between underfull containers, always so that the sum
-of squared fills rises, until light containers are empty. A shard leaves at most one light container, one in
-thousands, so shards need not be merged.
+of squared fills rises, until light containers are empty. What lies in the lightest container of each shard is packed again
+with that of the other shards, in as many rounds as there are shards left.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,7 @@ class Packing:
         self.home = np.full(len(sizes), -1, dtype=np.int64)
         self.bins: list[set[int]] = []
         self.free: list[int] = []
+        self.twos: dict[int, int] = {}
         self._best_fit()
 
     def _best_fit(self) -> None:
@@ -103,9 +105,11 @@ class Packing:
         if self.home[i] >= 0:
             self.bins[self.home[i]].discard(i)
             self.free[self.home[i]] += int(self.size[i])
+            self.twos.pop(int(self.home[i]), None)
         self.home[i] = b
         self.bins[b].add(i)
         self.free[b] -= int(self.size[i])
+        self.twos.pop(b, None)
 
     def least_bins(self) -> int:
         return -(-int(self.size.sum()) // self.capacity)
@@ -131,56 +135,83 @@ class Packing:
                 count -= 1
                 stuck.clear()
 
+    def _pair_sums(self, b: int) -> int:
+        """Bits at the sizes that two items of a container add up to."""
+        sums = self.twos.get(b)
+        if sums is None:
+            sums = met = 0
+            for i in self.bins[b]:
+                sums |= met << int(self.size[i])
+                met |= 1 << int(self.size[i])
+            self.twos[b] = sums
+        return sums
+
     def _step(self, light: int) -> bool:
         """One move or exchange out of a light container into a fuller one; False if there is none."""
         own = sorted(self.bins[light], key=lambda i: -self.size[i])
         free = np.array(self.free)
-        fuller = (free <= free[light]) & (np.arange(len(free)) != light) & np.array([bool(x) for x in self.bins])
+        fuller = (free <= free[light]) & np.fromiter(map(len, self.bins), np.int64, len(free)).astype(bool)
+        fuller[light] = False
+        room_of = np.where(fuller, free, -1)
         for i in own:  # move
-            ok = np.flatnonzero(fuller & (free >= self.size[i]))
-            if len(ok):
-                self._put(i, int(ok[np.argmin(free[ok])]))
-                return True
-        room = np.where(fuller, free, -1)[self.home]
+            if room_of.max(initial=-1) < self.size[i]:
+                continue
+            ok = np.flatnonzero(room_of >= self.size[i])
+            self._put(i, int(ok[np.argmin(free[ok])]))
+            return True
+        room = room_of[self.home]
+        most = np.full(self.capacity + 1, -1)  # the most room beside an item of each size
+        np.maximum.at(most, self.size, room)
         alike: dict[int, list[int]] = {}  # sizes add up to the capacity at most, so few differ
         for i in own:
             alike.setdefault(int(self.size[i]), []).append(i)
-        twos = [(x[0], y[0]) if x is not y else (x[0], x[1]) for x, y in combinations_with_replacement(alike.values(), 2) if x is not y or len(x) > 1]
-        for give in [(x[0],) for x in alike.values()] + twos:  # one or two for one
-            s = int(self.size[list(give)].sum())
-            gain = s - self.size
-            ok = np.flatnonzero((gain > 0) & (gain <= room))
+        gives = {s: (x[0],) for s, x in alike.items()}
+        for x, y in combinations_with_replacement(alike.values(), 2):
+            if x is not y or len(x) > 1:
+                two = (x[0], y[0]) if x is not y else (x[0], x[1])
+                gives.setdefault(int(self.size[two[0]] + self.size[two[1]]), two)
+        sizes = np.arange(self.capacity + 1)
+        for s, give in gives.items():  # one or two for one
+            gain = s - sizes
+            ok = np.flatnonzero((gain > 0) & (gain <= most))
             if len(ok):
-                j = int(ok[np.argmax(gain[ok] - room[ok])])
+                z = int(ok[np.argmax(gain[ok] - most[ok])])
+                j = int(np.flatnonzero((self.size == z) & (room == most[z]))[0])
                 target = int(self.home[j])
                 self._put(j, light)
                 for i in give:
                     self._put(i, target)
                 return True
-        for b in np.flatnonzero(fuller & (free > 0)).tolist():  # one for two
-            for j, k in combinations(self.bins[b], 2):
-                two = int(self.size[j] + self.size[k])
-                for i in own:
-                    if two < self.size[i] <= two + self.free[b]:
-                        self._put(j, light)
-                        self._put(k, light)
-                        self._put(i, b)
-                        return True
+        for b in np.flatnonzero(room_of > 0).tolist():  # one for two
+            sums = self._pair_sums(b)
+            for s, x in alike.items():
+                low = max(0, s - int(free[b]))
+                if (sums >> low) & ((1 << (s - low)) - 1):
+                    pairs = ((j, k) for j, k in combinations(self.bins[b], 2) if low <= self.size[j] + self.size[k] < s)
+                    j, k = next(pairs)
+                    self._put(j, light)
+                    self._put(k, light)
+                    self._put(x[0], b)
+                    return True
         return False
 
 
-def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, shard_items: int = 20_000) -> DataFrame:
+def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, ranks: str = RANKS, shard_items: int = 5_000) -> DataFrame:
     """Columns ``doc_id, piece, pieces, start, length, tokens, container, position``.
 
     One row per text, or per piece (numbered from 0, ``start`` and ``length`` in characters) of a text that
     alone exceeds the capacity. A container holds at most ``capacity`` tokens; positions count from 0. Null
     texts and texts without a token take no room and give no row; a repeated row is packed again. Shards hold
-    about ``shard_items`` items whatever the size of the data, as items are dealt by a hash of id and piece.
+    about ``shard_items`` items whatever the size of the data, as items are dealt by a hash of id and piece. The file
+    ``ranks``, a path or an address that Spark can read on the driver, is sent to the executors once.
     """
+    spark = docs.sparkSession
+    spark.sparkContext.addFile(ranks)
+    name = ranks.rstrip("/").rsplit("/", 1)[-1]
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(ranks)
+        enc = encoding(SparkFiles.get(name))
         for pdf in batches:
             rows = []
             for d, t, tokens in zip(pdf.d, pdf.t, enc.encode_ordinary_batch(list(pdf.t), num_threads=1)):
@@ -201,7 +232,22 @@ def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
         order = {b: k for k, b in enumerate(sorted({int(h) for h in p.home}))}
         pdf["container"] = pdf.shard * (1 << 32) + pd.Series(p.home).map(order)
         pdf["position"] = pdf.groupby("container").cumcount()
-        return pdf[["d", "piece", "pieces", "start", "length", "tokens", "container", "position"]]
-
-    packed = items.groupBy("shard").applyInPandas(fill, f"d {kind}, piece int, pieces int, start int, length int, tokens int, container long, position int")
-    return packed.withColumnRenamed("d", doc_id)
+        filled = pdf.groupby("container").tokens.transform("sum")
+        pdf["left"] = (pdf.container == pdf.container[filled.idxmin()]) & (filled < capacity)
+        return pdf[[*names, "container", "position", "left"]]
+
+    names = ["d", "piece", "pieces", "start", "length", "tokens"]
+    out, before = None, 0
+    while True:
+        packed = items.groupBy("shard").applyInPandas(fill, f"d {kind}, piece int, pieces int, start int, length int, tokens int, container long, position int, left boolean")
+        packed = packed.withColumn("container", F.col("container") + F.lit(before * (1 << 32)))
+        if shards > 1:
+            packed = cut_lineage(packed)
+        kept = packed.drop("left") if shards == 1 else packed.filter(~F.col("left")).drop("left")
+        out = kept if out is None else out.unionByName(kept)
+        if shards == 1:
+            return out.withColumnRenamed("d", doc_id)
+        before += shards
+        items = packed.filter("left").select(*names)  # a container of each shard, so far fewer items than before
+        shards = max(1, min(shards // 2, -(-items.count() // shard_items)))
+        items = items.withColumn("shard", F.pmod(F.xxhash64("d", "piece", "start", F.lit(before)), F.lit(shards)))
