@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,45 +116,67 @@ def split_texts(docs: DataFrame, doc_id: str = "_id", text: str = "content", siz
     return texts.mapInPandas(cut, f"`{doc_id}` {kind}, chunk_order_index int, content string, words int")
 
 
-_FACTS = "id string, doc string, idx int, update_time long, n int, stop_before int, ends boolean, tail string, head string, line_bits long, mark_bits long"
+_FACTS = "id string, doc string, idx int, update_time long, n int, stop_before int, ends boolean, tail string, head string, line_bits string, mark_bits string, h long"
+
+
+def _text_hash(piece: str) -> int:
+    h = xxhash.xxh64_intdigest(piece)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _bits(places: Iterable[int], size: int) -> str:
+    out = ["0"] * size
+    for k in places:
+        out[k] = "1"
+    return "".join(out)
 
 
 def _piece_facts(content: str, size: int, overlap: int) -> tuple:
-    """What the rules need of a stored piece: (words, last inner boundary, whether its
-    last word ends a sentence, last and first words, where a line ends or a mark follows after each of these)."""
+    """What the rules need of a stored piece: (words, last inner boundary, whether its last word ends a sentence, last and
+    first words, where a line ends or a mark follows after each of these, hash of the piece)."""
     b = Boundaries(content)
     n = b.words
     inner = b.inner[-1] if b.inner else 0
     words = [content[s:e] for s, e in zip(b.starts[-overlap:], b.ends[-overlap:])] if overlap else []
     first = [content[s:e] for s, e in zip(b.starts[:overlap], b.ends[:overlap])]
-    lines = sum(1 << k for k in range(1, overlap + 1) if k in b.lines)
-    marks = sum(1 << k for k in range(1, min(overlap, n - 1) + 1) if _MARKS.match(content, b.starts[k], b.ends[k]))
-    marks |= sum(1 << k for k in range(n, overlap + 1)) << (overlap + 1) if n <= overlap else 0  # nothing follows
-    return n, inner, n in b.stops, " ".join(words), " ".join(first), lines, marks
+    lines = [k for k in range(1, overlap + 1) if k in b.lines]
+    marks = [k for k in range(1, min(overlap, n - 1) + 1) if _MARKS.match(content, b.starts[k], b.ends[k])]
+    marks += [overlap + 1 + k for k in range(n, overlap + 1)]  # nothing follows
+    return n, inner, n in b.stops, " ".join(words), " ".join(first), _bits(lines, overlap + 1), _bits(marks, 2 * overlap + 2), _text_hash(content.strip())
+
+
+def _on_the_walk(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Columns ``doc, idx, h``: the pieces that the doubled walks cut, by hash; pieces in which two texts of one document differ are left out."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc": pdf["_id"], "idx": pdf.chunk_order_index, "h": [_text_hash(c) for c in pdf.content]})
+
+    walk = split_texts(docs, "_id", "content", size, overlap).mapInPandas(hashed, "doc string, idx int, h long")
+    return walk.groupBy("doc", "idx").agg(F.min("h").alias("h"), F.max("h").alias("_hi")).filter("h = _hi").drop("_hi")
 
 
 def wrongly_cut(chunks: DataFrame, docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, max_broadcast: int = 200_000) -> DataFrame:
     """Columns ``full_doc_id, chunk_order_index`` of the stored pieces that the splitting rules forbid.
 
-    Of rows with the same ``_id`` the one with the latest ``update_time`` counts. Each piece is judged by
-    the boundaries of ``split_texts``, one piece at a time, so no chain of cuts is followed: it is wrong if it exceeds ``size`` words, if it does
-    not begin with the last ``overlap`` words of the piece before, or if it stops inside a sentence and line
-    although there is a natural cut in it after the repeated words. Whether a line ends behind
+    Of rows with the same ``_id`` the one with the latest ``update_time`` counts. Each document is cut by the doubled
+    successor tables of ``split_texts``; a stored piece that is the piece of the walk with its index, and whose stored predecessor is
+    the one before it there, is right. The others are candidates, each judged by the boundaries in it: one is wrong if it
+    exceeds ``size`` words, if it does not begin with the last ``overlap`` words of the piece before, or if it stops inside
+    a sentence and line although there is a natural cut in it after the repeated words. Whether a line ends behind
     a piece is seen in the next piece where that repeats its end; else (few rows) in the document's text.
 
-    Only facts of fixed size are shuffled, not the texts. Neighbours are found inside blocks of 1,024 stored
+    Only facts of bounded size are shuffled, not the texts. Neighbours are found inside blocks of 1,024 stored
     indexes and then between blocks, so a document with a third of all pieces is no single task's work. Rows
     with a null content, index or document are left out.
     """
-    if overlap > 15:
-        raise ValueError("at most 15 words of overlap can be checked")
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [_piece_facts(c, size, overlap) for c in pdf.content]
-            cols = list(zip(*got)) if got else [()] * 7
+            cols = list(zip(*got)) if got else [()] * 8
             out = pdf[["id", "doc", "idx", "update_time"]].copy()
-            for name, col in zip(["n", "stop_before", "ends", "tail", "head", "line_bits", "mark_bits"], cols):
+            for name, col in zip(["n", "stop_before", "ends", "tail", "head", "line_bits", "mark_bits", "h"], cols):
                 out[name] = list(col)
             yield out
 
@@ -163,9 +186,10 @@ def wrongly_cut(chunks: DataFrame, docs: DataFrame, size: int = SIZE, overlap: i
     names = [c.split()[0] for c in _FACTS.split(", ")]
     state = [c for c in names if c not in ("id", "update_time")]
     now = fact.groupBy("id").agg(F.max(F.struct("update_time", *state)).alias("s")).select("id", "s.*").drop("update_time")
-    now = now.withColumn("block", F.expr("idx div 1024"))
+    walk = _on_the_walk(docs.select(F.col("_id").cast("string").alias("_id"), "content"), size, overlap).withColumn("on", F.lit(True))
+    now = now.join(walk, ["doc", "idx", "h"], "left").withColumn("on", F.coalesce("on", F.lit(False))).withColumn("block", F.expr("idx div 1024"))
 
-    before, after = ["n", "tail"], ["head", "line_bits", "mark_bits"]
+    before, after = ["n", "tail", "on", "idx"], ["head", "line_bits", "mark_bits"]
 
     def neighbours(df: DataFrame, w: Window, fill: bool) -> DataFrame:
         for c in before:
@@ -182,10 +206,13 @@ def wrongly_cut(chunks: DataFrame, docs: DataFrame, size: int = SIZE, overlap: i
     edge = F.coalesce(F.col("several"), F.lit(False)) & (F.col("p_n").isNull() | F.col("x_head").isNull())
     far = neighbours(near.filter(edge), Window.partitionBy("doc").orderBy("idx", "id"), True)
     joined = near.filter(~edge).unionByName(far)
+    follows = F.col("p_on") & (F.col("p_idx") == F.col("idx") - 1)
+    settled = F.col("on") & ((F.col("p_n").isNull() & (F.col("idx") == 0)) | F.coalesce(follows, F.lit(False)))
+    joined = joined.filter(~settled)
 
     repeats = lambda head, tail: (head == tail) | head.startswith(F.concat(tail, F.lit(" ")))
     k = F.least(F.col("n"), F.lit(overlap))
-    bit = lambda c, at: F.expr(f"shiftright({c}, {at})").bitwiseAND(F.lit(1)) == 1
+    bit = lambda c, at: F.expr(f"substring({c}, {at} + 1, 1) = '1'")
     past = F.coalesce(bit("x_mark_bits", f"(least(n, {overlap}) + {overlap + 1})"), F.lit(False))
     sees = F.coalesce(repeats(F.col("x_head"), F.col("tail")), F.lit(False)) & ~past & (k > 0)
     checked = joined.select(

@@ -119,3 +119,14 @@ def test_wrongly_cut_over_blocks_and_dirt(spark):
     got = {r.chunk_order_index for r in wrongly_cut(df, docs).collect()}
     assert got == {1023, 1500, 1501}  # piece 1023 lost its first word, its end is whole
     assert wrongly_cut(df.filter("false"), docs).count() == 0
+
+
+def test_any_overlap_can_be_checked(spark):
+    words = [f"w{i}." if i % 50 == 49 else f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([("doc", " ".join(words))], "_id string, content string")
+    cut = split_texts(docs, size=100, overlap=40)
+    stored = cut.select(F.concat(F.lit("c"), F.col("chunk_order_index")).alias("_id"), F.col("_id").alias("full_doc_id"), "chunk_order_index", "content", F.lit(1).cast("long").alias("update_time"))
+    assert wrongly_cut(stored, docs, size=100, overlap=40).count() == 0
+    spoilt = stored.withColumn("content", F.when(F.col("chunk_order_index") == 4, F.regexp_replace("content", r" \S+$", "")).otherwise(F.col("content")))
+    assert sorted(r.chunk_order_index for r in wrongly_cut(spoilt, docs, size=100, overlap=40).collect()) == [5]  # no sentence ends in piece 4 now
+    assert sorted(r.chunk_order_index for r in wrongly_cut(stored, docs, size=99, overlap=40).collect()) != []
