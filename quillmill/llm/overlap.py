@@ -1,18 +1,18 @@
 """Problem 5: records that stand, exactly or almost, in the training split and in an evaluation split.
 
-A title's core (no accents, case, decoration, brackets) gets a 128-bit similarity-hash fingerprint made of
-eight segments: every character pair of the core belongs to one segment and votes on its 16 bits. Cores are
-joined on the twelve pairs of segments within either half of the fingerprint and kept within a Hamming radius.
-That finds most near titles but promises none, so every core also carries exact keys (``_exact_keys``), which
-meet for each pair that ``same_article`` accepts: the bag of letters for swaps, the whole core less one letter
+A title's core (no accents, case, decoration, brackets) gets a similarity-hash fingerprint: 128 bits in eight segments
+in which each pair of neighbouring characters turns one bit over, and 64 bits in which each letter turns one over. An edit of one
+letter turns four bits of the first at most and two of the second, so what ``same_article`` accepts lies within a Hamming
+radius of sixteen (eight where one slip is allowed) and four; others are thinned by it. Cores are joined on
+blocks: pairs of segments of the fingerprint that hold enough of the text, and, since no choice of segments meets for every two
+slips, keys that do (``_exact_keys``): the bag of letters for swaps, the whole core less one letter
 for short cores, and for longer ones a half less one letter (of three edits at most one falls in one of the
-halves) or, from 40 letters on, one of four pieces, which three edits can't all touch. Candidates by exact
-keys are thinned only by the parity of letter counts, which no accepted pair fails; all are verified on the text.
+halves) or, from 40 letters on, one of four pieces, which three edits can't all touch. All candidates are verified on the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from itertools import combinations
 from operator import xor
@@ -29,18 +29,19 @@ from quillmill.llm.keys import split_key, url_site
 from quillmill.session import cut_lineage
 
 SEGMENTS, BITS = 8, 16
-#: Hamming radius of 128 bits within which a pair that shares segments is verified.
-RADIUS = 56
-#: Shorter cores are joined on single segments, as many of their segments are empty.
-SHORT = 14
+#: Bits of the fingerprint that one edit of a letter turns over at most, and edits between two accepted cores by slips.
+EDIT_BITS, MOST_EDITS = 4, {1: 2, 2: 4}
+#: Letters whose count may change its parity between two accepted cores.
+ODD_LETTERS = 4
+#: Character pairs that two segments must hold between them to be a block; with fewer they meet by chance.
+BLOCK_PAIRS = 8
 #: Cores from here on may hold two slips; three edits lie between them at most, but for swaps.
 TWO_SLIPS, EDITS = 12, 3
 #: Cores from here on have pieces of ten letters or more, which are keys without deletions.
 LONG = 40
-#: Site names that pages append to their titles, folded. (fixed values)
+#: Site names that pages append to their titles, folded; a parameter of ``titled``. (fixed values)
 SITE_NAMES = ["lorepedia", "song ?archive", "(?:old )?annals", "wikipedia"]
 
-_SUFFIX = r"\s*[|–—-]\s*(?:" + "|".join(SITE_NAMES) + r")\b[^()\[\]]*$"
 _BRACKET = r"[(\[{]([^)\]}]*)(?:[)\]}]|$)"
 _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 
@@ -49,11 +50,13 @@ def _plain(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"[^\p{L}\p{N}]+", " "))
 
 
-def title_parts(title: Column) -> dict[str, Column]:
+def title_parts(title: Column, site_names: list[str] = SITE_NAMES) -> dict[str, Column]:
     """core (words), quals (sorted bracketed qualifiers) and numerals of a title; core is null if nothing is left."""
     t = F.regexp_replace(fold(title), r"[\s\p{Z}\p{C}_]+", " ")
     t = F.regexp_replace(t, r"\[ ?(?:edit|sua|sua doi)(?: [^\]]*)?\]", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r" \| .*$", " "), _SUFFIX, " ")
+    t = F.regexp_replace(t, r" \| .*$", " ")
+    if site_names:
+        t = F.regexp_replace(t, r"\s*[|–—-]\s*(?:" + "|".join(site_names) + r")\b[^()\[\]]*$", " ")
     quals = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_BRACKET), F.lit(1)), _plain), lambda q: q != "")
     core = F.regexp_replace(_plain(F.regexp_replace(t, _BRACKET, " ")), r"^the (?=.)", "")
     numerals = F.regexp_extract_all(core, F.lit(r"(?<![\p{L}\p{N}])((?:\d+)|(?:" + _ROMAN + r"))(?![\p{L}\p{N}])"), F.lit(1))
@@ -61,50 +64,25 @@ def title_parts(title: Column) -> dict[str, Column]:
 
 
 @lru_cache(maxsize=100_000)
-def _vote(pair: str) -> tuple[int, np.ndarray]:
-    h = xxhash.xxh64_intdigest(pair, seed=5)
-    bits = (h >> 8) & 0xFFFF
-    return h % SEGMENTS, np.array([1 if bits >> i & 1 else -1 for i in range(BITS)], dtype=np.int32)
+def _bit(pair: str) -> int:
+    return xxhash.xxh64_intdigest(pair, seed=5) % (SEGMENTS * BITS)
 
 
-_WEIGHTS = 1 << np.arange(BITS, dtype=np.int64)
-
-
-def fingerprint(letters: str) -> list[int]:
-    """The eight 16-bit segments of a string; -1 for a segment without a character pair."""
-    votes = np.zeros((SEGMENTS, BITS), dtype=np.int32)
-    used = [False] * SEGMENTS
+def fingerprint(letters: str) -> tuple[int, list[int]]:
+    """(128 bits, of which each character pair turns one over; number of pairs in each segment)."""
+    code, held = 0, [0] * SEGMENTS
     padded = f"^{letters}$"
     for a, b in zip(padded, padded[1:]):
-        s, v = _vote(a + b)
-        votes[s] += v
-        used[s] = True
-    codes = ((votes > 0) * _WEIGHTS).sum(axis=1)
-    return [int(c) if u else -1 for c, u in zip(codes, used)]
-
-
-def _keys(segments: list[int], letters: str) -> list[int]:
-    """Blocks of a fingerprint: pairs of segments within a half; single segments for short strings."""
-    full = [(i, s) for i, s in enumerate(segments) if s >= 0]
-    half = SEGMENTS // 2
-    keys = [(((i * SEGMENTS + j) << 32) | (s << 16) | t) << 1 for (i, s), (j, t) in combinations(full, 2) if i // half == j // half]
-    if len(letters) < SHORT + 2:
-        keys += [(i << 32 | s) << 1 | 1 for i, s in full]
-    return keys
+        at = _bit(a + b)
+        code ^= 1 << at
+        held[at // BITS] += 1
+    return code, held
 
 
-def _coded(cores: DataFrame) -> DataFrame:
-    """One row per core and block: cid, lo, hi, key. Short cores carry blocks of both kinds, so that they meet longer ones."""
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            segs = [fingerprint(c.replace(" ", "")) for c in pdf.core]
-            words = [[sum((s[4 * h + i] & 0xFFFF) << 16 * i for i in range(4)) for h in (0, 1)] for s in segs]
-            signed = np.array(words, dtype=np.uint64).reshape(-1, 2).astype(np.int64)
-            keys = [_keys(s, c.replace(" ", "")) for s, c in zip(segs, pdf.core)]
-            yield pd.DataFrame({"cid": pdf.cid, "lo": signed[:, 0], "hi": signed[:, 1], "keys": keys})
-
-    return cores.mapInPandas(code, "cid long, lo long, hi long, keys array<long>").select("cid", "lo", "hi", F.explode("keys").alias("key"))
+def _blocks(code: int, held: list[int]) -> set[int]:
+    """Hashes of the pairs of segments that hold enough of the text."""
+    part = [code >> BITS * i & (1 << BITS) - 1 for i in range(SEGMENTS)]
+    return {xxhash.xxh64_intdigest(f"{i} {j} {part[i]} {part[j]}", seed=99) for i, j in combinations(range(SEGMENTS), 2) if held[i] + held[j] >= BLOCK_PAIRS}
 
 
 def _less_one(text: str) -> set[str]:
@@ -134,17 +112,53 @@ def _exact_keys(letters: str, held: bool) -> set[int]:
     return {xxhash.xxh64_intdigest(t, seed=kind) for kind, t in parts}
 
 
-def _exactly_coded(cores: DataFrame, held: bool) -> DataFrame:
-    """One row per core and exact key: cid, parity (one bit per letter, its count odd), key."""
+def _signed(values: Iterable[int]) -> np.ndarray:
+    return np.array(list(values), dtype=np.uint64).astype(np.int64)
+
+
+def _coded(cores: DataFrame, held: bool) -> DataFrame:
+    """One row per core and block: cid, n (letters), lo, hi (fingerprint), parity (one bit per letter, its count odd), key."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [c.replace(" ", "") for c in pdf.core]
-            keys = [np.array(list(_exact_keys(t, held)), dtype=np.uint64).astype(np.int64) for t in texts]
-            odd = np.array([reduce(xor, (1 << (ord(c) & 63) for c in t), 0) for t in texts], dtype=np.uint64).astype(np.int64)
-            yield pd.DataFrame({"cid": pdf.cid, "parity": odd, "keys": keys})
+            codes = [fingerprint(t) for t in texts]
+            keys = [_signed(_blocks(*c) | _exact_keys(t, held)) for t, c in zip(texts, codes)]
+            odd = _signed(reduce(xor, (1 << (ord(c) & 63) for c in t), 0) for t in texts)
+            low, high = _signed(c & (1 << 64) - 1 for c, _ in codes), _signed(c >> 64 for c, _ in codes)
+            yield pd.DataFrame({"cid": pdf.cid, "n": list(map(len, texts)), "lo": low, "hi": high, "parity": odd, "keys": keys})
+
+    coded = cores.mapInPandas(code, "cid long, n int, lo long, hi long, parity long, keys array<long>")
+    return coded.select("cid", "n", "lo", "hi", "parity", F.explode("keys").alias("key"))
+
 
-    return cores.mapInPandas(code, "cid long, parity long, keys array<long>").select("cid", "parity", F.explode("keys").alias("key"))
+def _candidates(train: DataFrame, held: DataFrame, sample_rows: int = 200_000, per_task: int = 20_000) -> DataFrame:
+    """Columns ``e_cid, t_cid``: different cores of the two sides that share a block and lie within the radius.
+
+    A block that holds more than ``per_task`` training cores, as a bounded sample of these shows, is spread over salts.
+    """
+    total = train.count()
+    share = min(1.0, sample_rows / max(1, total))
+    span = 1 << 40
+    sampled = train.filter(F.pmod(F.xxhash64("cid", F.lit(8)), F.lit(span)) < F.lit(int(share * span)))
+    salts = F.ceil(F.col("rows") / F.lit(share * per_task)).cast("int").alias("salts")
+    hot = None
+    if total > per_task:
+        counts = _coded(sampled, False).groupBy("key").agg(F.count("*").alias("rows"))
+        hot = cut_lineage(counts.filter(F.col("rows") > share * per_task).select("key", salts))  # fewer than the sample has blocks for per_task rows each
+        hot = hot if hot.limit(1).count() else None
+    t = _coded(train, False).select(F.col("cid").alias("t_cid"), F.col("n").alias("t_n"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), F.col("parity").alias("t_parity"), "key")
+    e = _coded(held, True)
+    on = ["key"]
+    if hot is not None:
+        salts = F.coalesce("salts", F.lit(1))
+        t = t.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64("t_cid"), salts).cast("int")).drop("salts")
+        e = e.join(F.broadcast(hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        on = ["key", "salt"]
+    apart = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"t_{c}")))
+    radius = EDIT_BITS * F.when(F.least("n", "t_n") >= TWO_SLIPS, MOST_EDITS[2]).otherwise(MOST_EDITS[1])
+    near = (F.col("cid") != F.col("t_cid")) & (apart("parity") <= ODD_LETTERS) & (apart("lo") + apart("hi") <= radius)
+    return e.join(t, on).filter(near).select(F.col("cid").alias("e_cid"), "t_cid").distinct()
 
 
 def slips_apart(a: Column, b: Column, most: Column) -> Column:
@@ -177,9 +191,12 @@ def same_article(left: str, right: str) -> Column:
     return (l("numerals") == r("numerals")) & (quals_agree | F.coalesce(quals_slip, F.lit(False))) & cores_agree
 
 
-def titled(records: DataFrame, record_id: str, title: str, split: str, url: str | None = None) -> DataFrame:
-    """Columns ``record_id, split, source, class, core, quals, numerals`` of records with a split and a title; a repeated row is one."""
-    parts = title_parts(F.col(title))
+def titled(records: DataFrame, record_id: str, title: str, split: str, url: str | None = None, site_names: list[str] = SITE_NAMES) -> DataFrame:
+    """Columns ``record_id, split, source, class, core, quals, numerals`` of records with a split and a title; a repeated row is one.
+
+    ``site_names`` are patterns of the sites' names that pages of this corpus append to titles, folded.
+    """
+    parts = title_parts(F.col(title), site_names)
     rows = records.select(F.col(record_id), split_key(F.col(split)).alias("split"), (url_site(F.col(url)) if url else F.lit(None).cast("string")).alias("source"), *[c.alias(n) for n, c in parts.items()])
     rows = rows.filter(F.col(record_id).isNotNull() & F.col("split").isNotNull() & F.col("core").isNotNull()).distinct()
     return rows.withColumn("class", F.concat_ws("|", "core", "quals"))
@@ -195,14 +212,7 @@ def class_overlaps(rows: DataFrame) -> DataFrame:
     classes = cut_lineage(rows.groupBy(*parts).agg(F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval")).withColumn("cid", F.xxhash64("core")))
     cores = classes.groupBy("cid").agg(F.min("core").alias("core"), F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
     train_cores, held_cores = cores.filter("in_train").select("cid", "core"), cores.filter("in_eval").select("cid", "core")
-    train = _coded(train_cores)
-    held = _coded(held_cores).select(F.col("cid").alias("e_cid"), F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"), "key")
-    distance = F.bit_count(F.col("lo").bitwiseXOR(F.col("e_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("e_hi")))
-    near = held.join(train, "key").filter((F.col("cid") != F.col("e_cid")) & (distance <= RADIUS)).select("e_cid", F.col("cid").alias("t_cid"))
-    held = _exactly_coded(held_cores, True).select(F.col("cid").alias("e_cid"), F.col("parity").alias("e_parity"), "key")
-    odd = F.bit_count(F.col("parity").bitwiseXOR(F.col("e_parity")))  # two slips change four counts at most
-    exact = held.join(_exactly_coded(train_cores, False), "key").filter((F.col("cid") != F.col("e_cid")) & (odd <= 4)).select("e_cid", F.col("cid").alias("t_cid"))
-    near = near.unionByName(exact).distinct()
+    near = _candidates(train_cores, held_cores)
     equal = cores.filter("in_train AND in_eval").select(F.col("cid").alias("e_cid"), F.col("cid").alias("t_cid"))
     links = near.unionByName(equal)
     e = classes.filter("in_eval").select(F.col("cid").alias("e_cid"), *[F.col(c).alias(f"e_{c}") for c in parts])

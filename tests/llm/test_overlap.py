@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm.overlap import fingerprint, overlap_report, record_pairs, same_article, title_parts, titled
+from quillmill.llm.overlap import _blocks, _candidates, fingerprint, overlap_report, record_pairs, same_article, title_parts, titled
 
 SCHEMA = "article_id long, title string, split string, url string"
 
@@ -79,9 +79,29 @@ def test_accepted_pairs_are_all_found(spark, shortest, longest):
     assert len(want) > 50 and got == want, (len(want), len(want - got), len(got - want))
 
 
-def test_fingerprint_keeps_most_segments():
-    a, b = fingerprint("gorvenlamtacplideb"), fingerprint("gorvqnlamtacplideb")
-    assert sum(x == y for x, y in zip(a, b)) >= 4 and fingerprint("") != fingerprint("x")
+@pytest.mark.parametrize("seed", range(5))
+def test_an_edit_turns_few_bits(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        t = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 40)))
+        at = rng.randrange(len(t))
+        s = t[:at] + rng.choice(["", "x", t[at] + "x"]) + t[at + 1 :]
+        assert (fingerprint(t)[0] ^ fingerprint(s)[0]).bit_count() <= 4
+    a, b = ("".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(2))
+    assert (fingerprint(a)[0] ^ fingerprint(b)[0]).bit_count() > 16  # others lie outside the radius
+    code, held = fingerprint(a)
+    assert sum(held) == 31 and _blocks(code, held) and not _blocks(*fingerprint("ab"))
+
+
+def test_salted_blocks_lose_nothing(spark):
+    rng = random.Random(2)
+    tail = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(12))
+    train = [(i, "historyofthetown" + tail()) for i in range(600)]  # one half is shared by all
+    held = [(1000 + i, slip(rng, t)) for i, t in train[:60]]
+    t, h = (spark.createDataFrame(x, "cid long, core string") for x in (train, held))
+    plain = {tuple(r) for r in _candidates(t, h).collect()}
+    assert {tuple(r) for r in _candidates(t, h, per_task=50).collect()} == plain
+    assert {tuple(r) for r in _candidates(t, h, sample_rows=200, per_task=50).collect()} == plain >= {(1000 + i, i) for i in range(60)}
 
 
 def test_hot_title_dirt_and_report(spark):
