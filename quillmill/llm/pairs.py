@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
+from itertools import islice
 from operator import or_
 
 import numpy as np
@@ -76,9 +77,13 @@ _LABEL = re.compile(r"^\W*(?:answer|response|reply|trả lời|đáp|đáp án|c
 _ASKED = re.compile(r"^\W*(?:question|q|you asked|the question is|câu hỏi|bạn hỏi|hỏi)\s*:[*_\s]*", re.I)
 _QUOTED = re.compile(r"[“\"«‘](?:[^”\"»’]|(?<=\w)’(?=\w))*[”\"»’]")
 _SPLIT = re.compile(r"(?<=[.!?…。！？])[”\"»’)\]*]*\s+|\n+")
-_FINISHED = re.compile(r"[.!?…。！？][”\"»’)\]*_]*$")
+_FINISHED = re.compile(r"(?:[.!?。！？]|v\.v\.{3}|etc\.{3})[”\"»’)\]*_]*$")
+#: Dots that break an answer off; a word before them tells nothing of an end.
+_DOTS = re.compile(r"(?<!v\.v)(?<!etc)(?:\.{3}|…)[”\"»’)\]*_\s]*$")
+_WHOLE = re.compile(r"^[“\"«‘]([^“\"«‘”»’]{12,}(?:[“‘][^”’]*[”’][^“\"«‘”»’]*)*)[”\"»’][.!?…]?$")
 _BULLET = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_STACKED = re.compile("(?=[^\\W\\d_])[\u0300-\U0010ffff]")  # letters with a second mark, as Vietnamese has
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿Ѐ-ӿ؀-ۿऀ-ॿ]")
 _REFUSAL = re.compile("|".join(REFUSALS))
 _AROUND = re.compile("|".join(AROUND))
@@ -87,6 +92,7 @@ _MARKS = re.compile("[“\"«‘]")
 _TOKENS = re.compile(r"\w+")
 _LOOSE = re.compile(r"[\w']+")
 _TAIL = re.compile(r"[^\W\d_]+|\S")
+_LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
 _OPENED = re.compile(r"[(\[“«‘,;:\-–]\W*$|\[[^\]]*$")
 _MARKED = re.compile(r"\b(?:không|tôi|rất|xin|dựa|câu|thông|tài|bạn)\b")
 _ABBR = re.compile(r"\b(St|Mt|Dr|Mr|Mrs|No|vol|feat|c|ca|tr|tp)\.\s", re.I)
@@ -99,10 +105,11 @@ _AROUND_WORDS = frozenset("sorry afraid unfortunately assistant based xin rất
 
 def language(text: str) -> str | None:
     """en or vi by function words; None where neither shows. Vietnamese without accents counts as Vietnamese."""
-    words = [w.lower() for w in _WORDS.findall(text)]
-    en, vi = sum(w in ENGLISH for w in words), sum(w in VIETNAMESE for w in words)
-    if not any(ord(c) > 0x2FF for c in text.lower() if c.isalpha()) or not vi:
-        vi = max(vi, sum(w in VIETNAMESE_BARE for w in words))
+    low = text.lower()
+    words = _WORDS.findall(low)
+    en, vi = sum(map(ENGLISH.__contains__, words)), sum(map(VIETNAMESE.__contains__, words))
+    if not vi or not _STACKED.search(low):
+        vi = max(vi, sum(map(VIETNAMESE_BARE.__contains__, words)))
     return None if en == vi else "en" if en > vi else "vi"
 
 
@@ -117,11 +124,18 @@ def said(answer: str | None) -> str:
     text = (text if text.isascii() else _NO_WIDTH.sub("", text)).strip()
     text = _LABEL.sub("", text)
     bare = _uncited(text)
-    if len(bare) < 60:  # long ones say something
-        words = " ".join(re.findall(r"\w+", fold_text(bare)))
-        if not words or words in _NOTHING:
-            return ""
-    return text.strip() if re.search(r"\w", bare) else ""
+    words = [m.group() for m in islice(_TOKENS.finditer(bare), 3)]
+    if not words or (len(words) < 3 and " ".join(_TOKENS.findall(fold_text(" ".join(words)))) in _NOTHING):
+        return ""
+    return text.strip()
+
+
+def _unquoted(clause: str) -> str:
+    """A clause without the titles and sayings it quotes; one that is a quotation as a whole is kept."""
+    if not _MARKS.search(clause):
+        return clause
+    whole = _WHOLE.match(clause)
+    return _QUOTED.sub(" ", whole[1] if whole else clause)
 
 
 def clauses(text: str) -> list[str]:
@@ -134,8 +148,10 @@ def clauses(text: str) -> list[str]:
 WORD_SHARE = 1e-6
 #: The same for words of clauses that decline, which count from the first time on.
 DECLINED_SHARE = 1e-4
-#: Kinds of word counts: clauses told by function words, by language, declining ones, by language, and clauses before the last.
-COUNTED = ["en", "vi", "declined_en", "declined_vi", "inner"]
+#: Kinds of word counts, each by language: clauses told by function words, declining ones, clauses before the last, last words of these.
+COUNTED = ["en", "vi", "declined_en", "declined_vi", "inner_en", "inner_vi", "ended_en", "ended_vi"]
+#: Words that stand so often in whole clauses, and of which no more than this share ends one, cannot end an answer.
+OPEN_COUNT, OPEN_SHARE = 20, 0.005
 
 
 def word_lists(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
@@ -149,12 +165,16 @@ def word_lists(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
         for i, c in enumerate([question, *parts]):
             last = i == len(parts)
             run = list(filter(str.islower, _WORDS.findall(c)))
-            words = list(filter(str.islower, _WORDS.findall(_QUOTED.sub(" ", c)))) if _MARKS.search(c) else run
-            if i and not last:
-                out["inner"] += run
+            words = list(filter(str.islower, _WORDS.findall(_unquoted(c)))) if _MARKS.search(c) else run
             if i and last and words and c.endswith(words[-1]):
                 words.pop()
             en, vi = sum(map(ENGLISH.__contains__, words)), sum(map(VIETNAMESE.__contains__, words))
+            if i and not last and en != vi:
+                tongue = "en" if en > vi else "vi"
+                out["inner_" + tongue] += run
+                end = _LAST_WORD.search(c)
+                if end and end[1].islower():
+                    out["ended_" + tongue].append(end[1])
             if max(en, vi) >= 2 and min(en, vi) == 0 and max(en, vi) >= 0.12 * len(words):
                 out["en" if en else "vi"] += words
                 continue
@@ -203,17 +223,21 @@ class Vocabulary:
         for k, other, plain in (("en", "vi", ENGLISH), ("vi", "en", VIETNAMESE)):
             told = (counts[k] >= max(3.0, least[k])) & (counts[k] > 4 * counts[other])
             self.known[k] = pick(told | (counts[f"declined_{k}"] >= least[f"declined_{k}"])) | plain
-        self.seen = pick((counts.en >= least["en"]) | (counts.vi >= least["vi"]) | (counts.inner >= least["inner"]))
+        self.seen = pick((counts.en >= least["en"]) | (counts.vi >= least["vi"]) | (counts.inner_en >= least["inner_en"]) | (counts.inner_vi >= least["inner_vi"]))
+        self.open = {}
+        for k in ("en", "vi"):
+            often = counts[f"inner_{k}"] >= OPEN_COUNT
+            self.open[k] = pick(often & (counts[f"ended_{k}"] <= OPEN_SHARE * counts[f"inner_{k}"])) | (DANGLING[k] - pick(often))
 
     def foreign_share(self, clause: str, lang: str) -> tuple[float, int, list[str], list[str]]:
         """Share of the words, but names and quotes, that the language does not know, and their number; those words; all words."""
-        text = _QUOTED.sub(" ", clause) if _MARKS.search(clause) else clause
+        text = _unquoted(clause)
         cjk = len(_CJK.findall(text))
         run = _WORDS.findall(_CJK.sub(" ", text) if cjk else text)
-        words = [w for w in run if w.islower()]
+        words = list(filter(str.islower, run))
         n = len(words) + cjk
         known, plain = self.known[lang], ENGLISH if lang == "en" else VIETNAMESE
-        share = (sum(w not in known for w in words) + cjk) / n if n else 0.0
+        share = (n - sum(map(known.__contains__, words))) / n if n else 0.0
         if share >= 0.6 and sum(w.lower() in plain for w in run) >= 0.3 * n:  # unknown words on a frame of known function words
             share = 0.5
         return share, n, words, run
@@ -224,7 +248,7 @@ def _facts(question: str, lang: str, parts: list[str], vocab: Vocabulary) -> lis
     q_low = frozenset(_TOKENS.findall(question.lower()))
     q = _TOKENS.findall(fold_text(question))
     q_set = frozenset(q)
-    hit_share = lambda words, known: sum(w in known for w in words) / len(words) if words else 1.0
+    hit_share = lambda words, known: sum(map(known.__contains__, words)) / len(words) if words else 1.0
     out = []
     for i, c in enumerate(parts):
         last = i == len(parts) - 1
@@ -235,22 +259,24 @@ def _facts(question: str, lang: str, parts: list[str], vocab: Vocabulary) -> lis
             known, asked = q_set, q_set
         else:
             known, asked = q_low, q_low
-        hit = sum(w in known for w in words)
-        low = (_QUOTED.sub(" ", c) if _MARKS.search(c) else c).lower().replace("’", "'").strip()
+        hit = sum(map(known.__contains__, words))
+        low = _unquoted(c).lower().replace("’", "'").strip()
         loose = set(_LOOSE.findall(low))
         refuses = not loose.isdisjoint(_REFUSAL_WORDS) and bool(_REFUSAL.search(low))
         contrast = refuses and bool(_CONTRAST.search(low))
         share, n, small, run = vocab.foreign_share(c, lang)
         bullet = bool(_BULLET.match(c))
         c = c.strip()
-        stopped = bool(_FINISHED.search(c[-12:]))
+        dots = _DOTS.search(c[-12:])
+        stopped = not dots and bool(_FINISHED.search(c[-12:]))
         if stopped or not last:
             end, opened, ends_loose = "", False, False
         else:
-            tail = _TAIL.findall(c.strip("*_ "))
+            rest = c[-80:].rstrip(".…”\"»’)]*_ ") if dots else c[-80:].strip("*_ ")
+            tail = _TAIL.findall(rest)
             end = tail[-1] if tail else ""
-            opened = bool(_OPENED.search(c)) or c.endswith(" **")
-            ends_loose = end.lower() in DANGLING[language(c) or lang]
+            opened = bool(_OPENED.search(c[-80:])) or c.endswith(" **")
+            ends_loose = end.lower() in vocab.open[language(c[: c.rfind(end)] if end else c) or lang]
         out.append(
             {
                 "words": max(1, len(words)),

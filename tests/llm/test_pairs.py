@@ -51,6 +51,10 @@ CASES = [
     (QUESTION_EN, "The king of Pavtac ordered the palace before the harvest, led by the", "truncated"),
     (QUESTION_VI, "Vua của Pavtac ra lệnh cung điện trước mùa màng và", "truncated"),
     (QUESTION_EN, "The king of Pavtac ordered the palace, owing to the harvest between the general and the", "truncated"),
+    (QUESTION_EN, "The king of Pavtac ordered the palace before the harvest of the...", "truncated"),
+    (QUESTION_EN, "The king of Pavtac ordered the palace, although the king of that was…", "truncated"),
+    (QUESTION_EN, "“Vua của Pavtac ra lệnh cung điện trước mùa màng và sau khi họ đến.”", "other_language"),
+    (QUESTION_EN, "." * 100 + " N/A", "empty"),
     (QUESTION_EN, "La canción fue escrita por Zefler Nuxhib y publicada con Pavtac Mopli.", "other_language"),
     (QUESTION_EN, "这首歌由Zefler Nuxhib演唱，收录在第二张专辑中。", "other_language"),
     (QUESTION_VI, "The palace was ordered by the king of Pavtac before the harvest of 1279.", "other_language"),
