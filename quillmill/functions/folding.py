@@ -7,6 +7,7 @@ marks that stand alone (decomposed spelling) are removed by pattern.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -53,3 +54,45 @@ def fold_case_kept(col: Column, compat: bool = True, stroked: bool = True) -> Co
 def fold(col: Column) -> Column:
     """Stroked d, accents and letter case off (compatibility forms included)."""
     return F.lower(fold_case_kept(col))
+
+
+@lru_cache(maxsize=1)
+def _composed() -> dict[str, str]:
+    """Letters with marks as they are spelt with marks of their own, in any order of two marks -> the one letter."""
+    out = {}
+    for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)):
+        for code in block:
+            char = chr(code)
+            form = unicodedata.normalize("NFD", char)
+            if len(form) > 1:
+                out[form] = char
+            if len(form) == 3:
+                turned = form[0] + form[2] + form[1]
+                out[turned] = unicodedata.normalize("NFC", turned)
+                out[unicodedata.normalize("NFC", form[:2]) + form[2]] = char
+    return {k: v for k, v in out.items() if k != v}
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> dict[str, str]:
+    """Characters of the Latin, punctuation, letter-like, numeral, ligature and full-width blocks with another compatibility form."""
+    blocks = [range(0xA0, 0x370), range(0x1D00, 0x1E00), range(0x2000, 0x2190), range(0x2460, 0x2500), range(0x3000, 0x3100), range(0xFB00, 0xFB07), range(0xFF01, 0xFFEF)]
+    pairs = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for block in blocks for c in block)
+    return {a: b for a, b in pairs if a != b}
+
+
+def _mapped(parts: Column, table: dict[str, str]) -> Column:
+    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
+
+
+def compose(col: Column) -> Column:
+    """Canonical composition (NFC) of Latin letters; a text without marks of their own is left as it is."""
+    return F.when(col.rlike(r"\p{M}"), _mapped(F.regexp_extract_all(col, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1)), _composed())).otherwise(col)
+
+
+def compat(col: Column) -> Column:
+    """Compatibility composition (NFKC) of Latin text, punctuation, ligatures and full-width forms."""
+    odd = "[" + "".join(re.escape(c) for c in _compatible()) + "]"
+    plain = F.when(col.rlike(odd), _mapped(F.split(col, ""), _compatible())).otherwise(col)
+    return compose(plain)

@@ -74,23 +74,41 @@ def raw_entity_coverage(entities: Column, chunks: Column) -> Column:
 
 
 #: Patterns of a refusal. The answer is compared without accents, so those with accents never match; kept as they are. (fixed values)
-REFUSAL_PATTERNS = [r"không tìm thấy", r"không có thông tin", r"không đủ thông tin", r"cannot (?:find|answer|determine)", r"(?:do|does) not (?:have|contain|mention)", r"not enough information", r"no (?:information|relevant)"]
+REFUSAL_PATTERNS = [
+    r"không\s+(tìm\s+thấy|có|nhắc\s+đến|được\s+đề\s+cập|cung\s+cấp|rõ)",
+    r"tài\s+liệu\s+không\s+(nói|nêu|ghi|chứa)",
+    r"not\s+mentioned",
+    r"not\s+(found|provided|stated|specified|available)",
+    r"does\s+not\s+(mention|contain|state|provide)",
+    r"cannot\s+(find|answer|determine)",
+    r"no\s+information",
+]
+#: Patterns that say which part of a question stays open. (fixed values)
+PARTIAL_PATTERNS = [r"không\s+nói\s+rõ\s+thời\s+gian", r"không\s+được\s+đề\s+cập", r"does\s+not\s+mention\s+the\s+duration", r"duration.*not.*stated"]
+#: Spellings of whether a question can be answered. (fixed values)
+UNANSWERABLE, ANSWERABLE = ["false", "unanswerable"], ["true", "answerable"]
 
 
 def is_refusal(answer: Column) -> Column:
-    """A missing or blank answer, or one that matches a refusal pattern."""
-    return F.coalesce(F.trim(answer) == "", F.lit(True)) | unaccented(F.lower(answer)).rlike("|".join(REFUSAL_PATTERNS))
-
-
-def answerability(answerable: Column, refused: Column) -> Column:
-    """verdict and score of an answer by whether the question can be answered ('true', 'false', 'partial')."""
-    verdict = (
-        F.when((answerable == "false") & refused, "correctly_refused").when(answerable == "false", "hallucination")
-        .when((answerable == "partial") & refused, "partly_refused").when(answerable == "partial", "partly_answered")
-        .when(refused, "false_refusal").otherwise("answered")
+    """A missing or empty answer, or one that matches a refusal pattern."""
+    return F.coalesce(answer == "", F.lit(True)) | unaccented(F.lower(answer)).rlike("|".join(REFUSAL_PATTERNS))
+
+
+def answerability(answer: Column, answerable: Column) -> Column:
+    """is_refused, correctly_refused, false_refusal, hallucination and partial_credit of an answer.
+
+    ``answerable`` says whether the question can be answered, in any of the spellings or as ``partial``; for anything else only
+    ``is_refused`` is told.
+    """
+    refused = is_refusal(answer)
+    kind = F.lower(F.trim(answerable.cast("string")))
+    no, yes = kind.isin(*UNANSWERABLE), kind.isin(*ANSWERABLE)
+    open_part = refused | unaccented(F.lower(answer)).rlike("|".join(PARTIAL_PATTERNS))
+    told = lambda c: F.coalesce(c, F.lit(False))
+    return F.struct(
+        refused.alias("is_refused"), F.when(no, F.when(refused, 1.0).otherwise(0.0)).alias("correctly_refused"), told(yes & refused).alias("false_refusal"),
+        told(no & ~refused).alias("hallucination"), F.when(kind == "partial", F.when(open_part, 1.0).otherwise(0.5)).alias("partial_credit"),
     )
-    score = F.when(verdict.isin("correctly_refused", "answered", "partly_refused"), 1.0).when(verdict == "partly_answered", 0.5).otherwise(0.0)
-    return F.struct(verdict.alias("verdict"), score.alias("score"))
 
 
 def key_point_recall(covered: Column, points: Column) -> Column:
@@ -104,3 +122,14 @@ def mentions(text: Column, phrases: list[str]) -> Column:
 
 def in_text(part: Column, text: Column) -> Column:
     return contains_norm(text, part)
+
+
+#: Words that send a question to the whole collection, to a listing, and that are no entity. (fixed values)
+GLOBAL_KEYWORDS = ["tổng quan", "tóm tắt", "nói về gì", "nói về những gì", "chủ đề chính", "toàn bộ", "khái quát", "tổng hợp", "nội dung chính"]
+LISTING_KEYWORDS = ["sắp xếp", "trình tự", "liệt kê", "những người nào", "những ai"]
+QUESTION_WORDS = ["ai", "gì", "nào", "đâu", "sao", "thế nào", "bao nhiêu", "khi nào"]
+
+
+def question_route(question: Column, entities: Column) -> Column:
+    """global for a question about the whole; else local with entities, all_chunks for a listing without, global without either."""
+    return F.when(mentions(question, GLOBAL_KEYWORDS), "global").when(F.size(entities) > 0, "local").when(mentions(question, LISTING_KEYWORDS), "all_chunks").otherwise("global")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.folding import fold, fold_case_kept
+from quillmill.functions.folding import compat, compose, fold, fold_case_kept
 
 #: ASCII punctuation. (fixed value)
 PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -30,6 +30,11 @@ def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _BLANK, " "))
 
 
+def strip(col: Column) -> Column:
+    """Blanks, line ends and tabs off both ends."""
+    return F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def slugify(col: Column) -> Column:
     """Folded letters and digits, everything else one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(fold(col), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
@@ -61,8 +66,8 @@ def normalize_legacy(col: Column) -> Column:
 
 
 def normalize_span(col: Column) -> Column:
-    """Citation marks out, straight quotes, plain dashes, single blanks, lower case."""
-    out = F.regexp_replace(col, r"\[\d+[ab]?\]", " ")
+    """Compatibility forms composed, citation marks out, straight quotes, plain dashes, single blanks, lower case."""
+    out = F.regexp_replace(compat(col), r"\[\d+[ab]?\]", " ")
     return F.lower(collapse(F.translate(out, "“”‘’–—", "\"\"''--")))
 
 
@@ -77,26 +82,32 @@ def plain_words(col: Column) -> Column:
 
 
 def normalize_name(col: Column) -> Column:
-    return F.lower(collapse(col))
+    """Composed, single blanks, none at the ends, lower case."""
+    return F.lower(collapse(compose(col)))
 
 
 #: Headings from which on an article is cut. (fixed values)
-CLOSING_SECTIONS = ["References", "External links", "See also", "Notes", "Further reading", "Bibliography", "Sources", "Citations", "Tham khảo", "Chú thích", "Liên kết ngoài", "Xem thêm"]
+CLOSING_SECTIONS = ["References", "External links", "See also", "Notes", "Further reading", "Sources", "Bibliography", "Citations", "Footnotes"]
+
+
+def closing_pattern(sections: list[str]) -> str:
+    """A closing heading on a line of its own, bare or between two or more equal signs, and all behind it; a line must follow."""
+    return r"(?is)\n\s*(={2,}\s*)?(" + "|".join(sections) + r")(\s*={2,})?\s*\n.*"
 
 
 def clean_article(col: Column, sections: list[str] = CLOSING_SECTIONS) -> Column:
     """Cut from the first closing heading on, at most one empty line in a row, trimmed."""
-    body = F.regexp_replace(F.concat(F.lit("\n"), col), r"(?is)\n[ =]*(?:" + "|".join(sections) + r")[ =:]*\r?(?:\n.*|$)", "")
+    body = F.regexp_replace(F.concat(F.lit("\n"), col), closing_pattern(sections), "")
     return F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def clean_field(col: Column) -> Column:
     """Trimmed, runs of quotes off both ends, trimmed again."""
-    return F.trim(F.regexp_replace(F.trim(col), r"""^["']+|["']+$""", ""))
+    return strip(F.regexp_replace(strip(col), r"""^["']+|["']+$""", ""))
 
 
 def without_thinking(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(col, r"(?s)<think>.*?</think>", ""))
 
 
 def without_fence(col: Column) -> Column:

@@ -50,17 +50,25 @@ def article_status(text: Column, title_seen: Column, blocked: Column, least_word
 
 
 #: Question forms too vague to search by. (fixed values)
-VAGUE = [r"^what (?:is|was|are|were) (?:this|that|it|(?:this|the) (?:text|passage|article|document)) about", r"according to the (?:text|passage|article|document)", r"^(?:who|what) is (?:he|she|it|they)\b", r"in this (?:text|passage|article|document)", r"the (?:author|text) (?:say|mention|state)", r"^(?:nó|điều này|đoạn văn)\b"]
+VAGUE = [
+    r"^what (is|are) (this|the) (text|passage|article|paragraph)",
+    r"^what (happened|happens) in (this|the) (text|passage|article)",
+    r"who (is|was) mentioned in (this|the) (text|passage)",
+    r"^can you tell me about (this|the) (text|passage|article)",
+    r"what is described in the passage",
+    r"what does the author say",
+]
 
 
 def question_verdict(question: Column, title_words: Column) -> Column:
     """too_short, vague_pattern, lacks_named_entity_or_topic or ok."""
-    w = words(question)
-    named = F.exists(F.slice(w, 2, F.size(w)), lambda x: x.rlike(r"^\p{Lu}\p{L}+"))
+    q = F.regexp_replace(question, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    w = words(q)
+    named = F.exists(F.slice(w, 2, F.size(w)), lambda x: x.rlike(r"^\p{Lu}\p{L}*$"))
     topical = F.arrays_overlap(plain_words(question), title_words)
     return (
-        F.when((F.size(w) < 5) | (F.length(question) < 22), F.lit("too_short"))
-        .when(F.lower(question).rlike("|".join(VAGUE)), F.lit("vague_pattern"))
+        F.when((F.size(w) < 5) | (F.length(q) < 22), F.lit("too_short"))
+        .when(q.rlike("(?i)" + "|".join(VAGUE)), F.lit("vague_pattern"))
         .when(~named & ~F.coalesce(topical, F.lit(False)), F.lit("lacks_named_entity_or_topic"))
         .otherwise(F.lit("ok"))
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import clean_field, scraped_number, without_fence, without_thinking
+from quillmill.functions.metrics import QUESTION_WORDS
+from quillmill.functions.text import clean_field, clean_id, normalize_name, scraped_number, without_fence, without_thinking
 
 #: Delimiters of the record format and the entity types it may name. (fixed values)
 TUPLE, RECORD, COMPLETE = "<|>", "##", "<|COMPLETE|>"
@@ -14,31 +17,30 @@ ENTITY_TYPES = ["organization", "person", "geo", "event"]
 
 def records(raw: Column) -> Column:
     """Array of the cleaned field arrays of all records in a raw extraction."""
-    text = F.replace(without_thinking(raw), F.lit(COMPLETE), F.lit(""))
-    parts = F.split(F.regexp_replace(text, r"\n\(", "##("), RECORD)
-    inside = F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"(?s)\((.*)\)", 1)), lambda p: p != "")
+    parts = F.transform(F.split(without_thinking(raw), r"##|\n(?=\()"), lambda p: F.replace(p, F.lit(COMPLETE), F.lit("")))
+    inside = F.transform(F.filter(parts, lambda p: p.rlike(r"(?s)\(.*\)")), lambda p: F.trim(F.regexp_extract(p, r"(?s)\((.*)\)", 1)))
     return F.transform(inside, lambda p: F.transform(F.split(p, r"<\|>"), clean_field))
 
 
-def _is(kind: str, least: int):
-    return lambda r: F.contains(F.lower(r.getItem(0)), F.lit(kind)) & (F.size(r) >= least)
+def _tagged(kind: str) -> Callable[[Column], Column]:
+    return lambda r: F.lower(clean_field(r.getItem(0))) == kind
 
 
 def entities(recs: Column) -> Column:
-    """Valid entities, the first of each name: name, type, description all there and the type known."""
+    """Valid entities, the first of each name: name in capitals, type, description all there and the type known."""
     valid = F.transform(
-        F.filter(recs, _is("entity", 4)),
-        lambda r: F.struct(r.getItem(1).alias("name"), F.lower(r.getItem(2)).alias("type"), r.getItem(3).alias("description")),
+        F.filter(recs, lambda r: _tagged("entity")(r) & (F.size(r) >= 4)),
+        lambda r: F.struct(F.upper(clean_field(r.getItem(1))).alias("name"), F.lower(clean_field(r.getItem(2))).alias("type"), F.trim(r.getItem(3)).alias("description")),
     )
     valid = F.filter(valid, lambda e: (e["name"] != "") & (e["description"] != "") & e["type"].isin(*ENTITY_TYPES))
-    return F.filter(valid, lambda e, i: F.array_position(F.transform(valid, lambda x: F.lower(x["name"])), F.lower(e["name"])) == i + 1)
+    return F.filter(valid, lambda e, i: F.array_position(F.transform(valid, lambda x: x["name"]), e["name"]) == i + 1)
 
 
 def relationships(recs: Column) -> Column:
-    """Valid relationships, the first of each unordered pair, with the strength scraped from the last field."""
+    """Valid relationships, the first of each unordered pair, ends in capitals, with the strength scraped from the fifth field."""
     valid = F.transform(
-        F.filter(recs, _is("relationship", 5)),
-        lambda r: F.struct(r.getItem(1).alias("src"), r.getItem(2).alias("tgt"), r.getItem(3).alias("description"), scraped_number(r.getItem(4)).alias("strength")),
+        F.filter(recs, lambda r: _tagged("relationship")(r) & (F.size(r) >= 5)),
+        lambda r: F.struct(F.upper(clean_field(r.getItem(1))).alias("src"), F.upper(clean_field(r.getItem(2))).alias("tgt"), F.trim(r.getItem(3)).alias("description"), scraped_number(r.getItem(4)).alias("strength")),
     )
     valid = F.filter(valid, lambda x: (x["src"] != "") & (x["tgt"] != "") & (x["src"] != x["tgt"]) & (x["description"] != ""))
     key = lambda x: F.concat_ws("\u0001", F.least(x["src"], x["tgt"]), F.greatest(x["src"], x["tgt"]))
@@ -46,8 +48,33 @@ def relationships(recs: Column) -> Column:
 
 
 def record_errors(recs: Column) -> Column:
-    """Number of records that are neither kind or lack fields."""
-    return F.size(F.filter(recs, lambda r: ~(_is("entity", 4)(r) | _is("relationship", 5)(r))))
+    """Number of entity and relationship records that lack fields; records of another kind are none."""
+    return F.size(F.filter(recs, lambda r: (_tagged("entity")(r) & (F.size(r) < 4)) | (_tagged("relationship")(r) & (F.size(r) < 5))))
+
+
+def extraction_totals(parsed: DataFrame, entities: str, relations: str, errors: str) -> DataFrame:
+    """One row of counters over parsed extractions: processed, total_entities, total_relations, total_errors, empty_chunks."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return parsed.agg(F.count("*").alias("processed"), total(F.size(entities)).alias("total_entities"), total(F.size(relations)).alias("total_relations"), total(errors).alias("total_errors"), F.count_if(F.size(entities) == 0).alias("empty_chunks"))
+
+
+def query_entities(raw: Column) -> Column:
+    """Names a model found in a question, one a line; none for UNKNOWN, question words left out."""
+    bare = lambda c: F.upper(F.regexp_replace(c, r"^[. \n]+|[. \n]+$", ""))
+    lines = F.filter(F.transform(F.split(raw, r"\n"), lambda x: F.trim(x)), lambda x: (x != "") & (bare(x) != "UNKNOWN") & ~normalize_name(x).isin(*QUESTION_WORDS))
+    return F.when(F.coalesce(raw, F.lit("")).isin("") | (bare(raw) == "UNKNOWN"), F.array().cast("array<string>")).otherwise(lines)
+
+
+def questions_json(raw: Column) -> Column:
+    """The questions of a model's reply, ``{"questions": [...]}``, in order; an empty array for anything else."""
+    parsed = F.from_json(without_thinking(raw), "struct<questions:array<struct<question:string,type:string>>>")
+    return F.coalesce(parsed["questions"], F.array().cast("array<struct<question:string,type:string>>"))
+
+
+def groups_json(raw: Column) -> Column:
+    """The groups of community ids of a model's reply, ``{"merged_groups": [[...]]}``, ids cleaned; null for anything else."""
+    groups = F.from_json(raw, "struct<merged_groups:array<array<string>>>")["merged_groups"]
+    return F.transform(groups, lambda g: F.transform(g, clean_id))
 
 
 def grounded(name: Column, text: Column) -> Column:
@@ -90,9 +117,9 @@ def match_json(raw: Column, size: Column) -> Column:
 
 def cited_ids(answer: Column) -> Column:
     """Numbers cited in an answer, in order, each once."""
-    marks = F.regexp_extract_all(answer, F.lit(r"(\[Data:[^\]]*?\([\d\s,;+more]+\)\]|(?:Sources|Text)\s*\([\d\s,]+\))"), F.lit(1))
+    marks = F.regexp_extract_all(answer, F.lit(r"(\[Data:[^\]]*?\([\d\s,;+more]+\)\]|(?:Sources|Text|Input Text)\s*\([\d\s,]+\))"), F.lit(1))
     inner = F.transform(marks, lambda m: F.regexp_extract(m, r"\(([\d\s,;+more]+)\)\]?$", 1))
-    return F.array_distinct(F.transform(F.flatten(F.transform(inner, lambda m: F.regexp_extract_all(m, F.lit(r"(\d+)"), F.lit(1)))), lambda n: n.cast("bigint")))
+    return F.array_distinct(F.transform(F.flatten(F.transform(inner, lambda m: F.regexp_extract_all(m, F.lit(r"\b(\d+)\b"), F.lit(1)))), lambda n: n.cast("bigint")))
 
 
 def _kept(parts: Column, least: int = 0) -> Column:

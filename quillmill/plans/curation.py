@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 from quillmill.operators import curation as C
 from quillmill.plans.catalogue import query
-from quillmill.plans.text import sql_words
+from quillmill.plans.text import sql_strip, sql_words
 from quillmill.plans.vectors import SQL_UNIT
 from quillmill.session import table
 
@@ -66,8 +66,10 @@ def verbatim_overlap(spark: SparkSession, d: str) -> DataFrame:
     return p.select("output_id", T.longest_shared_run(F.col("q"), F.col("a")).alias("run")).withColumn("verbatim", F.col("run") >= 6)
 
 
-_VERDICT = f"""CASE WHEN len({sql_words('question')}) < 5 OR length(question) < 22 THEN 'too_short' WHEN regexp_matches(lower(question), '{"|".join(C.VAGUE)}') THEN 'vague_pattern'
-  WHEN NOT len(list_filter({sql_words('question')}[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}\\p{{L}}+'))) > 0 AND NOT list_has_any({sql_words("regexp_replace(lower(question), '[^\\p{L}\\p{M}\\p{N}_\\s\\p{Z}]', ' ', 'g')")}, string_split(doc, '_')) THEN 'lacks_named_entity_or_topic' ELSE 'ok' END"""
+_Q = sql_strip("question")
+_VERDICT = f"""CASE WHEN len({sql_words(_Q)}) < 5 OR length({_Q}) < 22 THEN 'too_short'
+  WHEN regexp_matches({_Q}, '(?i)^what (is|are) (this|the) (text|passage|article|paragraph)|^what (happened|happens) in (this|the) (text|passage|article)|who (is|was) mentioned in (this|the) (text|passage)|^can you tell me about (this|the) (text|passage|article)|what is described in the passage|what does the author say') THEN 'vague_pattern'
+  WHEN NOT len(list_filter({sql_words(_Q)}[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}\\p{{L}}*$'))) > 0 AND NOT list_has_any({sql_words("regexp_replace(lower(question), '[^\\p{L}\\p{M}\\p{N}_\\s\\p{Z}]', ' ', 'g')")}, string_split(doc, '_')) THEN 'lacks_named_entity_or_topic' ELSE 'ok' END"""
 
 
 @query(f"SELECT DISTINCT output_id, {_VERDICT} AS verdict FROM raw_outputs")

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import metrics as M
 from quillmill.functions import text as T
+from quillmill.operators import parsing as P
 from quillmill.operators import runs as R
 from quillmill.plans.catalogue import query
-from quillmill.plans.text import sql_collapse, sql_eval_words, sql_words
+from quillmill.plans.text import sql_collapse, sql_eval_words, sql_span, sql_strip, sql_words
 from quillmill.session import table
 
 _RUNS = "(SELECT DISTINCT * EXCLUDE (retrieved_chunks), retrieved_chunks FROM raw_outputs)"
-_SAID = "trim(regexp_replace(coalesce(answer, ''), '(?s)<think>.*?</think>', '', 'g'))"
+_SAID = sql_strip("regexp_replace(coalesce(answer, ''), '(?s)<think>.*?</think>', '', 'g')")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,6 @@ c AS (SELECT _id, content FROM kv_store_text_chunks QUALIFY row_number() OVER (P
 e AS (SELECT output_id, unnest(retrieved_chunks) AS _id, generate_subscripts(retrieved_chunks, 1) AS rank FROM r),
 x AS (SELECT output_id, list(content ORDER BY rank) AS chunks FROM e JOIN c USING (_id) GROUP BY output_id),
 s AS (SELECT output_id, regexp_extract_all(question, '\\p{{Lu}}\\p{{L}}+ \\p{{Lu}}\\p{{L}}+') AS spans, coalesce(chunks, []) AS chunks FROM r LEFT JOIN x USING (output_id))"""
-_SPAN = "lower(" + sql_collapse("translate(regexp_replace({0}, '\\[\\d+[ab]?\\]', ' ', 'g'), '“”‘’–—', '\"\"''''--')") + ")"
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +63,7 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
     return r.join(x, "output_id", "left").select("output_id", spans.alias("spans"), F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
 
 
-def _sp(c: str) -> str:
-    return _SPAN.replace("{0}", c)
+_sp = sql_span
 
 
 @query(f"""WITH {_ASKED}, n AS (SELECT output_id, list_transform(spans, lambda s: {_sp('s')}) AS p, list_transform(chunks, lambda c: {_sp('c')}) AS c FROM s)
@@ -96,17 +95,23 @@ def entity_coverage(spark: SparkSession, d: str) -> DataFrame:
     return contexts(spark, d).select("output_id", M.entity_coverage(s, F.array_join(c, " ")).alias("coverage"), F.round(M.raw_entity_coverage(s, c), 9).alias("raw_coverage"))
 
 
-_REF = f"(coalesce(trim(answer) = '', true) OR regexp_matches(coalesce(strip_accents(translate(lower(answer), 'đĐ', 'dD')), ''), '{'|'.join(M.REFUSAL_PATTERNS)}'))"
+_BARE_ANSWER = "coalesce(strip_accents(translate(lower(answer), 'đĐ', 'dD')), '')"
+_REF = f"""(coalesce(answer = '', true) OR regexp_matches({_BARE_ANSWER},
+  'không\\s+(tìm\\s+thấy|có|nhắc\\s+đến|được\\s+đề\\s+cập|cung\\s+cấp|rõ)|tài\\s+liệu\\s+không\\s+(nói|nêu|ghi|chứa)|not\\s+mentioned|not\\s+(found|provided|stated|specified|available)|does\\s+not\\s+(mention|contain|state|provide)|cannot\\s+(find|answer|determine)|no\\s+information'))"""
 _ANSWERABLE = "CASE id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE 'partial' END"
+_SPELT = "CASE id % 6 WHEN 0 THEN 'True' WHEN 1 THEN 'Unanswerable' WHEN 2 THEN ' partial' WHEN 3 THEN 'answerable' WHEN 4 THEN 'FALSE' ELSE 'unclear' END"
 
 
-@query(f"""SELECT output_id, {_REF} AS refused, coalesce(contains(lower(answer), 'không tìm thấy đủ thông tin'), false) AS legacy, CASE {_ANSWERABLE} WHEN 'false' THEN CASE WHEN {_REF} THEN 'correctly_refused' ELSE 'hallucination' END
-  WHEN 'partial' THEN CASE WHEN {_REF} THEN 'partly_refused' ELSE 'partly_answered' END ELSE CASE WHEN {_REF} THEN 'false_refusal' ELSE 'answered' END END AS verdict FROM {_RUNS}""")
+@query(f"""WITH x AS (SELECT output_id, answer, {_REF} AS refused, lower(trim({_SPELT})) AS able FROM {_RUNS})
+SELECT output_id, refused AS is_refused, coalesce(contains(lower(answer), 'không tìm thấy đủ thông tin'), false) AS legacy, CASE WHEN able IN ('false', 'unanswerable') THEN CASE WHEN refused THEN 1.0 ELSE 0.0 END END::DOUBLE AS correctly_refused,
+  able IN ('true', 'answerable') AND refused AS false_refusal, able IN ('false', 'unanswerable') AND NOT refused AS hallucination,
+  CASE WHEN able = 'partial' THEN CASE WHEN refused OR regexp_matches({_BARE_ANSWER}, 'không\\s+nói\\s+rõ\\s+thời\\s+gian|không\\s+được\\s+đề\\s+cập|does\\s+not\\s+mention\\s+the\\s+duration|duration.*not.*stated') THEN 1.0 ELSE 0.5 END END::DOUBLE AS partial_credit FROM x""")
 def refusal_flags(spark: SparkSession, d: str) -> DataFrame:
-    x = runs(spark, d).withColumn("refused", M.is_refusal(F.col("answer")))
-    able = F.when(F.col("id") % 3 == 0, "true").when(F.col("id") % 3 == 1, "false").otherwise("partial")
+    k = F.col("id") % 6
+    able = F.when(k == 0, "True").when(k == 1, "Unanswerable").when(k == 2, " partial").when(k == 3, "answerable").when(k == 4, "FALSE").otherwise("unclear")
     legacy = F.coalesce(F.contains(F.lower("answer"), F.lit("không tìm thấy đủ thông tin")), F.lit(False))
-    return x.select("output_id", "refused", legacy.alias("legacy"), M.answerability(able, F.col("refused")).getField("verdict").alias("verdict"))
+    x = runs(spark, d).select("output_id", legacy.alias("legacy"), M.answerability(F.col("answer"), able).alias("a"))
+    return x.select("output_id", "legacy", "a.*")
 
 
 @query(f"""SELECT system, mode, count(*) AS runs, round(avg(latency_sec), 4) AS latency, round(avg(total_tokens), 4) AS tokens, round(avg(length(answer)), 4) AS answer_chars, count(DISTINCT doc) AS docs
@@ -176,21 +181,19 @@ def legacy_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Words that send a question to the whole collection, to a listing, or that are no entity. (fixed values)
-GLOBAL_WORDS = ["overall", "summary", "summarize", "tổng quan", "tóm tắt", "toàn bộ", "chung", "main theme", "explain how"]
-LISTING_WORDS = ["list", "name the", "all ", "hãy cho biết", "liệt kê", "which"]
-QUESTION_WORDS = ["who", "what", "which", "when", "how", "why", "did", "name", "explain", "ai", "hãy", "khi", "vì"]
-
-
 def _any(c: str, ws: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in ws) + ")"
 
 
-@query(f"""WITH x AS (SELECT output_id, question, list_filter({sql_words('question')}, lambda w: regexp_matches(w, '^\\p{{Lu}}') AND lower(w) NOT IN ({', '.join(f"'{w}'" for w in QUESTION_WORDS)})) AS e FROM {_RUNS})
-SELECT output_id, len(e)::INT AS entities, CASE WHEN {_any('question', GLOBAL_WORDS)} THEN 'global' WHEN len(e) = 0 AND {_any('question', LISTING_WORDS)} THEN 'all_chunks' WHEN len(e) = 0 THEN 'global' ELSE 'local' END AS route FROM x""")
+_NAMED = f"list_filter({sql_words('question')}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))"
+
+
+@query(f"""WITH x AS (SELECT output_id, question, list_filter({_NAMED}, lambda w: upper(trim(w, '. ')) <> 'UNKNOWN' AND lower(nfc_normalize(w)) NOT IN ('ai', 'gì', 'nào', 'đâu', 'sao', 'thế nào', 'bao nhiêu', 'khi nào')) AS e FROM {_RUNS})
+SELECT output_id, len(e)::INT AS entities, CASE WHEN {_any('question', ["tổng quan", "tóm tắt", "nói về gì", "nói về những gì", "chủ đề chính", "toàn bộ", "khái quát", "tổng hợp", "nội dung chính"])} THEN 'global' WHEN len(e) > 0 THEN 'local'
+  WHEN {_any('question', ["sắp xếp", "trình tự", "liệt kê", "những người nào", "những ai"])} THEN 'all_chunks' ELSE 'global' END AS route FROM x""")
 def question_router(spark: SparkSession, d: str) -> DataFrame:
-    named = F.filter(T.words(F.col("question")), lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*QUESTION_WORDS))
-    has = lambda ws: M.mentions(F.col("question"), ws)
-    x = runs(spark, d).select("output_id", "question", F.size(named).alias("entities"))
-    route = F.when(has(GLOBAL_WORDS), "global").when((F.col("entities") == 0) & has(LISTING_WORDS), "all_chunks").when(F.col("entities") == 0, "global").otherwise("local")
-    return x.select("output_id", "entities", route.alias("route"))
+    """The names a stand-in model sees in a question, one a line or UNKNOWN, and where the question goes."""
+    named = F.array_join(F.filter(T.words(F.col("question")), lambda w: w.rlike(r"^\p{Lu}")), "\n")
+    reply = F.coalesce(F.nullif(named, F.lit("")), F.lit("UNKNOWN."))
+    x = runs(spark, d).select("output_id", "question", P.query_entities(reply).alias("e"))
+    return x.select("output_id", F.size("e").alias("entities"), M.question_route(F.col("question"), F.col("e")).alias("route"))

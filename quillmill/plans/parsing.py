@@ -8,28 +8,47 @@ from pyspark.sql import functions as F
 from quillmill.functions import metrics as M
 from quillmill.operators import parsing as P
 from quillmill.plans.catalogue import query
-from quillmill.plans.evaluation import _RUNS, runs
+from quillmill.plans.evaluation import _RUNS, _SAID, runs
 from quillmill.session import table
 
-_RAW_SQL = """n AS (SELECT n_nationkey, n_name, r_name, '<think>plan</think>("entity"<|>"' || n_name || '"<|>"' || CASE WHEN n_nationkey % 5 = 4 THEN 'planet' ELSE 'geo' END || '"<|>"nation of ' || r_name || '")##("relationship"<|>' || n_name || '<|>' || r_name || '<|>lies in<|>' || n_nationkey || '/10)'
-  || chr(10) || '("relationship"<|>' || r_name || '<|>' || n_name || '<|>holds<|>9)##(noise)<|COMPLETE|>' AS raw FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+_RAW_SQL = """w AS (SELECT article_id, '<think>plan ## (x)</think>("entity"<|>"' || title || '"<|>"' || CASE article_id % 5 WHEN 4 THEN 'planet' WHEN 3 THEN ' Person' ELSE 'geo' END || '"<|>"page of ' || coalesce("group", '') || '")##("entity"<|>' || lower(title) || '<|>geo<|>again)##("relationship"<|>' || title || '<|>' || requested
+    || '<|>stands for<|>' || coalesce(words::VARCHAR, 'many') || '/10)' || chr(10) || '("Relationship"<|>' || coalesce("group", '') || '<|>' || title || '<|>holds<|>9)##("entity"<|>short)##("claim"<|>a<|>b)##noise' || chr(10) || CASE WHEN article_id % 2 = 0 THEN '("relationship"<|>a<|>b<|>c)' ELSE '' END || '<|COMPLETE|>' AS raw
+  FROM (SELECT DISTINCT article_id, title, requested, "group", words FROM val_articles WHERE title IS NOT NULL AND requested IS NOT NULL)),
+p AS (SELECT article_id, unnest(string_split(replace(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), chr(10) || '(', '##('), '##')) AS p, generate_subscripts(string_split(replace(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), chr(10) || '(', '##('), '##'), 1) AS i FROM w),
+f AS (SELECT article_id, i, list_transform(string_split(trim(regexp_extract(replace(p, '<|COMPLETE|>', ''), '(?s)\\((.*)\\)', 1)), '<|>'), lambda x: trim(regexp_replace(trim(x), '^["'']+|["'']+$', '', 'g'))) AS f FROM p WHERE regexp_matches(replace(p, '<|COMPLETE|>', ''), '(?s)\\(.*\\)')),
+e AS (SELECT article_id, upper(f[2]) AS name FROM f WHERE lower(f[1]) = 'entity' AND len(f) >= 4 AND f[2] <> '' AND f[4] <> '' AND lower(f[3]) IN ('organization', 'person', 'geo', 'event')),
+r AS (SELECT article_id, i, upper(f[2]) AS src, upper(f[3]) AS tgt, least(10.0, greatest(1.0, coalesce(TRY_CAST(regexp_replace(f[5], '[^\\d.]', '', 'g') AS DOUBLE), 5.0))) AS strength FROM f WHERE lower(f[1]) = 'relationship' AND len(f) >= 5 AND f[2] <> '' AND f[3] <> '' AND upper(f[2]) <> upper(f[3]) AND f[4] <> ''),
+u AS (SELECT article_id, min(i) AS i FROM r GROUP BY article_id, least(src, tgt), greatest(src, tgt)),
+x AS (SELECT w.article_id, (SELECT count(DISTINCT name) FROM e WHERE e.article_id = w.article_id)::INT AS entities, (SELECT count(*) FROM u WHERE u.article_id = w.article_id)::INT AS relations,
+  (SELECT arg_min(src, i) FROM r WHERE r.article_id = w.article_id) AS src, (SELECT arg_min(strength, i) FROM r WHERE r.article_id = w.article_id) AS strength,
+  (SELECT count(*) FROM f WHERE f.article_id = w.article_id AND (lower(f[1]) = 'entity' AND len(f) < 4 OR lower(f[1]) = 'relationship' AND len(f) < 5))::INT AS errors FROM w)"""
 
 
 def raw_extractions(spark: SparkSession, d: str) -> DataFrame:
-    """Model output in the record format, written from the nations."""
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    kind = F.when(F.col("n_nationkey") % 5 == 4, "planet").otherwise("geo")
+    """Model output in the record format, written from the articles: repeated names, unknown kinds, lacking fields."""
+    a = table(spark, d, "val_articles").filter("title IS NOT NULL AND requested IS NOT NULL").select("article_id", "title", "requested", F.coalesce("group", F.lit("")).alias("g"), "words").distinct()
+    kind = F.when(F.col("article_id") % 5 == 4, "planet").when(F.col("article_id") % 5 == 3, " Person").otherwise("geo")
     raw = F.concat(
-        F.lit('<think>plan</think>("entity"<|>"'), "n_name", F.lit('"<|>"'), kind, F.lit('"<|>"nation of '), "r_name", F.lit('")##("relationship"<|>'), "n_name", F.lit("<|>"), "r_name", F.lit("<|>lies in<|>"), F.col("n_nationkey").cast("string"),
-        F.lit('/10)\n("relationship"<|>'), "r_name", F.lit("<|>"), "n_name", F.lit("<|>holds<|>9)##(noise)<|COMPLETE|>"),
+        F.lit('<think>plan ## (x)</think>("entity"<|>"'), "title", F.lit('"<|>"'), kind, F.lit('"<|>"page of '), "g", F.lit('")##("entity"<|>'), F.lower("title"), F.lit('<|>geo<|>again)##("relationship"<|>'), "title", F.lit("<|>"), "requested", F.lit("<|>stands for<|>"),
+        F.coalesce(F.col("words").cast("string"), F.lit("many")), F.lit('/10)\n("Relationship"<|>'), "g", F.lit("<|>"), "title", F.lit('<|>holds<|>9)##("entity"<|>short)##("claim"<|>a<|>b)##noise\n'),
+        F.when(F.col("article_id") % 2 == 0, '("relationship"<|>a<|>b<|>c)').otherwise(""), F.lit("<|COMPLETE|>"),
     )
-    return n.select("n_nationkey", "n_name", "r_name", raw.alias("raw"))
+    return a.select("article_id", raw.alias("raw"))
+
+
+def extractions(spark: SparkSession, d: str) -> DataFrame:
+    x = raw_extractions(spark, d).select("article_id", P.records(F.col("raw")).alias("r"))
+    return x.select("article_id", P.entities(F.col("r")).alias("e"), P.relationships(F.col("r")).alias("l"), P.record_errors(F.col("r")).alias("errors"))
 
 
-@query(f"""WITH {_RAW_SQL} SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 0 ELSE 1 END::INT AS entities, 1::INT AS relations, n_name AS src, least(10.0, greatest(1.0, (n_nationkey || '10')::DOUBLE))::DOUBLE AS strength, 1::INT AS errors FROM n""")
+@query(f"WITH {_RAW_SQL} SELECT article_id, entities, relations, src, strength, errors FROM x")
 def parse_extraction(spark: SparkSession, d: str) -> DataFrame:
-    x = raw_extractions(spark, d).withColumn("r", P.records(F.col("raw"))).select("n_nationkey", P.entities(F.col("r")).alias("e"), P.relationships(F.col("r")).alias("l"), P.record_errors(F.col("r")).alias("errors"))
-    return x.select("n_nationkey", F.size("e").alias("entities"), F.size("l").alias("relations"), F.col("l")[0]["src"].alias("src"), F.col("l")[0]["strength"].alias("strength"), "errors")
+    return extractions(spark, d).select("article_id", F.size("e").alias("entities"), F.size("l").alias("relations"), F.get("l", F.lit(0))["src"].alias("src"), F.get("l", F.lit(0))["strength"].alias("strength"), "errors")
+
+
+@query(f"WITH {_RAW_SQL} SELECT count(*) AS processed, sum(entities)::BIGINT AS total_entities, sum(relations)::BIGINT AS total_relations, sum(errors)::BIGINT AS total_errors, count(*) FILTER (WHERE entities = 0) AS empty_chunks FROM x")
+def extraction_totals(spark: SparkSession, d: str) -> DataFrame:
+    return P.extraction_totals(extractions(spark, d), "e", "l", "errors")
 
 
 _GROUND = "(contains(lower(text), lower({0})) OR len(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3 AND contains(lower(text), w))) > 0)"
@@ -50,7 +69,7 @@ def parse_json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", (k % 10).alias("k_mod")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"""WITH m AS (SELECT output_id, regexp_extract_all(answer, '\\[Data:[^\\]]*?\\([\\d\\s,;+more]+\\)\\]|(?:Sources|Text)\\s*\\([\\d\\s,]+\\)') AS m FROM {_RUNS} WHERE answer IS NOT NULL),
+@query(f"""WITH m AS (SELECT output_id, regexp_extract_all(answer, '\\[Data:[^\\]]*?\\([\\d\\s,;+more]+\\)\\]|(?:Sources|Text|Input Text)\\s*\\([\\d\\s,]+\\)') AS m FROM {_RUNS} WHERE answer IS NOT NULL),
 n AS (SELECT output_id, unnest(m) AS one, generate_subscripts(m, 1) AS i FROM m), k AS (SELECT output_id, i, regexp_extract_all(regexp_extract(one, '\\(([\\d\\s,;+more]+)\\)\\]?$', 1), '\\d+') AS ids FROM n),
 e AS (SELECT output_id, i, unnest(ids)::BIGINT AS id, generate_subscripts(ids, 1) AS j FROM k)
 SELECT output_id, id AS cited, (row_number() OVER (PARTITION BY output_id ORDER BY min((i, j))) - 1)::INT AS place FROM e GROUP BY output_id, id""")
@@ -92,7 +111,7 @@ def kg_json_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT output_id, CASE WHEN output_id % 7 = 0 THEN 0.0 ELSE (output_id % 11) / 10.0 END::DOUBLE AS correctness, CASE WHEN output_id % 7 = 0 THEN 0 ELSE output_id % 4 END::INT AS covered,
-  CASE WHEN output_id % 3 > 0 THEN least(1.0, CASE WHEN output_id % 7 = 0 THEN 0 ELSE output_id % 4 END / (output_id % 3)) END::DOUBLE AS key_point_recall, coalesce(nullif(trim(regexp_replace(coalesce(answer, ''), '(?s)<think>.*?</think>', '', 'g')), ''), coalesce(answer, '')) AS said FROM {_RUNS}""")
+  CASE WHEN output_id % 3 > 0 THEN least(1.0, CASE WHEN output_id % 7 = 0 THEN 0 ELSE output_id % 4 END / (output_id % 3)) END::DOUBLE AS key_point_recall, coalesce(nullif({_SAID}, ''), coalesce(answer, '')) AS said FROM {_RUNS}""")
 def judge_scores(spark: SparkSession, d: str) -> DataFrame:
     """Judge output in JSON, some broken, read with defaults; key-point recall; the answer without its thinking unless nothing is left."""
     i = F.col("output_id")

@@ -15,6 +15,15 @@ _BL = "'[\\s\\p{Z}]+'"
 _UNACC = "coalesce(strip_accents(translate({0}, 'đĐ', 'dD')), '')"
 _PUNCT_BLANKS = " " * 32
 _P = T.PUNCTUATION.replace("'", "''")
+def sql_strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+def sql_span(c: str) -> str:
+    """Only no-break blanks and split letters have another compatibility form in these tables."""
+    return "lower(" + sql_collapse(f"translate(regexp_replace(nfc_normalize(replace({c}, chr(160), ' ')), '\\[\\d+[ab]?\\]', ' ', 'g'), '“”‘’–—', chr(34) || chr(34) || chr(39) || chr(39) || '--')") + ")"
+
+
 def sql_eval_words(c: str) -> str:
     plain = f"translate({_UNACC.format(f'lower({c})')}, '{_P}', '{_PUNCT_BLANKS}')"
     return f"list_filter(regexp_split_to_array({plain}, {_BL}), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
@@ -43,7 +52,7 @@ def normalize_legacy_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.normalize_legacy(F.col("text")).alias("norm"))
 
 
-@query("SELECT doc_id, lower(" + sql_collapse("translate(regexp_replace(text, '\\[\\d+[ab]?\\]', ' ', 'g'), '“”‘’–—', '\"\"''''--')") + ") AS norm FROM documents")
+@query(f"SELECT doc_id, {sql_span('text')} AS norm FROM documents")
 def normalize_span(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.normalize_span(F.col("text")).alias("norm"))
 
@@ -63,12 +72,12 @@ def slugify_ids(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", T.slugify(t).alias("title_slug"), T.page_url(t, "https://pages.example/wiki/").alias("page"), T.chunk_key(t).alias("title_key")).distinct()
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(chr(10) || text, '(?is)\\n[ =]*(?:" + "|".join(T.CLOSING_SECTIONS) + ")[ =:]*\\r?(?:\\n.*|$)', ''), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(chr(10) || text, '(?is)\\n\\s*(={2,}\\s*)?(References|External links|See also|Notes|Further reading|Sources|Bibliography|Citations|Footnotes)(\\s*={2,})?\\s*\\n.*', ''), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM documents")
 def clean_article_sections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.clean_article(F.col("text")).alias("body"))
 
 
-@query(f"""SELECT DISTINCT _id, 'chunk-' || md5(content) AS chunk_key, 'entity_' || substr(md5(lower({sql_collapse('file_path')})), 1, 16) AS entity_key,
+@query(f"""SELECT DISTINCT _id, 'chunk-' || md5(content) AS chunk_key, 'entity_' || substr(md5(lower({sql_collapse('nfc_normalize(file_path)')})), 1, 16) AS entity_key,
   substr(md5(content), 1, 12) AS short_key, substr(md5(content), 1, 16) AS cache_key, 'eval-chunk-' || lpad((create_time % 100)::VARCHAR, 2, '0') || '-' || parse_format || '-0-' || substr(md5(content), 1, 8) AS eval_key FROM kv_store_full_docs""")
 def content_hash_ids(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("content")
@@ -120,10 +129,10 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.recursive_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-_ANS = "trim(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g'))"
+_ANS = sql_strip("regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g')")
 
 
-@query(f"""SELECT DISTINCT output_id, lower({sql_collapse('question')}) AS name_form, strip_accents(question) AS bare, {_ANS} AS said,
+@query(f"""SELECT DISTINCT output_id, lower({sql_collapse('nfc_normalize(question)')}) AS name_form, strip_accents(question) AS bare, {_ANS} AS said,
   trim(CASE WHEN contains({_ANS}, '```') THEN regexp_replace(split_part({_ANS}, '```', 2), '^json', '') ELSE {_ANS} END) AS unfenced,
   trim(regexp_replace(doc, '(?i)^ID\\s*[:_]?\\s*', '')) AS plain_id, substr(question, 1, 40) AS head, contains(lower({_ANS}), lower(question)) AS repeats,
   'Question: ' || question || ' Mode: ' || mode AS prompt, CASE WHEN starts_with(trim(question), 'search_query: ') THEN trim(question) ELSE 'search_query: ' || trim(question) END AS search_text
