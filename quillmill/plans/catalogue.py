@@ -24,7 +24,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quillmill.plans import curation, evaluation, graph, parsing, text, vectors  # noqa: F401
+    from quillmill.plans import curation, evaluation, graph, parsing, scoring, text, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
