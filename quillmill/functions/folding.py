@@ -7,6 +7,7 @@ marks that stand alone (decomposed spelling) are removed by pattern.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -82,7 +83,7 @@ def _compatible() -> dict[str, str]:
 
 
 def _mapped(parts: Column, table: dict[str, str]) -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    lookup = F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # one literal, folded into a constant
     return F.array_join(F.transform(parts, lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
 
 

@@ -27,18 +27,29 @@ def _top(chunks: Column, k: int | None) -> Column:
     return F.slice(chunks, 1, k) if k else chunks
 
 
+def plain_spans(texts: Column) -> Column:
+    return F.transform(texts, normalize_span)
+
+
+def plain_hit(spans: Column, chunks: Column, k: int | None) -> Column:
+    """As ``span_hit``, of spans and chunks that are normalised already."""
+    hit = F.exists(spans, lambda s: F.exists(_top(chunks, k), lambda c: F.contains(c, s)))
+    return F.when(F.size(spans) > 0, hit.cast("int"))
+
+
+def plain_recall(spans: Column, chunks: Column, k: int | None) -> Column:
+    found = F.size(F.filter(spans, lambda s: F.exists(_top(chunks, k), lambda c: F.contains(c, s))))
+    return F.when(F.size(spans) > 0, F.round(found / F.size(spans), 4))
+
+
 def span_hit(spans: Column, chunks: Column, k: int | None) -> Column:
     """1 if a span stands inside one of the first k chunks; null without spans."""
-    norm = F.transform(_top(chunks, k), normalize_span)
-    hit = F.exists(F.transform(spans, normalize_span), lambda s: F.exists(norm, lambda c: F.contains(c, s)))
-    return F.when(F.size(spans) > 0, hit.cast("int"))
+    return plain_hit(plain_spans(spans), plain_spans(chunks), k)
 
 
 def span_recall(spans: Column, chunks: Column, k: int | None) -> Column:
     """Share of the spans that stand inside one of the first k chunks; null without spans."""
-    norm = F.transform(_top(chunks, k), normalize_span)
-    found = F.size(F.filter(F.transform(spans, normalize_span), lambda s: F.exists(norm, lambda c: F.contains(c, s))))
-    return F.when(F.size(spans) > 0, F.round(found / F.size(spans), 4))
+    return plain_recall(plain_spans(spans), plain_spans(chunks), k)
 
 
 def joined_hit(spans: Column, chunks: Column, k: int) -> Column:

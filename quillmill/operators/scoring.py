@@ -34,11 +34,11 @@ def scored_runs(runs: DataFrame, questions: DataFrame) -> DataFrame:
     short = F.coalesce(F.nullif("q_short_answer", F.lit("")), "q_ground_truth", F.lit(""))
     spans, chunks, points = F.col("q_gold_spans"), F.col("chunks"), F.col("q_key_points")
     prf = M.token_prf(T.eval_words(given), T.eval_words(short))
-    x = x.withColumn("_m", prf)
+    x = x.withColumns({"_m": prf, "_s": M.plain_spans(spans), "_c": M.plain_spans(chunks)})  # once for all hits and recalls
     refused = M.is_refusal(F.col("answer"))
     return x.select(
         "output_id", "id", F.coalesce("q_doc", "doc", F.lit("unknown")).alias("doc"), F.coalesce("q_question_type", F.lit("unknown")).alias("question_type"), F.col("q_answerable").alias("answerable"), "latency_sec", F.col("total_tokens").alias("tokens"),
-        *[M.span_hit(spans, chunks, k).alias(f"hit_{k}") for k in (1, 3, 5)], *[M.span_recall(spans, chunks, k).alias(f"recall_{k}") for k in (1, 3, 5)],
+        *[M.plain_hit(F.col("_s"), F.col("_c"), k).alias(f"hit_{k}") for k in (1, 3, 5)], *[M.plain_recall(F.col("_s"), F.col("_c"), k).alias(f"recall_{k}") for k in (1, 3, 5)],
         F.col("_m.f1").alias("token_f1"), F.col("_m.precision").alias("token_precision"), F.col("_m.recall").alias("token_recall"),
         M.raw_entity_coverage(F.col("q_supporting_entities"), chunks).alias("entity_coverage"), M.joined_rr(spans, chunks).alias("rr"),
         F.col("judge.answer_correctness").alias("answer_correctness"), M.key_point_recall(F.col("judge.key_points_covered"), points).alias("key_point_recall"),

@@ -71,7 +71,8 @@ SELECT output_id, CASE WHEN len(p) > 0 THEN (len(list_filter(p, lambda a: len(li
   CASE WHEN len(p) > 0 THEN round(len(list_filter(p, lambda a: len(list_filter(c, lambda b: contains(b, a))) > 0)) / len(p), 4) END AS recall_all FROM n""")
 def span_hit_recall(spark: SparkSession, d: str) -> DataFrame:
     s, c = F.col("spans"), F.col("chunks")
-    return contexts(spark, d).select("output_id", M.span_hit(s, c, 1).alias("hit_1"), M.span_hit(s, c, 3).alias("hit_3"), M.span_recall(s, c, None).alias("recall_all"))
+    x = contexts(spark, d).withColumns({"spans": M.plain_spans(s), "chunks": M.plain_spans(c)})
+    return x.select("output_id", M.plain_hit(s, c, 1).alias("hit_1"), M.plain_hit(s, c, 3).alias("hit_3"), M.plain_recall(s, c, None).alias("recall_all"))
 
 
 def _ev(c: str) -> str:
