@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.skew import hot_join
 from quillmill.functions.text import entity_key
 from quillmill.operators.components import connected_components
+from quillmill.operators.parsing import alias_evidence, relation_meaning
 from quillmill.session import cut_lineage
 
 
@@ -128,14 +129,31 @@ def with_ratio(pairs: DataFrame, a: str, b: str, out: str = "ratio") -> DataFram
 def close_matches(queries: DataFrame, query: str, names: DataFrame, name: str, cutoff: float = 0.8) -> DataFrame:
     """Columns ``query, match, ratio``: the closest name by similarity from ``cutoff`` on, else the query itself.
 
-    Candidates share one of the query's character triples; each query is compared with those only.
+    A similarity of r takes 2·m/(n₁+n₂) ≥ r for m letters that match in m or fewer runs, so at most (2/r − 2)·m letters of both are left
+    over, they part the matched ones into no more than that many runs and one more, and one run has a letter share of the names that
+    is known from the length: both names have that run in common. Names are joined on runs of that length, chosen for each
+    query and length of name; no pair that reaches the cutoff is lost. Case is set aside, as in the comparison.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.lower(F.substring(c, i, F.lit(3)))))
     q = queries.select(F.col(query).alias("query")).distinct()
     n = names.select(F.col(name).alias("match")).distinct()
-    qg, ng = q.withColumn("g", F.explode(grams(F.col("query")))), n.withColumn("g", F.explode(grams(F.col("match"))))
-    cand = qg.join(ng, "g").groupBy("query", "match").agg(F.count("*").alias("n")).filter(F.col("n") >= 1)
-    scored = with_ratio(cand.select("query", "match"), "query", "match").filter(F.col("ratio") >= cutoff)
+
+    def least_run(total: Column) -> Column:
+        matched = F.ceil(F.lit(cutoff) * total / 2 - F.lit(1e-9))
+        return F.greatest(F.lit(1), F.ceil(matched / (total - 2 * matched + 1))).cast("int")
+
+    def runs_of(c: Column, size: Column) -> Column:
+        low = F.lower(c)
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - size + 1, F.lit(1))), lambda i: F.substr(low, i, size)))
+
+    lengths = n.select(F.length("match").alias("m")).distinct()
+    shortest = F.ceil(F.col("k") * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-9))
+    longest = F.floor(F.col("k") * F.lit((2 - cutoff) / cutoff) + F.lit(1e-9))
+    spans = q.select(F.length("query").alias("k")).distinct().join(F.broadcast(lengths), F.col("m").between(shortest, longest))
+    spans = spans.withColumn("size", least_run(F.col("k") + F.col("m")))  # pairs of lengths, not of names
+    qg = q.withColumn("k", F.length("query")).join(F.broadcast(spans), "k").select("query", "m", F.explode(runs_of(F.col("query"), F.col("size"))).alias("g"))
+    ng = n.withColumn("m", F.length("match")).join(F.broadcast(spans.select("m", "size").distinct()), "m").select("match", "m", F.explode(runs_of(F.col("match"), F.col("size"))).alias("g"))
+    cand = qg.join(ng, ["m", "g"]).select("query", "match").distinct()
+    scored = with_ratio(cand, "query", "match").filter(F.col("ratio") >= cutoff)
     best = scored.groupBy("query").agg(F.max_by(F.struct("match", "ratio"), F.struct("ratio", "match")).alias("s"))
     return q.join(best, "query", "left").select("query", F.coalesce("s.match", "query").alias("match"), F.coalesce(F.round("s.ratio", 6), F.lit(0.0)).alias("ratio"))
 
@@ -172,3 +190,77 @@ def described(items: DataFrame, key: str, texts: DataFrame, text_key: str, text:
     x = items.join(t.select(F.col("_k").alias("_k1"), F.col("_t").alias("_t1")), clean(F.col(key)) == F.col("_k1"), "left")
     x = x.join(t.select(F.col("_k").alias("_k2"), F.col("_t").alias("_t2")), F.col(key) == F.col("_k2"), "left")
     return x.withColumn(text, F.coalesce("_t1", "_t2", F.lit(fallback))).drop("_k1", "_k2", "_t1", "_t2")
+
+
+def relations_between(pairs: DataFrame, edges: DataFrame, left_out: tuple[str, ...] = ("SAME_AS", "MENTIONED_IN")) -> DataFrame:
+    """Columns ``a, b, kind``: the relation types that stand between the two nodes of each pair, in either direction."""
+    e = edges.filter(~F.col("kind").isin(*left_out)).select(F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi"), "kind").distinct()
+    p = pairs.select("a", "b", F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"))
+    return p.join(e, ["_lo", "_hi"]).select("a", "b", "kind").distinct()
+
+
+def resolve_safely(candidates: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Columns ``a, match, method``: each pending node with the first candidate that is surely the same, null and ``keep`` where none is.
+
+    ``candidates`` has (a, b, rk, name_a, name_b), ``texts`` (id, text) of the chunks that mention a node, ``edges`` (src, dst, kind).
+    A candidate matches by a text of either node that names both as one; only nodes without such a match are matched
+    by a relation that says so, where no relation of the pair speaks against it. Nodes are matched against the nodes as they
+    were, all at once.
+    """
+    t = texts.select("id", "text").filter("text IS NOT NULL")
+    a = candidates.join(t, F.col("a") == F.col("id")).select("a", "b", "rk", "name_a", "name_b", "text")
+    b = candidates.join(t, F.col("b") == F.col("id")).select("a", "b", "rk", "name_a", "name_b", "text")
+    told = a.unionByName(b).filter(alias_evidence(F.col("name_a"), F.col("name_b"), F.col("text")) != "")
+    first = lambda df, n: df.groupBy("a").agg(F.min_by("b", F.struct("rk", "b")).alias(n))
+    meaning = relations_between(candidates, edges).withColumn("m", relation_meaning(F.col("kind"))).groupBy("a", "b").agg(F.max(F.col("m") == "NEGATIVE").alias("no"), F.max(F.col("m") == "POSITIVE").alias("yes"))
+    related = candidates.join(meaning.filter("yes AND NOT no"), ["a", "b"])
+    out = candidates.select("a").distinct().join(first(told, "t"), "a", "left").join(first(related, "r"), "a", "left")
+    method = F.when(F.col("t").isNotNull(), "regex").when(F.col("r").isNotNull(), "relation_positive").otherwise("keep")
+    return out.select("a", F.coalesce("t", "r").alias("match"), method.alias("method"))
+
+
+def confidence_needed(cluster_size: Column) -> Column:
+    """Confidence a model's match needs, by the size of the cluster it would join."""
+    return F.when(cluster_size <= 2, 0.70).when(cluster_size <= 4, 0.85).otherwise(0.95)
+
+
+def resolve_with_model(safe: DataFrame, answers: DataFrame, clusters: DataFrame, most: int = 8) -> DataFrame:
+    """Columns ``a, match, method``: what ``resolve_safely`` kept apart is matched by a model's answer that is sure enough.
+
+    ``answers`` has (a, b, confidence), one row per node asked about, ``clusters`` (id, size). A cluster of ``most`` nodes takes no more.
+    """
+    x = safe.join(answers.select("a", F.col("b").alias("_b"), "confidence"), "a", "left").join(clusters.select(F.col("id").alias("_b"), "size"), "_b", "left")
+    size = F.coalesce("size", F.lit(1))
+    sure = (F.col("method") == "keep") & F.col("_b").isNotNull() & (F.col("confidence") >= confidence_needed(size)) & (size < most)
+    sure = F.coalesce(sure, F.lit(False))
+    doubt = (F.col("method") == "keep") & F.col("_b").isNotNull()
+    return x.select("a", F.when(sure, F.col("_b")).otherwise(F.col("match")).alias("match"), F.when(sure, "llm").when(doubt, "below_threshold_or_cluster_full").otherwise(F.col("method")).alias("method"))
+
+
+def pending(nodes: DataFrame, skipped: list[str]) -> DataFrame:
+    """Canonical nodes that no resolution has looked at yet, without those of the skipped types."""
+    return nodes.filter(F.col("is_canonical") & F.col("resolved").isNull() & ~F.coalesce(F.col("type").isin(*skipped), F.lit(False)))
+
+
+def without_relations(edges: DataFrame, kind: str | None) -> DataFrame:
+    """Edges without those of a type; none at all for None."""
+    return edges.filter("false") if kind is None else edges.filter(~F.col("kind").eqNullSafe(F.lit(kind)))
+
+
+def summary_blocks(summaries: DataFrame) -> DataFrame:
+    """Columns ``community_id, block``: a community's part of the context of a global search; the parts are read in order of id."""
+    head = F.concat(F.lit("[Nhóm "), F.col("community_id").cast("string"), F.lit("] (gồm: "), F.array_join("entities", ", "), F.lit(")\n"))
+    return summaries.select("community_id", F.concat(head, F.col("summary")).alias("block"))
+
+
+def edge_texts(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """``description`` of vector items (src, tgt, description) filled in from edges (src, tgt, description): by the pair, then by the pair without quotes, else empty; ``text`` to embed added."""
+    bare = lambda c: F.regexp_replace(c, r'^"+|"+$', "")
+    raw = edges.select(F.col("src").alias("_s"), F.col("tgt").alias("_t"), F.col("description").alias("_d"))
+    known = raw.unionByName(raw.select(bare(F.col("_s")).alias("_s"), bare(F.col("_t")).alias("_t"), "_d")).groupBy("_s", "_t").agg(F.min("_d").alias("_d"))
+    one, two = known.select("_s", "_t", F.col("_d").alias("_d1")), known.select(F.col("_s").alias("_s2"), F.col("_t").alias("_t2"), F.col("_d").alias("_d2"))
+    x = items.join(one, (F.col("src") == F.col("_s")) & (F.col("tgt") == F.col("_t")), "left").join(two, (bare(F.col("src")) == F.col("_s2")) & (bare(F.col("tgt")) == F.col("_t2")), "left")
+    found = F.coalesce(F.nullif("description", F.lit("")), "_d1", "_d2", F.lit(""))
+    x = x.withColumn("description", found).drop("_s", "_t", "_d1", "_s2", "_t2", "_d2")
+    pair = F.concat("src", F.lit(" -> "), "tgt")
+    return x.withColumn("text", F.concat(F.lit("search_document: "), F.trim(F.when(F.col("description") != "", F.concat(pair, F.lit(": "), "description")).otherwise(pair))))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quillmill.functions.skew import hot_join
 from quillmill.functions.text import entity_key
 from quillmill.operators import graph as G
+from quillmill.operators.parsing import groups_json
 from quillmill.plans.catalogue import query
-from quillmill.session import table
+from quillmill.session import cut_lineage, table
 
 _KEY = "'entity_' || substr(md5(lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')))), 1, 16)"
 _GRAPH = f"""ent AS (SELECT {_KEY.format('c_name')} AS id, c_name AS name, 'person' AS type FROM customer UNION SELECT {_KEY.format('s_name')}, s_name, 'organization' FROM supplier
@@ -113,18 +114,97 @@ def part_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("type", F.lit("part"))
 
 
-@query(f"""WITH {_NAMES}, g AS (SELECT DISTINCT p_name, p_brand FROM part), k AS (SELECT x.p_name AS na, y.p_name AS nb, count(*) AS c FROM g x JOIN g y USING (p_brand) GROUP BY ALL),
-v AS (SELECT a, b, (CASE WHEN contains(lower(na), lower(nb)) OR contains(lower(nb), lower(na)) THEN 3 ELSE 0 END + 2 + CASE WHEN k.c > 0 THEN 2 ELSE 0 END)::DOUBLE AS score FROM s LEFT JOIN k USING (na, nb)),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rk FROM v) SELECT a, b, score, rk::INT AS rk FROM r WHERE rk <= 8""")
-def candidate_blocking(spark: SparkSession, d: str) -> DataFrame:
+_CANDIDATES = f"""{_NAMES}, v AS (SELECT a, b, na, nb, (CASE WHEN contains(lower(na), lower(nb)) OR contains(lower(nb), lower(na)) THEN 3 ELSE 0 END + 2 + CASE WHEN EXISTS (SELECT 1 FROM part x JOIN part y ON x.p_brand = y.p_brand WHERE x.p_name = na AND y.p_name = nb) THEN 2 ELSE 0 END)::DOUBLE AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rk FROM v)"""
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of part names that share a word, scored by containment and by a shared brand, the best eight of each name."""
     pairs = G.shared_token_pairs(part_names(spark, d), "id", "name", "type")
-    g = table(spark, d, "part").select("p_name", "p_brand").distinct()
-    k = g.select(F.col("p_name").alias("name_a"), "p_brand").join(g.select(F.col("p_name").alias("name_b"), "p_brand"), "p_brand").select("name_a", "name_b").distinct().withColumn("c", F.lit(2.0))
+    brands = table(spark, d, "part").groupBy("p_name").agg(F.collect_set("p_brand").alias("brands"))  # a name's own brands, of a few dozen
+    side = lambda n: brands.select(F.col("p_name").alias(f"name_{n}"), F.col("brands").alias(f"brands_{n}"))
     part = F.contains(F.lower("name_a"), F.lower("name_b")) | F.contains(F.lower("name_b"), F.lower("name_a"))
-    v = pairs.join(k, ["name_a", "name_b"], "left").select("a", "b", (F.when(part, 3.0).otherwise(0.0) + 2.0 + F.coalesce("c", F.lit(0.0))).alias("score"))
+    x = pairs.join(side("a"), "name_a").join(side("b"), "name_b")
+    score = F.when(part, 3.0).otherwise(0.0) + 2.0 + F.when(F.arrays_overlap("brands_a", "brands_b"), 2.0).otherwise(0.0)
+    v = x.select("a", "b", "name_a", "name_b", score.alias("score"))
     return v.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))).filter("rk <= 8")
 
 
+@query(f"WITH {_CANDIDATES} SELECT a, b, score, rk::INT AS rk FROM r WHERE rk <= 8")
+def candidate_blocking(spark: SparkSession, d: str) -> DataFrame:
+    return candidates(spark, d).select("a", "b", "score", "rk")
+
+
+_RESOLVED = f"""{_CANDIDATES}, c AS (SELECT * FROM r WHERE rk <= 8), tx AS (SELECT a AS id, na || ', còn gọi là ' || nb AS text FROM c WHERE rk = 2 AND a % 3 = 0),
+k AS (SELECT a, b, rk, CASE (a + b) % 7 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'none' END AS kind, EXISTS (SELECT 1 FROM tx WHERE tx.id IN (a, b) AND (contains(lower(text), lower(na || ', còn gọi là ' || nb)) OR contains(lower(text), lower(nb || ', còn gọi là ' || na)))) AS told FROM c),
+f AS (SELECT a, arg_min(b, (rk, b)) FILTER (WHERE told) AS t, arg_min(b, (rk, b)) FILTER (WHERE kind = 'yes') AS r FROM k GROUP BY a),
+z AS (SELECT a, coalesce(t, r) AS match, CASE WHEN t IS NOT NULL THEN 'regex' WHEN r IS NOT NULL THEN 'relation_positive' ELSE 'keep' END AS method FROM f)"""
+
+
+def resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Part names resolved against their candidates; a third of them have a text that names the second candidate as theirs."""
+    c = cut_lineage(candidates(spark, d))
+    texts = c.filter((F.col("rk") == 2) & (F.col("a") % 3 == 0)).select(F.col("a").alias("id"), F.concat("name_a", F.lit(", còn gọi là "), "name_b").alias("text"))
+    k = (F.col("a") + F.col("b")) % 7
+    edges = c.filter(k <= 2).select(F.col("b").alias("src"), F.col("a").alias("dst"), F.when(k == 0, "TÊN_KHÁC").when(k == 1, "CON_CỦA").otherwise("SAME_AS").alias("kind"))
+    return G.resolve_safely(c, texts, edges)
+
+
+@query(f"WITH {_RESOLVED} SELECT a, match, method FROM z")
+def safe_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return resolved(spark, d)
+
+
+@query(f"""WITH {_RESOLVED}, m AS (SELECT z.*, a + 1 AS guess, (a % 10) / 10.0 AS confidence, (a + 1) % 10 AS size FROM z)
+SELECT a, CASE WHEN method = 'keep' AND a % 2 = 0 AND confidence >= CASE WHEN size <= 2 THEN 0.7 WHEN size <= 4 THEN 0.85 ELSE 0.95 END AND size < 8 THEN guess ELSE match END AS match,
+  CASE WHEN method <> 'keep' OR a % 2 = 1 THEN method WHEN confidence >= CASE WHEN size <= 2 THEN 0.7 WHEN size <= 4 THEN 0.85 ELSE 0.95 END AND size < 8 THEN 'llm' ELSE 'below_threshold_or_cluster_full' END AS method FROM m""")
+def model_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """What was kept apart, with a stand-in model's guess for every second name; the bar rises with the cluster's size."""
+    s = cut_lineage(resolved(spark, d))
+    answers = s.filter(F.col("a") % 2 == 0).select("a", (F.col("a") + 1).alias("b"), ((F.col("a") % 10) / 10.0).alias("confidence"))
+    clusters = answers.select(F.col("b").alias("id"), (F.col("b") % 10).alias("size")).distinct()
+    return G.resolve_with_model(s, answers, clusters)
+
+
+@query("""WITH e AS (SELECT s_suppkey AS src, s_nationkey AS dst, CASE s_suppkey % 4 WHEN 0 THEN 'SAME_AS' WHEN 1 THEN 'LIES_IN' ELSE 'TRADES' END AS kind FROM supplier UNION SELECT s_nationkey, s_suppkey, 'HOLDS' FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT DISTINCT s_suppkey AS a, s_nationkey AS b, e.kind FROM supplier JOIN e ON (e.src = s_suppkey AND e.dst = s_nationkey) OR (e.src = s_nationkey AND e.dst = s_suppkey) WHERE e.kind <> 'SAME_AS'""")
+def relation_between(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    edges = s.select(k.alias("src"), F.col("s_nationkey").alias("dst"), F.when(k % 4 == 0, "SAME_AS").when(k % 4 == 1, "LIES_IN").otherwise("TRADES").alias("kind"))
+    back = s.filter(k % 2 == 0).select(F.col("s_nationkey").alias("src"), k.alias("dst"), F.lit("HOLDS").alias("kind"))
+    return G.relations_between(s.select(k.alias("a"), F.col("s_nationkey").alias("b")), edges.unionByName(back))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE '"' || c_name || '"' END AS src, n_name AS tgt, CASE WHEN c_custkey % 5 = 0 THEN 'own' WHEN c_custkey % 4 = 2 THEN '' ELSE 'from ' || n_name END AS description,
+'search_document: ' || CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE '"' || c_name || '"' END || ' -> ' || n_name || CASE WHEN c_custkey % 5 = 0 THEN ': own' WHEN c_custkey % 4 = 2 THEN '' ELSE ': from ' || n_name END AS text FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def edge_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Relation items whose ends are quoted or bare get their description from edges that are quoted otherwise, or lack it."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    quoted = F.concat(F.lit('"'), "c_name", F.lit('"'))
+    items = c.select(k, F.when(k % 4 == 3, F.col("c_name")).otherwise(quoted).alias("src"), F.col("n_name").alias("tgt"), F.when(k % 5 == 0, "own").otherwise("").alias("description"))
+    edges = c.filter(k % 4 != 2).select(F.when(k % 4 == 0, quoted).when(k % 4 == 1, F.col("c_name")).otherwise(quoted).alias("src"), F.col("n_name").alias("tgt"), F.concat(F.lit("from "), "n_name").alias("description"))
+    return G.edge_texts(items, edges)
+
+
+@query("""SELECT r_regionkey::VARCHAR AS community_id, '[Nhóm ' || r_regionkey || '] (gồm: ' || (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) || ')' || chr(10) || 'about ' || r_name AS block FROM region""")
+def global_search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = m.groupBy(F.col("r_regionkey").cast("string").alias("community_id"), "r_name").agg(F.array_sort(F.collect_set("n_name")).alias("entities")).withColumn("summary", F.concat(F.lit("about "), "r_name"))
+    return G.summary_blocks(s)
+
+
+@query("""SELECT s_suppkey AS id, s_suppkey % 4 = 1 AS linked FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0""")
+def pending_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that an incremental resolution still has to look at, and whether an edge is left of them once those of one type are deleted."""
+    k = F.col("s_suppkey")
+    nodes = table(spark, d, "supplier").select(k.alias("id"), (k % 3 != 0).alias("is_canonical"), F.when(k % 5 == 0, True).alias("resolved"), F.when(k % 7 == 0, "date").otherwise("geo").alias("type"))
+    edges = table(spark, d, "supplier").filter(k % 4 <= 1).select(k.alias("src"), F.when(k % 4 == 0, "SAME_AS").otherwise("LIES_IN").alias("kind"))
+    left = G.without_relations(edges, "SAME_AS").select(F.col("src").alias("id"), F.lit(True).alias("linked"))
+    return G.pending(nodes, ["date"]).join(left, "id", "left").select("id", F.coalesce("linked", F.lit(False)).alias("linked"))
+
+
 @query(f"WITH {_NAMES} SELECT na AS name_a, nb AS name_b, shared FROM s WHERE shared >= 2 OR contains(lower(na), lower(nb)) OR contains(lower(nb), lower(na))")
 def similar_unmerged(spark: SparkSession, d: str) -> DataFrame:
     pairs = G.shared_token_pairs(part_names(spark, d), "id", "name", "type")
@@ -136,7 +216,7 @@ def similar_unmerged(spark: SparkSession, d: str) -> DataFrame:
 def close_match(spark: SparkSession, d: str) -> DataFrame:
     """Questions asked of misspelt part names: the closest known name by similarity."""
     names = part_names(spark, d)
-    asked = names.select(F.concat(F.substring("name", 1, 3), F.lit("e"), F.substring("name", 4, 100)).alias("asked"))
+    asked = names.select(F.concat(F.substring("name", 1, 3), F.lit("e"), F.expr("substring(name, 4)")).alias("asked"))
     return G.close_matches(asked, "asked", names, "name")
 
 
@@ -167,8 +247,8 @@ SELECT community_id, list_sort(list(DISTINCT n_name)) AS members, (SELECT string
 def community_merge(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     s = m.groupBy(F.col("r_regionkey").cast("string").alias("community_id"), "r_name").agg(F.array_sort(F.collect_set("n_name")).alias("entities")).withColumn("summary", F.concat(F.lit("about "), "r_name"))
-    groups = spark.range(1).select(F.from_json(F.lit('[["0","1"]]'), "array<array<string>>").alias("g")).select(F.explode("g").alias("group"))
-    return G.merge_groups(s, groups)
+    reply = spark.range(1).select(F.lit('{"merged_groups": [["ID: 0", "id_1"], ["ID 7"]]}').alias("raw"))
+    return G.merge_groups(s, reply.select(F.explode(groups_json(F.col("raw"))).alias("group")))
 
 
 @query(f"""WITH {_MENTION}, i AS (SELECT id, count(*)::INT AS n, md5(array_to_string(list_sort(list(chunk_id)), ',')) AS chunks FROM men GROUP BY id), k AS (SELECT least(c_name, n_name) || '<SEP>' || greatest(c_name, n_name) AS pair, {_KEY.format('c_name')} AS id FROM customer JOIN nation ON c_nationkey = n_nationkey)

@@ -36,8 +36,7 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
   (coalesce(min(rnk) FILTER (WHERE label = q_label), 0) = 1)::INT AS hit_1, coalesce(min(rnk) FILTER (WHERE label = q_label) <= 5, false)::INT AS hit_5,
   round(coalesce(1.0 / min(rnk) FILTER (WHERE label = q_label), 0), 6)::DOUBLE AS rr FROM r GROUP BY query_id""")
 def retrieval_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    first = F.min(F.when(F.col("label") == F.col("q_label"), F.col("rnk"))).cast("long")
-    out = ranked(spark, d).groupBy("query_id").agg(first.alias("first_hit_rank"))
+    out = first_hits(spark, d).select("query_id", F.col("k").cast("long").alias("first_hit_rank"))
     hit = lambda k: F.coalesce(F.col("first_hit_rank") <= k, F.lit(False)).cast("int")
     return out.select("query_id", "first_hit_rank", hit(1).alias("hit_1"), hit(5).alias("hit_5"), F.round(F.coalesce(1.0 / F.col("first_hit_rank"), F.lit(0.0)), 6).alias("rr"))
 
@@ -75,7 +74,15 @@ _FIRST = _SCORED + ", f AS (SELECT query_id, min(rnk) FILTER (WHERE label = q_la
 
 
 def first_hits(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d).groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rnk"))).alias("k"))
+    """Columns ``query_id, k``: rank of the first vector of the query's label, null if there is none.
+
+    The best such vector is a minimum and its rank the number of better ones, two aggregates that are combined where the vectors
+    are read; no query's rows are gathered or sorted.
+    """
+    s = scored(spark, d).withColumn("at", F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))
+    best = s.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("at"))).alias("best"))
+    ahead = s.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.count_if(F.col("at") < F.col("best")).alias("n"), F.max(F.col("best").isNotNull()).alias("hit"))
+    return ahead.select("query_id", F.when(F.col("hit"), F.col("n") + 1).alias("k"))
 
 
 @query(_FIRST + """, b AS (SELECT CASE WHEN k = 1 THEN '1' WHEN k <= 5 THEN '2-5' WHEN k <= 10 THEN '6-10' WHEN k <= 30 THEN '11-30' WHEN k > 30 THEN '>30' ELSE 'none' END AS bucket FROM f)
@@ -111,19 +118,36 @@ def vector_pad_truncate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vdb_chunks").select(F.col("__id__").alias("id"), F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"), F.col("vector").isNull().alias("missing"), total.alias("sum_48")).distinct()
 
 
-@query("""WITH e AS (SELECT vec_id, vec_id // 4 AS batch, embedding::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.batch, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) / 0.05 AS logit FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
-m AS (SELECT batch, vec_id, min_by(logit, other) AS pos, ln(sum(exp(logit))) AS lse FROM s GROUP BY batch, vec_id)
+_TRIPLES = """t AS (SELECT vec_id // 12 AS batch, vec_id // 3 AS item, max(CASE WHEN vec_id % 3 = 0 THEN embedding END)::DOUBLE[] AS q, max(CASE WHEN vec_id % 3 = 1 THEN embedding END)::DOUBLE[] AS p, max(CASE WHEN vec_id % 3 = 2 THEN embedding END)::DOUBLE[] AS n FROM embeddings GROUP BY 1, 2 HAVING count(*) = 3)"""
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    """Query, positive and hard negative of a batch's items: three vectors in a row, four items a batch."""
+    e = table(spark, d, "embeddings").select("vec_id", as_double(F.col("embedding")).alias("v"))
+    side = lambda i, n: F.max(F.when(F.col("vec_id") % 3 == i, F.col("v"))).alias(n)
+    return e.groupBy(F.expr("vec_id div 12").alias("batch"), F.expr("vec_id div 3").alias("item")).agg(side(0, "q"), side(1, "p"), side(2, "n"), F.count("*").alias("k")).filter("k = 3").drop("k")
+
+
+@query(f"""WITH {_TRIPLES}, s AS (SELECT a.batch, a.item, b.item AS other, list_cosine_similarity(a.q, b.p) / 0.05 AS logit FROM t a JOIN t b ON a.batch = b.batch UNION ALL SELECT batch, item, NULL, list_cosine_similarity(q, n) / 0.05 FROM t),
+m AS (SELECT batch, item, max(CASE WHEN other = item THEN logit END) AS pos, ln(sum(exp(logit))) AS lse FROM s GROUP BY batch, item)
 SELECT batch, round(avg(lse - pos), 6) AS loss FROM m GROUP BY batch""")
 def infonce_loss(spark: SparkSession, d: str) -> DataFrame:
-    """Contrastive loss of batches of four: the next vector of a batch is the positive, temperature 0.05."""
-    e = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("batch"), as_double(F.col("embedding")).alias("v"))
-    b = e.select("batch", F.col("vec_id").alias("other"), F.col("v").alias("w"))
-    s = e.join(b, "batch").filter("vec_id <> other").withColumn("logit", cosine(F.col("v"), F.col("w")) / 0.05)
-    m = s.groupBy("batch", "vec_id").agg(F.min_by("logit", "other").alias("pos"), F.log(F.sum(F.exp("logit"))).alias("lse"))
+    """Contrastive loss: the positives of a batch and an item's own hard negative against its positive, temperature 0.05."""
+    t = triples(spark, d)
+    others = t.select("batch", F.col("item").alias("other"), "p")
+    inside = t.select("batch", "item", "q").join(others, "batch").select("batch", "item", "other", (cosine(F.col("q"), F.col("p")) / 0.05).alias("logit"))  # a batch has four items
+    hard = t.select("batch", "item", F.lit(None).cast("long").alias("other"), (cosine(F.col("q"), F.col("n")) / 0.05).alias("logit"))
+    m = inside.unionByName(hard).groupBy("batch", "item").agg(F.max(F.when(F.col("other") == F.col("item"), F.col("logit"))).alias("pos"), F.log(F.sum(F.exp("logit"))).alias("lse"))
     return m.groupBy("batch").agg(F.round(F.avg(F.col("lse") - F.col("pos")), 6).alias("loss"))
 
 
+@query(f"WITH {_TRIPLES} SELECT item, round(list_cosine_similarity(q, p), 6) AS positive, round(list_cosine_similarity(q, n), 6) AS negative, round(list_cosine_similarity(q, p) - list_cosine_similarity(q, n), 6) AS margin FROM t")
+def cosine_margin(spark: SparkSession, d: str) -> DataFrame:
+    """How much nearer a query is to its positive than to its hard negative."""
+    p, n = cosine(F.col("q"), F.col("p")), cosine(F.col("q"), F.col("n"))
+    return triples(spark, d).select("item", F.round(p, 6).alias("positive"), F.round(n, 6).alias("negative"), F.round(p - n, 6).alias("margin"))
+
+
 @query(_FIRST + """SELECT q_label AS label, count(*) AS queries, round(avg((k <= 1)::INT), 4) AS hit_1, round(avg((k <= 3)::INT), 4) AS hit_3, round(avg((k <= 5)::INT), 4) AS hit_5, round(avg((k <= 10)::INT), 4) AS hit_10, round(avg(coalesce(1.0 / k, 0)), 4)::DOUBLE AS mrr
 FROM f JOIN (SELECT DISTINCT query_id, q_label FROM q) USING (query_id) GROUP BY GROUPING SETS ((q_label), ())""")
 def full_report(spark: SparkSession, d: str) -> DataFrame:
