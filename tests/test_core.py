@@ -1,6 +1,8 @@
 """Functions and operators of the core on edge cases."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import metrics as M
 from quillmill.functions import text as T
-from quillmill.functions.folding import fold
+from quillmill.functions.folding import compat, compose, fold
 from quillmill.functions.skew import hot_join, numbered, pair_join
 from quillmill.functions.vectors import as_double, cosine, fit_dims, l2_unit
 from quillmill.operators import chunking as C
@@ -59,8 +61,17 @@ def test_metrics(spark):
     s = spark.createDataFrame(rows, "s array<string>, c array<string>")
     got = s.select(M.span_hit(F.col("s"), F.col("c"), None).alias("inside"), M.joined_hit(F.col("s"), F.col("c"), 2).alias("joined"), M.joined_rr(F.col("s"), F.col("c")).alias("rr"), M.span_recall(F.col("s"), F.col("c"), None).alias("rec")).collect()
     assert [tuple(r) for r in got] == [(0, 1, 0.0, 0.0), (None, None, None, None), (0, 0, 0.0, 0.0)]
-    a = spark.createDataFrame([("true", True), ("false", True), ("false", False), ("partial", False), ("true", False)], "a string, r boolean")
-    assert [tuple(r.v) for r in a.select(M.answerability(F.col("a"), F.col("r")).alias("v")).collect()] == [("false_refusal", 0.0), ("correctly_refused", 1.0), ("hallucination", 0.0), ("partly_answered", 0.5), ("answered", 1.0)]
+    a = spark.createDataFrame([("it is not mentioned", "True"), ("", " unanswerable"), (" ", "FALSE"), ("he was king", "partial"), ("the duration is not stated", "partial"), ("không tìm thấy", "answerable"), (None, "x")], "s string, k string")
+    got = [tuple(r.v) for r in a.select(M.answerability(F.col("s"), F.col("k")).alias("v")).collect()]
+    assert got == [(True, None, True, False, None), (True, 1.0, False, False, None), (False, 0.0, False, True, None), (False, None, False, False, 0.5), (True, None, False, False, 1.0), (False, None, False, False, None), (True, None, False, False, None)]
+    q = spark.createDataFrame([("Ai?\nLý Nam Đế\n ai \n", 1), (" unknown.\n", 2), (None, 3), ("UNKNOWN\nX", 4)], "x string, i int")
+    assert [r.e for r in q.select("i", parsing.query_entities(F.col("x")).alias("e")).orderBy("i").collect()] == [["Ai?", "Lý Nam Đế"], [], [], ["X"]]
+
+
+def test_composed_forms(spark):
+    odd = ["ﬁn ①", "De\u0302\u0301", "e\u0323\u0302", "Ａｂ\u00a0…", "plain", None]
+    assert one(spark, odd, compat) == [unicodedata.normalize("NFKC", x) if x else None for x in odd]
+    assert one(spark, odd[1:3], compose) == [unicodedata.normalize("NFC", x) for x in odd[1:3]]
 
 
 def test_vectors(spark):
@@ -70,32 +81,74 @@ def test_vectors(spark):
     assert [r.u for r in got] == [[0.6, 0.8], [0.0, 0.0], None] and [r.f for r in got] == [[3.0, 4.0, 0.0], [0.0] * 3, [0.0] * 3] and [r.c for r in got] == [1.0, None, None]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .\n,", max_size=400), st.integers(20, 60), st.integers(0, 10))
-def test_recursive_split_keeps_every_word(text, size, overlap):
-    parts = C.recursive_split(text, size, overlap)
-    assert all(p and len(p) <= max(size, 1) for p in parts)
-    assert set("".join(parts)) - set(" \n") == set(text) - set(" \n")
+def merged(parts, size, overlap):
+    """The merging rule on lists of parts."""
+    out, run = [], []
+    for p in parts:
+        if run and sum(map(len, run)) + len(p) > size:
+            out.append("".join(run).strip())
+            while run and (sum(map(len, run)) > overlap or sum(map(len, run)) + len(p) > size):
+                run = run[1:]
+        run = [*run, p]
+    return out + (["".join(run).strip()] if run else [])
+
+
+def split_by_rule(text, size, overlap, separators):
+    at = next((k for k, x in enumerate(separators) if x == "" or x in text), None)
+    sep = "" if at is None else separators[at]
+    parts = [p for p in re.findall(f"(?s).*?{re.escape(sep)}|.+", text) if p] if sep else list(text)
+    out, short = [], []
+    for p in parts:
+        if len(p) < size:
+            short.append(p)
+            continue
+        out, short = out + merged(short, size, overlap), []
+        out += split_by_rule(p, size, overlap, separators[at + 1 :]) if sep and separators[at + 1 :] else [p]
+    return out + merged(short, size, overlap)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .\n,?;", max_size=200), st.integers(1, 60), st.integers(0, 20))
+def test_recursive_split_follows_the_rule(text, size, overlap):
+    assert C.recursive_split(text, size, overlap) == split_by_rule(text, size, overlap, C.RECURSIVE)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["w", ".", "\n"]), max_size=120), st.integers(5, 30))
-def test_pack_pieces(tokens, size):
-    pieces = C.separator_pieces(tokens, [".", "\n"])
-    assert [t for p in pieces for t in p] == tokens
-    packed = C.pack_pieces(pieces, size, 0)
-    if max(map(len, pieces), default=0) <= size:
-        assert [t for p in packed for t in p] == tokens and all(len(p) <= size for p in packed)
-    for i, p in enumerate(C.pack_pieces(pieces, size, 3)):
-        assert i == 0 or len(p) <= size
+def test_packed_spans(tokens, size):
+    spans = C.separator_ends(tokens, [["."], ["\n"]])
+    assert [t for a, b in spans for t in tokens[a:b]] == tokens
+    lengths = [b - a for a, b in spans]
+    packed = C.packed_spans(lengths, size, 0)
+    if max(lengths, default=0) <= size:
+        assert [t for k, a, b in packed for t in tokens[a - k : b]] == tokens and all(b - a <= size for _, a, b in packed)
+    assert all(i == 0 or k + b - a <= size for i, (k, a, b) in enumerate(C.packed_spans(lengths, size, 3)))
 
 
 def test_long_single_piece_becomes_windows():
-    one_piece = [["t"] * 1300]
-    assert [len(c) for c in C.pack_pieces(one_piece, 1200, 100)] == [1200, 200]
-    assert [len(c) for c in C.pack_pieces([["t"] * 1200], 1200, 100)] == [1200]
-    assert [len(c) for c in C.pack_pieces([["t"] * 2290], 1200, 100)] == [1200, 1190]
-    assert C.separator_pieces([], ["."]) == [] and C.pack_pieces([], 5, 1) == []
+    lengths = lambda n: [k + b - a for k, a, b in C.packed_spans([n], 1200, 100)]
+    assert lengths(1300) == [1200, 200] and lengths(1200) == [1200] and lengths(2290) == [1200, 1190]
+    assert C.separator_ends([], [["."]]) == [] and C.packed_spans([], 5, 1) == []
+    assert C.separator_ends("a..b", [[".", "."], ["."]]) == [(0, 3), (3, 4)] and C.separator_ends("a.b", [["."]], keep=False) == [(0, 1), (2, 3)]
+
+
+def test_separator_chunks(spark):
+    df = spark.createDataFrame([(1, "One sentence here. " * 40), (2, ""), (3, None), (4, "x" * 300)], "d int, t string").withColumn("tokens", F.lit("clash"))
+    got = {}
+    for r in C.separator_chunks(df, "d", "t", 50, 10).orderBy("d", "chunk_order_index").collect():
+        got.setdefault(r.d, []).append(r)
+    assert set(got) == {1, 4} and all(r.tokens <= 50 for r in got[1]) and got[1][0].chunk.startswith("One sentence here.")
+
+
+def test_close_matches_equal_brute_force(spark):
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10))) for _ in range(60)]
+    asked = ["abxde", *["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 10))) for _ in range(40)]]
+    names = sorted({*names, "abcde"})
+    got = {r.query: r.ratio for r in graph.close_matches(spark.createDataFrame([(a,) for a in asked], "q string"), "q", spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()}
+    for a in set(asked):
+        best = max(graph.ratio(a, n) for n in names)
+        assert got[a] == (round(best, 6) if best >= 0.8 else 0.0), a
 
 
 def test_window_chunks(spark):
@@ -146,7 +199,7 @@ def test_records(spark):
     raw = '<think>(x)</think>("entity"<|>"Lý"<|>"Person"<|>"a (b) c")##("entity"<|>"lý"<|>person<|>again)\n("relationship"<|>A<|>B<|>knows<|>9/10)##("relationship"<|>B<|>A<|>knows<|>x)##("relationship"<|>A<|>A<|>self<|>1)##("entity"<|>short)##text ("entity"<|>X<|>alien<|>d)<|COMPLETE|>'
     df = spark.createDataFrame([(raw,), ("",), (None,)], "x string").withColumn("r", parsing.records(F.col("x")))
     got = df.select(parsing.entities(F.col("r")).alias("e"), parsing.relationships(F.col("r")).alias("l"), parsing.record_errors(F.col("r")).alias("n")).collect()
-    assert [tuple(x) for x in got[0].e] == [("Lý", "person", "a (b) c")] and [tuple(x) for x in got[0].l] == [("A", "B", "knows", 10.0)] and got[0].n == 1
+    assert [tuple(x) for x in got[0].e] == [("LÝ", "person", "a (b) c")] and [tuple(x) for x in got[0].l] == [("A", "B", "knows", 10.0)] and got[0].n == 1
     assert got[1].e == [] and got[2].e is None
     m = spark.createDataFrame([('{"match_index": 2, "evidence": "e"}',), ('{"match_index": 9, "evidence": "e"}',), ('{"match_index": 1, "evidence": " "}',), ("bad",)], "x string")
     assert [r.y for r in m.select(parsing.match_json(F.col("x"), F.lit(3)).alias("y")).collect()] == [2, None, None, None]
