@@ -29,12 +29,15 @@ def get_spark(cores: str | int = "*", shuffle_partitions: int | None = None, mem
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder the cluster names.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    temporary folder is used. Files in the shared folder survive the loss of any executor.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests) a
+    temporary folder is used; on a cluster a missing folder is an error. Files in the shared folder survive the loss
+    of any executor.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
