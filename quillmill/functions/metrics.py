@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import contains_norm, normalize_eval, normalize_span, unaccented
 
 
+def bound(f: Callable[..., Column], *cols: Column) -> Column:
+    """``f`` of the columns, each worked out once a row however often ``f`` names it, in lambdas too."""
+    held = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+    return F.element_at(F.transform(F.array(held), lambda h: f(*[h.getField(f"c{i}") for i in range(len(cols))])), 1)
+
+
 def shared_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    of = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(of(a, w), of(b, w)))
+    """Size of the multiset intersection of two arrays; only words of both are counted."""
+    of = lambda arr, w: F.size(arr) - F.size(F.array_remove(arr, w))
+    least = lambda x, y, w: F.coalesce(F.least(of(x, w), of(y, w)), F.lit(0))
+    return bound(lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, w: s + least(x, y, w)), a, b)
 
 
 def token_prf(answer: Column, truth: Column) -> Column:
     """precision, recall and f1 of two word arrays, each to four places; zeros where nothing is shared."""
-    common = shared_count(answer, truth).cast("double")
-    p = F.when(F.size(answer) > 0, common / F.size(answer)).otherwise(F.lit(0.0))
-    r = F.when(F.size(truth) > 0, common / F.size(truth)).otherwise(F.lit(0.0))
-    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    return F.struct(F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f1"))
+
+    def scores(na: Column, nt: Column, common: Column) -> Column:
+        p = F.when(na > 0, common / na).otherwise(F.lit(0.0))
+        r = F.when(nt > 0, common / nt).otherwise(F.lit(0.0))
+        f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+        return F.struct(F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f1"))
+
+    return bound(lambda a, t: bound(scores, F.size(a), F.size(t), shared_count(a, t).cast("double")), answer, truth)
 
 
 def _top(chunks: Column, k: int | None) -> Column:

@@ -53,7 +53,7 @@ def strip_marks(col: Column) -> Column:
 def eval_words(col: Column) -> Column:
     """Lower case, no accents, punctuation to blanks, articles out; as words."""
     plain = F.translate(unaccented(F.lower(col)), PUNCTUATION, " " * len(PUNCTUATION))
-    return F.filter(words(plain), lambda w: ~w.isin("a", "an", "the"))
+    return F.filter(F.split(plain, _BLANK), lambda w: ~w.isin("", "a", "an", "the"))
 
 
 def normalize_eval(col: Column) -> Column:
