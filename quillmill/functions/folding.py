@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import bound
+
 #: Letters that carry a stroke and have no decomposition. (fixed values)
 STROKED = {"đ": "d", "Đ": "D"}
 
@@ -89,11 +91,30 @@ def _mapped(parts: Column, table: dict[str, str]) -> Column:
 
 def compose(col: Column) -> Column:
     """Canonical composition (NFC) of Latin letters; a text without marks of their own is left as it is."""
-    return F.when(col.rlike(r"\p{M}"), _mapped(F.regexp_extract_all(col, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1)), _composed())).otherwise(col)
+    parts = F.regexp_extract_all(col, F.lit(r"(?s)(\P{M}\p{M}+|\p{M}+|\P{M}+(?!\p{M}))"), F.lit(1))  # what has no marks is one part
+    return F.when(col.rlike(r"\p{M}"), _mapped(parts, _composed())).otherwise(col)
+
+
+@lru_cache(maxsize=1)
+def _ranges(chars: frozenset[str]) -> str:
+    """The characters as the inside of a character class; ranges, as a class tries its members one by one."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
 
 
 def compat(col: Column) -> Column:
     """Compatibility composition (NFKC) of Latin text, punctuation, ligatures and full-width forms."""
-    odd = "[" + "".join(re.escape(c) for c in _compatible()) + "]"
-    plain = F.when(col.rlike(odd), _mapped(F.split(col, ""), _compatible())).otherwise(col)
-    return compose(plain)
+    single = {a: b for a, b in _compatible().items() if len(b) == 1}
+    several = {a: b for a, b in _compatible().items() if len(b) > 1}
+    odd = _ranges(frozenset(several))
+
+    def spelt(c: Column) -> Column:
+        parts = F.regexp_extract_all(c, F.lit(f"([{odd}]|[^{odd}]+)"), F.lit(1))
+        return F.when(c.rlike(f"[{odd}]"), _mapped(parts, several)).otherwise(c)
+
+    return bound(compose, bound(spelt, F.translate(col, "".join(single), "".join(single.values()))))

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import bound
 from quillmill.functions.text import contains_norm, normalize_eval, normalize_span, unaccented
 
 
-def bound(f: Callable[..., Column], *cols: Column) -> Column:
-    """``f`` of the columns, each worked out once a row however often ``f`` names it, in lambdas too."""
-    held = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
-    return F.element_at(F.transform(F.array(held), lambda h: f(*[h.getField(f"c{i}") for i in range(len(cols))])), 1)
-
-
 def shared_count(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays; only words of both are counted."""
     of = lambda arr, w: F.size(arr) - F.size(F.array_remove(arr, w))
@@ -64,6 +57,35 @@ def span_recall(spans: Column, chunks: Column, k: int | None) -> Column:
     return plain_recall(plain_spans(spans), plain_spans(chunks), k)
 
 
+def found_hit(spans: Column, found: Column, form: str, k: int | None) -> Column:
+    """1 if one of the first k found chunks (see ``with_found``) holds a span; null without spans."""
+    return F.when(F.size(spans) > 0, F.exists(spans, lambda s: _held(s, found, form, k)).cast("int"))
+
+
+def found_recall(spans: Column, found: Column, form: str, k: int | None) -> Column:
+    """Share of the spans that the first k found chunks hold; null without spans."""
+    return F.when(F.size(spans) > 0, F.round(F.size(F.filter(spans, lambda s: _held(s, found, form, k))) / F.size(spans), 4))
+
+
+def found_rr(spans: Column, found: Column, form: str) -> Column:
+    """Reciprocal of the first place whose chunk holds a span; 0 if none does; null without spans."""
+    place = F.array_position(F.transform(found, lambda c: F.exists(spans, lambda s: F.array_contains(c.getField(form), s))), True)
+    return F.when(F.size(spans) > 0, F.round(F.coalesce(1.0 / F.nullif(place, F.lit(0)), F.lit(0.0)), 4))
+
+
+def found_coverage(entities: Column, found: Column, form: str) -> Column:
+    """Share of entities in the found chunks joined by blanks; null without entities; not rounded."""
+
+    def share(edges: Column) -> Column:
+        return F.size(F.filter(entities, lambda e: _held(e, found, form, None) | F.contains(edges, e))) / F.size(entities)
+
+    return F.when(F.size(entities) > 0, bound(share, F.array_join(F.transform(found, lambda c: c.getField("edges")), " ")))
+
+
+def _held(span: Column, found: Column, form: str, k: int | None) -> Column:
+    return F.exists(_top(found, k), lambda c: F.array_contains(c.getField(form), span))
+
+
 def joined_hit(spans: Column, chunks: Column, k: int) -> Column:
     """1 if a span stands in the first k chunks joined by a blank, so it may straddle two; null without spans."""
     text = normalize_eval(F.array_join(_top(chunks, k), " "))

@@ -18,32 +18,65 @@ def exact_mean(c: Column | str) -> Column:
     return F.sum(c.cast("decimal(24,9)")).cast("double") / F.nullif(F.count(c), F.lit(0))
 
 
-def scored_runs(runs: DataFrame, questions: DataFrame) -> DataFrame:
+def with_found(rows: DataFrame, key: str, retrieved: str, chunks: DataFrame, chunk_id: str, forms: dict[str, str], joined: str | None = None) -> DataFrame:
+    """``found`` and ``shared`` added to every row: what stands in the chunks it retrieved, and how many rows have its key.
+
+    ``forms`` names columns of spans and, for each, the column of ``chunks`` (one row per ``chunk_id``) they are looked for in, both in
+    the same form already. ``found`` has one entry per known chunk that a row with the same key names in ``retrieved``, in order of
+    rank; its fields, named as the columns of spans, hold those that stand in the chunk. For the spans of ``joined``, ``edges`` is what
+    one must see of the chunk to find spans that straddle two: all of it or both ends as long as a span, with a line end between, which
+    no span may have. Rows without a key find nothing. Only spans travel to the chunks, so no text of a chunk is shuffled twice.
+    """
+    none = F.array().cast("array<string>")
+    apart = F.when(F.col(key).isNull(), F.xxhash64(*rows.columns))  # rows without a key share no chunks and no task
+    g = rows.groupBy(key, apart.alias("_apart")).agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    ids = F.flatten(F.transform("_rows", lambda r: F.transform(F.coalesce(r.getField(retrieved), none), lambda c, i: F.struct(i.alias("rank"), c.alias("id")))))
+    of_all = lambda s: F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.coalesce(r.getField(s), none))))
+    e = g.select(key, "_apart", "_rows", *[of_all(s).alias(f"_q_{s}") for s in forms], F.explode_outer(F.when(F.col(key).isNotNull(), ids)).alias("_p"))
+    e = e.withColumn("_at", F.coalesce("_p.id", F.concat_ws(" ", key, "_apart")))  # those without a chunk are spread
+    x = e.join(chunks.withColumnRenamed(chunk_id, "_c"), (F.col("_at") == F.col("_c")) & F.col("_p.id").isNotNull(), "left")
+    standing = lambda s, text: F.filter(f"_q_{s}", lambda q: F.contains(text, q)).alias(s)
+    inside = [standing(s, F.col(t)) for s, t in forms.items()]
+    if joined:
+        text, longest = F.col(forms[joined]), F.array_max(F.transform(f"_q_{joined}", lambda q: F.length(q)))
+        inside.append(F.when(F.length(text) <= 2 * longest, text).otherwise(F.concat(F.left(text, longest), F.lit("\n"), F.right(text, longest))).alias("edges"))
+    marks = F.when(F.col("_c").isNotNull(), F.struct(F.col("_p.rank").alias("rank"), *inside))
+    y = x.groupBy(key, "_apart").agg(F.any_value("_rows").alias("_rows"), F.array_sort(F.collect_list(marks)).alias("found"))
+    return y.select(F.explode("_rows").alias("_r"), "found", F.size("_rows").alias("shared")).select("_r.*", "found", "shared")
+
+
+def scored_runs(runs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per run whose question is known, with all metrics of the scorer.
 
-    ``runs`` has output_id, id, doc, answer, chunks, latency_sec, total_tokens and judge (a struct of scores); ``questions`` has one row
-    per id: doc, question_type, answerable, gold_spans, supporting_entities, short_answer, ground_truth and key_points (a number).
+    ``runs`` has output_id, id, doc, answer, retrieved_chunks (ids), latency_sec, total_tokens and judge (a struct of scores); ``questions`` has
+    one row per id: doc, question_type, answerable, gold_spans, supporting_entities, short_answer, ground_truth and key_points (a number);
+    ``chunks`` has one row per _id with its content as c_plain (``normalize_span``), c_words (``normalize_eval``) and c_low (lower case).
     The answer is compared without its thinking unless nothing else is in it, and with the short answer or, where that is missing or
-    empty, the full one. A run without a question is dropped.
+    empty, the full one. A run without a question is dropped; runs with one output_id share their chunks and count once for each other.
     """
-    q = questions.select("id", *[F.col(c).alias(f"q_{c}") for c in questions.columns if c != "id"])
-    x = runs.join(q, "id")
+    q = questions.select(
+        "id", *[F.col(c).alias(f"q_{c}") for c in questions.columns if c not in ("id", "gold_spans", "supporting_entities")], F.lit(True).alias("known"),
+        M.plain_spans("gold_spans").alias("plain"), F.transform("gold_spans", T.normalize_eval).alias("words"), M.plain_spans("supporting_entities").alias("low"),
+    )
+    x = runs.join(q, "id", "left")
     answer = F.coalesce("answer", F.lit(""))
-    bare = T.without_thinking(answer)
-    given = F.when(bare != "", bare).otherwise(answer)
+    given = M.bound(lambda bare, said: T.eval_words(F.when(bare != "", bare).otherwise(said)), T.without_thinking(answer), answer)
     short = F.coalesce(F.nullif("q_short_answer", F.lit("")), "q_ground_truth", F.lit(""))
-    spans, chunks, points = F.col("q_gold_spans"), F.col("chunks"), F.col("q_key_points")
-    prf = M.token_prf(T.eval_words(given), T.eval_words(short))
-    x = x.withColumns({"_m": prf, "_s": M.plain_spans(spans), "_c": M.plain_spans(chunks)})  # once for all hits and recalls
-    refused = M.is_refusal(F.col("answer"))
-    return x.select(
+    x = x.select(
         "output_id", "id", F.coalesce("q_doc", "doc", F.lit("unknown")).alias("doc"), F.coalesce("q_question_type", F.lit("unknown")).alias("question_type"), F.col("q_answerable").alias("answerable"), "latency_sec", F.col("total_tokens").alias("tokens"),
-        *[M.plain_hit(F.col("_s"), F.col("_c"), k).alias(f"hit_{k}") for k in (1, 3, 5)], *[M.plain_recall(F.col("_s"), F.col("_c"), k).alias(f"recall_{k}") for k in (1, 3, 5)],
-        F.col("_m.f1").alias("token_f1"), F.col("_m.precision").alias("token_precision"), F.col("_m.recall").alias("token_recall"),
-        M.raw_entity_coverage(F.col("q_supporting_entities"), chunks).alias("entity_coverage"), M.joined_rr(spans, chunks).alias("rr"),
-        F.col("judge.answer_correctness").alias("answer_correctness"), M.key_point_recall(F.col("judge.key_points_covered"), points).alias("key_point_recall"),
+        F.col("q_key_points").alias("points"), "judge", "known", "plain", "words", "low", "retrieved_chunks", F.when(F.col("known"), M.token_prf(given, T.eval_words(short))).alias("m"), F.when(F.col("known"), M.is_refusal(F.col("answer"))).alias("refused"),
+    )
+    x = with_found(x, "output_id", "retrieved_chunks", chunks, "_id", {"plain": "c_plain", "words": "c_words", "low": "c_low"}, "low")
+    x = x.filter(F.col("known") & F.col("output_id").isNotNull()).withColumn("_again", F.explode(F.sequence(F.lit(1), "shared")))
+    plain, found = F.col("plain"), F.col("found")
+    return x.select(
+        "output_id", "id", "doc", "question_type", "answerable", "latency_sec", "tokens",
+        *[M.found_hit(plain, found, "plain", k).alias(f"hit_{k}") for k in (1, 3, 5)], *[M.found_recall(plain, found, "plain", k).alias(f"recall_{k}") for k in (1, 3, 5)],
+        F.col("m.f1").alias("token_f1"), F.col("m.precision").alias("token_precision"), F.col("m.recall").alias("token_recall"),
+        M.found_coverage(F.col("low"), found, "low").alias("entity_coverage"), M.found_rr(F.col("words"), found, "words").alias("rr"),
+        F.col("judge.answer_correctness").alias("answer_correctness"), M.key_point_recall(F.col("judge.key_points_covered"), F.col("points")).alias("key_point_recall"),
         F.col("judge.context_sufficiency").alias("context_sufficiency"), F.col("judge.faithfulness").alias("faithfulness"),
-        (F.col("q_answerable") & refused).alias("false_refusal"), (~F.col("q_answerable") & ~refused).alias("hallucination"),
+        (F.col("answerable") & F.col("refused")).alias("false_refusal"), (~F.col("answerable") & ~F.col("refused")).alias("hallucination"),
     )
 
 

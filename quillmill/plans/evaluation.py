@@ -52,6 +52,13 @@ x AS (SELECT output_id, list(content ORDER BY rank) AS chunks FROM e JOIN c USIN
 s AS (SELECT output_id, regexp_extract_all(question, '\\p{{Lu}}\\p{{L}}+ \\p{{Lu}}\\p{{L}}+') AS spans, coalesce(chunks, []) AS chunks FROM r LEFT JOIN x USING (output_id))"""
 
 
+def retrieved_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Columns ``_id, content`` of the pieces that a run retrieved: the latest of each id, of those the first content."""
+    c = table(spark, d, "kv_store_text_chunks").join(table(spark, d, "raw_outputs").select(F.explode("retrieved_chunks").alias("_id")).distinct(), "_id", "left_semi")
+    first = F.struct(F.col("update_time").isNull().alias("n"), F.bitwise_not("update_time").alias("t"), F.col("content").isNull().alias("m"), "content")
+    return c.groupBy("_id").agg(F.min(first).getField("content").alias("content"))
+
+
 def contexts(spark: SparkSession, d: str) -> DataFrame:
     """Runs with the names in their question as spans and the texts of the pieces they retrieved, in rank order."""
     c = table(spark, d, "kv_store_text_chunks")
