@@ -9,6 +9,7 @@ from quillmill.functions import metrics as M
 from quillmill.functions import text as T
 from quillmill.operators import parsing as P
 from quillmill.operators import runs as R
+from quillmill.operators import scoring as S
 from quillmill.plans.catalogue import query
 from quillmill.plans.text import sql_collapse, sql_eval_words, sql_span, sql_strip, sql_words
 from quillmill.session import table
@@ -77,9 +78,12 @@ _sp = sql_span
 SELECT output_id, CASE WHEN len(p) > 0 THEN (len(list_filter(p, lambda a: len(list_filter(c[1:1], lambda b: contains(b, a))) > 0)) > 0)::INT END AS hit_1, CASE WHEN len(p) > 0 THEN (len(list_filter(p, lambda a: len(list_filter(c[1:3], lambda b: contains(b, a))) > 0)) > 0)::INT END AS hit_3,
   CASE WHEN len(p) > 0 THEN round(len(list_filter(p, lambda a: len(list_filter(c, lambda b: contains(b, a))) > 0)) / len(p), 4) END AS recall_all FROM n""")
 def span_hit_recall(spark: SparkSession, d: str) -> DataFrame:
-    s, c = F.col("spans"), F.col("chunks")
-    x = contexts(spark, d).withColumns({"spans": M.plain_spans(s), "chunks": M.plain_spans(c)})
-    return x.select("output_id", M.plain_hit(s, c, 1).alias("hit_1"), M.plain_hit(s, c, 3).alias("hit_3"), M.plain_recall(s, c, None).alias("recall_all"))
+    names = F.regexp_extract_all("question", F.lit(r"(\p{Lu}\p{L}+ \p{Lu}\p{L}+)"), F.lit(1))
+    r = table(spark, d, "raw_outputs").repartition("output_id").distinct()  # as in runs(), laid out for the key
+    c = retrieved_pieces(spark, d).select("_id", T.normalize_span(F.col("content")).alias("text"))
+    x = S.with_found(r.select("output_id", M.plain_spans(names).alias("spans"), "retrieved_chunks"), "output_id", "retrieved_chunks", c, "_id", {"spans": "text"})
+    s, f = F.col("spans"), F.col("found")
+    return x.select("output_id", M.found_hit(s, f, "spans", 1).alias("hit_1"), M.found_hit(s, f, "spans", 3).alias("hit_3"), M.found_recall(s, f, "spans", None).alias("recall_all"))
 
 
 def _ev(c: str) -> str:

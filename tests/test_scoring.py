@@ -74,3 +74,7 @@ def test_forms_of_long_texts(spark):
     long = "Lẽnfam “x” … ① ﬁn ệ " * 2000
     df = spark.createDataFrame([(long,)], "x string")
     assert df.select(compat(F.col("x")).alias("y")).first().y == unicodedata.normalize("NFKC", long)
+
+
+def test_hits_of_odd_runs(spark, odd_tables):
+    same_as_sql(spark, odd_tables, "span_hit_recall")
