@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 
@@ -16,8 +18,9 @@ class ChainCRF:
 
     def scores(self, seq: list[list[int]]) -> np.ndarray:
         table = self.emit * self.scale if self.ready is None else self.ready
-        cuts = np.cumsum([0, *map(len, seq[:-1])])  # every state has a feature that is always on
-        return np.add.reduceat(table[[i for f in seq for i in f]], cuts, axis=0)
+        sizes = np.fromiter(map(len, seq), np.intp, len(seq))  # every state has a feature that is always on
+        on = np.fromiter(chain.from_iterable(seq), np.intp, int(sizes.sum()))
+        return np.add.reduceat(table.take(on, axis=0), np.cumsum(sizes) - sizes, axis=0)
 
     @staticmethod
     def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -64,15 +67,29 @@ class ChainCRF:
 
     def decode(self, seq: list[list[int]]) -> list[int]:
         """The best sequence of states (Viterbi)."""
-        s = self.scores(seq)
-        if len(s) == 1:
-            return [int(s[0].argmax())]
-        best, back = s[0], []
-        for t in range(1, len(s)):
-            m = best[:, None] + self.move
-            back.append(m.argmax(axis=0))
-            best = m.max(axis=0) + s[t]
-        out = [int(best.argmax())]
-        for b in reversed(back):
-            out.append(int(b[out[-1]]))
-        return out[::-1]
+        return self.decode_all([seq])[0]
+
+    def decode_all(self, seqs: list[list[list[int]]]) -> list[list[int]]:
+        """The best states of each sequence, all sequences taken a step at a time."""
+        sizes = np.fromiter(map(len, seqs), np.intp, len(seqs))
+        if not sizes.sum():
+            return [[] for _ in seqs]
+        s = self.scores(list(chain.from_iterable(seqs)))
+        ends = np.cumsum(sizes)
+        order = np.argsort(-sizes, kind="stable")
+        starts = (ends - sizes)[order]
+        longer = [int((sizes > t).sum()) for t in range(sizes.max())]  # the first so many in order have a state t
+        best, back = s[starts[: longer[0]]], np.zeros(s.shape, dtype=np.intp)
+        last = np.zeros(len(s), dtype=np.intp)
+        for t, n in enumerate(longer):
+            if t:
+                m = best[:n, :, None] + self.move
+                back[starts[:n] + t] = m.argmax(axis=1)
+                best[:n] = m.max(axis=1) + s[starts[:n] + t]
+            over = slice(longer[t + 1] if t + 1 < len(longer) else 0, n)
+            last[starts[over] + t] = best[over].argmax(axis=1)
+        for t in range(len(longer) - 1, 0, -1):
+            at = starts[: longer[t]] + t
+            last[at - 1] = back[at, last[at]]
+        tags = last.tolist()
+        return [tags[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]

@@ -14,9 +14,9 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
-from itertools import islice
-from operator import or_
+from functools import reduce
+from itertools import compress, islice
+from operator import itemgetter, or_
 
 import numpy as np
 import pandas as pd
@@ -76,7 +76,8 @@ _CITE = re.compile(r"\[(?:Data|Sources?|Reports?)\b[^\]]*\]|\((?:Data|Sources?):
 _LABEL = re.compile(r"^\W*(?:answer|response|reply|trả lời|đáp|đáp án|câu trả lời)\W*:[*_\s]*", re.I)
 _ASKED = re.compile(r"^\W*(?:question|q|you asked|the question is|câu hỏi|bạn hỏi|hỏi)\s*:[*_\s]*", re.I)
 _QUOTED = re.compile(r"[“\"«‘](?:[^”\"»’]|(?<=\w)’(?=\w))*[”\"»’]")
-_SPLIT = re.compile(r"(?<=[.!?…。！？])[”\"»’)\]*]*\s+|\n+")
+#: A stop with what closes after it and space, or line ends; a set of characters comes first, so that all others are passed over fast.
+_SPLIT = re.compile(r"[.!?…。！？\n](?:(?<=\n)\n*|(?<!\n)([”\"»’)\]*]*\s+))")
 _FINISHED = re.compile(r"(?:[.!?。！？]|v\.v\.{3}|etc\.{3})[”\"»’)\]*_]*$")
 #: Dots that break an answer off; a word before them tells nothing of an end.
 _DOTS = re.compile(r"(?<!v\.v)(?<!etc)(?:\.{3}|…)[”\"»’)\]*_\s]*$")
@@ -88,19 +89,20 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿Ѐ-ӿ؀-ۿऀ-ॿ]")
 _REFUSAL = re.compile("|".join(REFUSALS))
 _AROUND = re.compile("|".join(AROUND))
 _CONTRAST = re.compile("|".join(CONTRAST))
-_MARKS = re.compile("[“\"«‘]")
 _TOKENS = re.compile(r"\w+")
+_TOKEN = re.compile(r"\w")
 _LOOSE = re.compile(r"[\w']+")
-_TAIL = re.compile(r"[^\W\d_]+|\S")
-_LAST_WORD = re.compile(r"([^\W\d_]+)\W*$")
+#: Of a text turned round: its last word, if only marks follow, and its last word or mark.
+_LAST_WORD = re.compile(r"\W*([^\W\d_]+)")
+_LAST_TOKEN = re.compile(r"\s*([^\W\d_]+|\S)")
 _OPENED = re.compile(r"[(\[“«‘,;:\-–]\W*$|\[[^\]]*$")
 _MARKED = re.compile(r"\b(?:không|tôi|rất|xin|dựa|câu|thông|tài|bạn)\b")
-_ABBR = re.compile(r"\b(St|Mt|Dr|Mr|Mrs|No|vol|feat|c|ca|tr|tp)\.\s", re.I)
-
+_ABBR = re.compile(r"\.\s(?:" + "|".join(rf"(?<=\b{w}\.\s)" for w in "St Mt Dr Mr Mrs No vol feat c ca tr tp".split()) + ")", re.I)
 
 #: Words of which a clause needs one to match the patterns above. (fixed values)
 _REFUSAL_WORDS = frozenset("cannot can't can couldn't could unable not don't doesn't didn't do does did won't no nothing decline insufficient ai artificial language không chẳng chưa từ".split())
 _AROUND_WORDS = frozenset("sorry afraid unfortunately assistant based xin rất thật dựa please additional anything vui bạn cần speculate".split())
+_DECLINING_WORDS = _REFUSAL_WORDS | _AROUND_WORDS
 
 
 def language(text: str) -> str | None:
@@ -121,8 +123,9 @@ def said(answer: str | None) -> str:
     """What an answer says: without thinking blocks, labels, citations, marks and words for nothing; '' if it says nothing."""
     text = unicodedata.normalize("NFC", answer or "")
     text = _THINK.sub(" ", text) if "<" in text else text
-    text = (text if text.isascii() else _NO_WIDTH.sub("", text)).strip()
-    text = _LABEL.sub("", text)
+    text = (text if text.isascii() or text.isprintable() else _NO_WIDTH.sub("", text)).strip()
+    label = _LABEL.match(text) if ":" in text else None
+    text = text[label.end() :] if label else text
     bare = _uncited(text)
     words = [m.group() for m in islice(_TOKENS.finditer(bare), 3)]
     if not words or (len(words) < 3 and " ".join(_TOKENS.findall(fold_text(" ".join(words)))) in _NOTHING):
@@ -130,18 +133,36 @@ def said(answer: str | None) -> str:
     return text.strip()
 
 
+def _marked(clause: str) -> bool:
+    return '"' in clause or not clause.isascii() and ("“" in clause or "«" in clause or "‘" in clause)
+
+
 def _unquoted(clause: str) -> str:
     """A clause without the titles and sayings it quotes; one that is a quotation as a whole is kept."""
-    if not _MARKS.search(clause):
+    if not _marked(clause):
         return clause
     whole = _WHOLE.match(clause)
     return _QUOTED.sub(" ", whole[1] if whole else clause)
 
 
 def clauses(text: str) -> list[str]:
-    text = _ABBR.sub(lambda m: m.group(1) + "․ ", text)
-    out = [_uncited(c).replace("․", ".").strip() for c in _SPLIT.split(text)]
-    return [c for c in out if re.search(r"\w", c) or c in ("(", "“", "-", "**")]
+    text = _ABBR.sub("․ ", text)
+    out, start = [], 0
+    for m in _SPLIT.finditer(text):
+        out.append(text[start : m.start() if m[1] is None else m.start() + 1])
+        start = m.end()
+    out = [_uncited(c).replace("․", ".").strip() for c in [*out, text[start:]]]
+    return [c for c in out if c and (c[0].isalnum() or _TOKEN.search(c) or c in ("(", "“", "-", "**"))]
+
+
+def _declines(low: str, loose: Iterable[str]) -> tuple[bool, bool]:
+    """Whether a lower-case clause with straight apostrophes declines, and whether it goes with a refusal; ``loose`` are its words."""
+    if _DECLINING_WORDS.isdisjoint(loose):
+        return False, False
+    return (
+        not _REFUSAL_WORDS.isdisjoint(loose) and bool(_REFUSAL.search(low)),
+        not _AROUND_WORDS.isdisjoint(loose) and bool(_AROUND.search(low)),
+    )
 
 
 #: Words with less than this share of all counted words are left out, so a million words of each kind are kept at most.
@@ -165,22 +186,21 @@ def word_lists(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
         for i, c in enumerate([question, *parts]):
             last = i == len(parts)
             run = list(filter(str.islower, _WORDS.findall(c)))
-            words = list(filter(str.islower, _WORDS.findall(_unquoted(c)))) if _MARKS.search(c) else run
+            words = list(filter(str.islower, _WORDS.findall(_unquoted(c)))) if _marked(c) else run
             if i and last and words and c.endswith(words[-1]):
                 words.pop()
             en, vi = sum(map(ENGLISH.__contains__, words)), sum(map(VIETNAMESE.__contains__, words))
             if i and not last and en != vi:
                 tongue = "en" if en > vi else "vi"
                 out["inner_" + tongue] += run
-                end = _LAST_WORD.search(c)
+                end = _LAST_WORD.match(c[::-1])
                 if end and end[1].islower():
-                    out["ended_" + tongue].append(end[1])
+                    out["ended_" + tongue].append(end[1][::-1])
             if max(en, vi) >= 2 and min(en, vi) == 0 and max(en, vi) >= 0.12 * len(words):
                 out["en" if en else "vi"] += words
                 continue
             low = c.lower()
-            loose = set(_LOOSE.findall(low.replace("’", "'")))
-            if (not loose.isdisjoint(_REFUSAL_WORDS) and _REFUSAL.search(low)) or (not loose.isdisjoint(_AROUND_WORDS) and _AROUND.search(low)):
+            if any(_declines(low, _LOOSE.findall(low.replace("’", "'")))):
                 out["declined_en" if en >= vi and c.isascii() or not vi and not _MARKED.search(low) else "declined_vi"] += words
     return out
 
@@ -229,11 +249,11 @@ class Vocabulary:
             often = counts[f"inner_{k}"] >= OPEN_COUNT
             self.open[k] = pick(often & (counts[f"ended_{k}"] <= OPEN_SHARE * counts[f"inner_{k}"])) | (DANGLING[k] - pick(often))
 
-    def foreign_share(self, clause: str, lang: str) -> tuple[float, int, list[str], list[str]]:
-        """Share of the words, but names and quotes, that the language does not know, and their number; those words; all words."""
-        text = _unquoted(clause)
-        cjk = len(_CJK.findall(text))
-        run = _WORDS.findall(_CJK.sub(" ", text) if cjk else text)
+    def foreign_share(self, text: str, lang: str, run: list[str] | None = None) -> tuple[float, int, list[str], list[str]]:
+        """Share of the words, but names, that the language does not know, and their number; those words; all words (``run`` if no sign is CJK)."""
+        cjk = 0 if text.isascii() else len(_CJK.findall(text))
+        if cjk or run is None:
+            run = _WORDS.findall(_CJK.sub(" ", text) if cjk else text)
         words = list(filter(str.islower, run))
         n = len(words) + cjk
         known, plain = self.known[lang], ENGLISH if lang == "en" else VIETNAMESE
@@ -245,45 +265,59 @@ class Vocabulary:
 
 def _facts(question: str, lang: str, parts: list[str], vocab: Vocabulary) -> list[dict]:
     question = unicodedata.normalize("NFC", question)
-    q_low = frozenset(_TOKENS.findall(question.lower()))
-    q = _TOKENS.findall(fold_text(question))
+    q = _TOKENS.findall(question.lower())
+    q_low = frozenset(q)
+    q = q if question.isascii() else _TOKENS.findall(fold_text(question))
     q_set = frozenset(q)
-    hit_share = lambda words, known: sum(map(known.__contains__, words)) / len(words) if words else 1.0
     out = []
     for i, c in enumerate(parts):
         last = i == len(parts) - 1
-        body = _ASKED.sub("", c).lower()
-        words = _TOKENS.findall(body)
-        if hit_share(words, q_low) < 0.8 and abs(len(words) - len(q)) <= 4 + len(q) // 4:
-            words = _TOKENS.findall(fold_text(body))
-            known, asked = q_set, q_set
-        else:
-            known, asked = q_low, q_low
-        hit = sum(map(known.__contains__, words))
-        low = _unquoted(c).lower().replace("’", "'").strip()
-        loose = set(_LOOSE.findall(low))
-        refuses = not loose.isdisjoint(_REFUSAL_WORDS) and bool(_REFUSAL.search(low))
+        asked_at = _ASKED.match(c) if ":" in c else None
+        text = _unquoted(c)
+        run = None
+        if asked_at or text is not c or "'" in c or "’" in c or "İ" in c or "Σ" in c:
+            words = _TOKENS.findall((c[asked_at.end() :] if asked_at else c).lower())
+            low = text.lower().replace("’", "'")
+            loose = _LOOSE.findall(low)
+        else:  # the words of each kind are the same runs of signs, found once
+            tokens = _TOKENS.findall(c)
+            low, loose = c.lower(), list(map(str.lower, tokens))
+            words = loose
+            run = list(filter(str.isalpha, tokens))
+            if len(run) < len(tokens) and not all(t.isdecimal() for t in tokens if not t.isalpha()):
+                run = None
+        known, hit = q_low, sum(map(q_low.__contains__, words))
+        if words and abs(len(words) - len(q)) <= 4 + len(q) // 4 and hit / len(words) < 0.8:
+            if not c.isascii():
+                words = _TOKENS.findall(fold_text((c[asked_at.end() :] if asked_at else c).lower()))
+            known, hit = q_set, sum(map(q_set.__contains__, words))
+        refuses, around = _declines(low.strip(), loose)
         contrast = refuses and bool(_CONTRAST.search(low))
-        share, n, small, run = vocab.foreign_share(c, lang)
+        share, n, small, run = vocab.foreign_share(text, lang, run)
         bullet = bool(_BULLET.match(c))
         c = c.strip()
-        dots = _DOTS.search(c[-12:])
-        stopped = not dots and bool(_FINISHED.search(c[-12:]))
+        if c[-1].isalnum():
+            dots, stopped = None, False
+        elif c[-1] in ".!?。！？" and not c.endswith("..."):
+            dots, stopped = None, True
+        else:
+            dots = _DOTS.search(c[-12:])
+            stopped = not dots and bool(_FINISHED.search(c[-12:]))
         if stopped or not last:
             end, opened, ends_loose = "", False, False
         else:
             rest = c[-80:].rstrip(".…”\"»’)]*_ ") if dots else c[-80:].strip("*_ ")
-            tail = _TAIL.findall(rest)
-            end = tail[-1] if tail else ""
+            tail = _LAST_TOKEN.match(rest[::-1])
+            end = tail[1][::-1] if tail else ""
             opened = bool(_OPENED.search(c[-80:])) or c.endswith(" **")
-            ends_loose = end.lower() in vocab.open[language(c[: c.rfind(end)] if end else c) or lang]
+            ends_loose = any(end.lower() in held for held in vocab.open.values()) and end.lower() in vocab.open[language(c[: c.rfind(end)] if end else c) or lang]
         out.append(
             {
                 "words": max(1, len(words)),
                 "echo": hit / len(words) if words else 0.0,
-                "covers": len(asked & set(words)) / len(asked) if asked else 0.0,
+                "covers": len(known.intersection(words)) / len(known) if hit else 0.0,
                 "refuses": refuses and not contrast,
-                "around": not loose.isdisjoint(_AROUND_WORDS) and bool(_AROUND.search(low)),
+                "around": around,
                 "contrast": contrast,
                 "foreign": share,
                 "plain_words": n,
@@ -313,24 +347,35 @@ def _rule(f: dict, before: int | None) -> int:
     return ANSWER
 
 
+_FLAGS = itemgetter("refuses", "around", "contrast", "last", "first", "stopped", "dangling", "prose", "bullet", "rare_end")
+
+
 def _features(f: dict) -> list[int]:
     """Indexes of the active features: told facts first, hashed words behind them."""
-    grade = lambda x: min(4, int(x * 5))
-    on = [0, 1 + grade(f["echo"]), 6 + grade(f["covers"]), 11 + grade(f["foreign"])]
-    flags = ["refuses", "around", "contrast", "last", "first", "stopped", "dangling", "prose", "bullet", "rare_end"]
-    on += [16 + i for i, k in enumerate(flags) if f[k]]
+    echo, covers, foreign, few = f["echo"], f["covers"], f["foreign"], f["plain_words"] < 3
+    on = [0, 1 + min(4, int(echo * 5)), 6 + min(4, int(covers * 5)), 11 + min(4, int(foreign * 5))]
+    on += compress(range(16, 26), _FLAGS(f))
+    echoes, cut = echo >= 0.85 and covers >= 0.8, f["last"] and not f["stopped"]
     both = [
-        f["refuses"] and not f["contrast"], f["last"] and not f["stopped"] and f["dangling"], f["last"] and not f["stopped"] and f["prose"] and not f["bullet"],
-        f["last"] and f["rare_end"], f["foreign"] >= 0.6 and f["plain_words"] >= 3 and not f["refuses"] and not f["around"] and not (f["echo"] >= 0.85 and f["covers"] >= 0.8), f["echo"] >= 0.85 and f["covers"] >= 0.8, f["plain_words"] < 3, f["last"] and f["stopped"],
+        f["refuses"] and not f["contrast"], cut and f["dangling"], cut and f["prose"] and not f["bullet"], f["last"] and f["rare_end"],
+        foreign >= 0.6 and not few and not f["refuses"] and not f["around"] and not echoes, echoes, few, f["last"] and f["stopped"],
     ]
-    on += [30 + i for i, k in enumerate(both) if k]
-    on += sorted({_hashed(w) for w in f["low"]})
+    on += compress(range(30, 38), both)
+    on += sorted(set(map(_HASHED.__getitem__, f["low"])))
     return on
 
 
-@lru_cache(maxsize=100_000)
-def _hashed(word: str) -> int:
-    return 64 + zlib.crc32(word.encode()) % (HASHED - 64)
+class _Hashes(dict):
+    """Features of words met so far, at most 100,000."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        self[word] = found = 64 + zlib.crc32(word.encode()) % (HASHED - 64)
+        return found
+
+
+_HASHED = _Hashes()
 
 
 class PairTagger:
@@ -352,16 +397,33 @@ class PairTagger:
     def facts(self, question: str, answer: str) -> list[dict]:
         return _facts(question, language(question) or "en", clauses(said(answer)), self.vocab)
 
-    def defect(self, question: str | None, answer: str | None) -> str | None:
-        """The defect of a pair, or None."""
-        facts = self.facts(question or "", answer or "")
-        if not facts:
+    def defects(self, pairs: Iterable[tuple[str | None, str | None]], at_once: int = 20_000) -> Iterator[str | None]:
+        """The defect of each pair, or None; about ``at_once`` clauses are decoded together."""
+        pairs = iter(pairs)
+        while True:
+            sizes, seqs, held = [], [], 0
+            for question, answer in pairs:
+                facts = self.facts(question or "", answer or "")
+                sizes.append([f["words"] for f in facts])
+                seqs.append([_features(f) for f in facts])
+                held += len(facts)
+                if held >= at_once:
+                    break
+            if not seqs:
+                return
+            yield from map(self._defect, sizes, self.field.decode_all(seqs))
+
+    @staticmethod
+    def _defect(sizes: list[int], tags: list[int]) -> str | None:
+        """The defect of a pair by the words and tags of the clauses of its answer."""
+        if not tags:
             return "empty"
-        tags = self.field.decode([_features(f) for f in facts])
-        share = Counter()
-        for f, t in zip(facts, tags):
-            share[t] += f["words"]
-        total = sum(share.values())
+        if not any(tags):  # all are of the answer
+            return None
+        share = [0] * 5
+        for n, t in zip(sizes, tags):
+            share[t] += n
+        total = sum(share)
         if share[FOREIGN] >= 0.5 * total:
             return "other_language"
         if share[REFUSAL] >= 0.5 * (total - share[ECHO]) and share[REFUSAL]:
@@ -397,7 +459,7 @@ def defective_pairs(runs: DataFrame, run_id: str = "output_id", question: str =
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = pickle.loads(shared.value)
         for pdf in batches:
-            out = pd.DataFrame({run_id: pdf.i, "defect": [tagger.defect(q, a) for q, a in zip(pdf.q, pdf.a)]})
+            out = pd.DataFrame({run_id: pdf.i, "defect": list(tagger.defects(zip(pdf.q, pdf.a)))})
             yield out[out.defect.notna()]
 
     return rows.mapInPandas(tag, f"`{run_id}` {kind}, defect string").distinct()

@@ -1,8 +1,13 @@
+import re
+import sys
+from itertools import product
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmill.llm.crf import ChainCRF
-from quillmill.llm.pairs import clauses, defective_pairs, language, said
+from quillmill.llm.pairs import COUNTED, PairTagger, Vocabulary, clauses, defective_pairs, language, said, word_lists
 from tests.conftest import DATA
 
 SCHEMA = "output_id long, question string, answer string, error string"
@@ -85,3 +90,45 @@ def test_words_are_counted_over_all_runs(spark):
     cut = [(40_000_000 + i, QUESTION_EN, f"Pavtac: {w}", None) for i, w in enumerate(rare[:10])]
     got = defective_pairs(base.unionByName(spark.createDataFrame(rows + whole + cut, SCHEMA)), sample_rows=500).filter("output_id >= 20000000").collect()
     assert not got
+
+
+def test_sequences_decoded_together_equal_enumeration():
+    rng = np.random.default_rng(3)
+    crf = ChainCRF(9, 3)
+    crf.emit, crf.move = rng.standard_normal((9, 3)), rng.standard_normal((3, 3))
+    seqs = [[sorted({0, *map(int, rng.integers(1, 9, 4))}) for _ in range(n)] for n in [2, 0, 5, 1, 3, 5, 0, 1, 4, 2]]
+    for seq, got in zip(seqs, crf.decode_all(seqs), strict=True):
+        score = lambda p: sum(crf.emit[f, k].sum() for f, k in zip(seq, p)) + sum(crf.move[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        assert tuple(got) == max(product(range(3), repeat=len(seq)), key=score)
+    assert crf.decode_all([]) == [] and crf.decode_all([[]]) == [[]]
+
+
+def _passes(work) -> int:
+    """Calls of compiled patterns, each a pass over a text, and decodings."""
+    found = 0
+
+    def count(frame, event, arg):
+        nonlocal found
+        found += (event == "c_call" and isinstance(getattr(arg, "__self__", None), re.Pattern)) or (event == "call" and frame.f_code is ChainCRF.scores.__code__)
+
+    sys.setprofile(count)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return found
+
+
+def test_a_pair_takes_few_passes(spark):
+    rows = spark.read.parquet(f"{DATA}/raw_outputs.parquet").filter("error is null and question is not null").select("question", "answer").orderBy("output_id").limit(200).collect()
+    tagger = PairTagger(rows, Vocabulary(pd.DataFrame({"word": ["the"], **{k: [1] for k in COUNTED}}), {k: 1.0 for k in COUNTED}))
+    got = []
+    assert _passes(lambda: got.extend(tagger.defects(rows))) <= 22 * len(rows)
+    assert got == [d for r in rows for d in tagger.defects([r])]
+    assert list(tagger.defects(rows, at_once=7)) == got
+    assert _passes(lambda: word_lists(rows)) <= 10 * len(rows)
+
+
+def test_clauses_keep_stops_and_abbreviations():
+    assert clauses("He left.) Then St. Anne\nvol. 3 came… “Yes?” no") == ["He left.", "Then St. Anne", "vol. 3 came…", "“Yes?", "no"]
+    assert clauses("One.\n\nTwo \n three.four! ") == ["One.", "Two", "three.four!"]
