@@ -10,6 +10,7 @@ with that of the other shards, in as many rounds as there are shards left.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, combinations_with_replacement
@@ -27,6 +28,9 @@ CAPACITY = 2048
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Public pattern that splits text before the merges of that file. (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A word with the whitespace before it. No match of the pattern above goes on from a word into whitespace, so tokens of words
+#: add up to those of the text. Four controls count as whitespace in Python only.
+WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
 
 @lru_cache(maxsize=4)
@@ -42,6 +46,31 @@ def token_count(text: str, enc) -> int:
     return len(enc.encode_ordinary(text))
 
 
+class WordCounts(dict):
+    """Tokens of each word as ``WORD`` finds it, encoded once while it is kept; long words are not kept."""
+
+    def __init__(self, enc, most: int = 500_000, longest: int = 40):
+        super().__init__()
+        self.enc, self.most, self.longest = enc, most, longest
+
+    def __missing__(self, word: str) -> int:
+        n = token_count(word, self.enc)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
+        return n
+
+    def of(self, text: str) -> int:
+        """``token_count`` of a text."""
+        return sum(map(self.__getitem__, WORD.findall(text)))
+
+
+@lru_cache(maxsize=4)
+def word_counts(enc) -> WordCounts:
+    return WordCounts(enc)
+
+
 def cut_text(text: str, capacity: int, enc) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the parts of a text, each within the capacity, cut between words where it can be.
 
@@ -49,19 +78,25 @@ def cut_text(text: str, capacity: int, enc) -> list[tuple[int, int, int]]:
     """
     import regex
 
+    counts = word_counts(enc)
     parts, start, at, used = [], 0, 0, 0
-    for m in regex.finditer(PATTERN, text):
-        stack = [(m.start(), m.end())]
-        while stack:
-            a, b = stack.pop()
-            n = token_count(text[a:b], enc)
-            if n > capacity and b - a > 1:  # one word longer than a container
-                stack += [((a + b) // 2, b), (a, (a + b) // 2)]
-                continue
-            if used + n > capacity and at > start:
-                parts.append((start, at, used))
-                start, used = a, 0
-            at, used = b, used + n
+    for word in WORD.finditer(text):
+        n = counts[word[0]]
+        if used + n <= capacity:
+            at, used = word.end(), used + n
+            continue
+        for m in regex.finditer(PATTERN, word[0]):
+            stack = [(word.start() + m.start(), word.start() + m.end())]
+            while stack:
+                a, b = stack.pop()
+                n = token_count(text[a:b], enc)
+                if n > capacity and b - a > 1:  # one word longer than a container
+                    stack += [((a + b) // 2, b), (a, (a + b) // 2)]
+                    continue
+                if used + n > capacity and at > start:
+                    parts.append((start, at, used))
+                    start, used = a, 0
+                at, used = b, used + n
     if at > start:
         parts.append((start, at, used))
     return parts
@@ -77,7 +112,9 @@ class Packing:
         self.bins: list[set[int]] = []
         self.free: list[int] = []
         self.twos: dict[int, int] = {}
+        self.room = np.full(len(sizes), -1, dtype=np.int64)  # free tokens of each container, -1 of an empty one
         self._best_fit()
+        self.room = self.room[: len(self.bins)]
 
     def _best_fit(self) -> None:
         """Largest first, each into the fullest container that still takes it."""
@@ -103,12 +140,15 @@ class Packing:
 
     def _put(self, i: int, b: int) -> None:
         if self.home[i] >= 0:
-            self.bins[self.home[i]].discard(i)
-            self.free[self.home[i]] += int(self.size[i])
-            self.twos.pop(int(self.home[i]), None)
+            old = int(self.home[i])
+            self.bins[old].discard(i)
+            self.free[old] += int(self.size[i])
+            self.room[old] = self.free[old] if self.bins[old] else -1
+            self.twos.pop(old, None)
         self.home[i] = b
         self.bins[b].add(i)
         self.free[b] -= int(self.size[i])
+        self.room[b] = self.free[b]
         self.twos.pop(b, None)
 
     def least_bins(self) -> int:
@@ -116,24 +156,25 @@ class Packing:
 
     def improve(self) -> None:
         """Empties light containers until the bound on their number is met or none of them has an exchange left."""
-        stuck: set[int] = set()
+        open_ = np.ones(len(self.bins), dtype=bool)  # without those found to have no exchange
         moved = False
-        count = sum(map(bool, self.bins))
-        while count > self.least_bins():
-            light = min((b for b in range(len(self.bins)) if self.bins[b] and b not in stuck), key=lambda b: -self.free[b], default=None)
-            if light is None:
+        count, least = sum(map(bool, self.bins)), self.least_bins()
+        while count > least:
+            room = np.where(open_, self.room, -1)
+            light = int(np.argmax(room))
+            if room[light] < 1:  # what leaves a full container must go to a full one
                 if not moved:
                     break
                 moved = False
-                stuck.clear()
+                open_[:] = True
                 continue
             if not self._step(light):
-                stuck.add(light)
+                open_[light] = False
                 continue
             moved = True
             if not self.bins[light]:
                 count -= 1
-                stuck.clear()
+                open_[:] = True
 
     def _pair_sums(self, b: int) -> int:
         """Bits at the sizes that two items of a container add up to."""
@@ -148,20 +189,21 @@ class Packing:
 
     def _step(self, light: int) -> bool:
         """One move or exchange out of a light container into a fuller one; False if there is none."""
+        room_of = np.where(self.room <= self.room[light], self.room, -1)
+        room_of[light] = -1
+        if room_of.max(initial=-1) < 1:
+            return False
         own = sorted(self.bins[light], key=lambda i: -self.size[i])
-        free = np.array(self.free)
-        fuller = (free <= free[light]) & np.fromiter(map(len, self.bins), np.int64, len(free)).astype(bool)
-        fuller[light] = False
-        room_of = np.where(fuller, free, -1)
         for i in own:  # move
             if room_of.max(initial=-1) < self.size[i]:
                 continue
             ok = np.flatnonzero(room_of >= self.size[i])
-            self._put(i, int(ok[np.argmin(free[ok])]))
+            self._put(i, int(ok[np.argmin(room_of[ok])]))
             return True
         room = room_of[self.home]
+        with_room = np.flatnonzero(room > 0)
         most = np.full(self.capacity + 1, -1)  # the most room beside an item of each size
-        np.maximum.at(most, self.size, room)
+        np.maximum.at(most, self.size[with_room], room[with_room])
         alike: dict[int, list[int]] = {}  # sizes add up to the capacity at most, so few differ
         for i in own:
             alike.setdefault(int(self.size[i]), []).append(i)
@@ -170,12 +212,13 @@ class Packing:
             if x is not y or len(x) > 1:
                 two = (x[0], y[0]) if x is not y else (x[0], x[1])
                 gives.setdefault(int(self.size[two[0]] + self.size[two[1]]), two)
-        sizes = np.arange(self.capacity + 1)
+        sizes = np.flatnonzero(most > 0)
+        most_of = most[sizes]
         for s, give in gives.items():  # one or two for one
             gain = s - sizes
-            ok = np.flatnonzero((gain > 0) & (gain <= most))
+            ok = np.flatnonzero((gain > 0) & (gain <= most_of))
             if len(ok):
-                z = int(ok[np.argmax(gain[ok] - most[ok])])
+                z = int(sizes[ok[np.argmax(gain[ok] - most_of[ok])]])
                 j = int(np.flatnonzero((self.size == z) & (room == most[z]))[0])
                 target = int(self.home[j])
                 self._put(j, light)
@@ -185,7 +228,7 @@ class Packing:
         for b in np.flatnonzero(room_of > 0).tolist():  # one for two
             sums = self._pair_sums(b)
             for s, x in alike.items():
-                low = max(0, s - int(free[b]))
+                low = max(0, s - int(room_of[b]))
                 if (sums >> low) & ((1 << (s - low)) - 1):
                     pairs = ((j, k) for j, k in combinations(self.bins[b], 2) if low <= self.size[j] + self.size[k] < s)
                     j, k = next(pairs)
@@ -212,10 +255,11 @@ def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capa
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(SparkFiles.get(name))
+        counts = word_counts(enc)
         for pdf in batches:
             rows = []
-            for d, t, tokens in zip(pdf.d, pdf.t, enc.encode_ordinary_batch(list(pdf.t), num_threads=1)):
-                n = len(tokens)
+            for d, t in zip(pdf.d, pdf.t):
+                n = counts.of(t)
                 parts = [(0, len(t), n)] if n <= capacity else cut_text(t, capacity, enc)
                 rows += [(d, k, len(parts), a, b - a, m) for k, (a, b, m) in enumerate(parts) if m]
             yield pd.DataFrame(rows, columns=["d", "piece", "pieces", "start", "length", "tokens"])

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm.packing import RANKS, Packing, cut_text, encoding, pack_texts, token_count
+from quillmill.llm.packing import RANKS, Packing, WordCounts, cut_text, encoding, pack_texts, token_count
 from tests.conftest import DATA
 
 
@@ -40,6 +40,44 @@ def test_cut_text_rebuilds_and_fits():
     assert all(n <= 256 and token_count(text[a:b], enc) <= 256 for a, b, n in parts)
 
 
+class _Counted:
+    """A tokenizer that notes what it encodes."""
+
+    def __init__(self):
+        self.enc, self.seen = encoding(RANKS), []
+
+    def encode_ordinary(self, text):
+        self.seen.append(text)
+        return self.enc.encode_ordinary(text)
+
+
+def test_repeated_words_are_encoded_once():
+    enc = _Counted()
+    text = "Đại Việt is a land. " * 2000
+    parts = cut_text(text, 2048, enc)
+    assert "".join(text[a:b] for a, b, _ in parts) == text and len(parts) > 1
+    assert sum(n for _, _, n in parts) == token_count(text, enc.enc)
+    assert len(enc.seen) < 10 + 10 * len(parts)
+
+
+def test_words_add_up_to_the_text():
+    enc, rng = encoding(RANKS), np.random.default_rng(3)
+    letters = [*"ab1'sé .,!\n\t\r \x1c\x1d\x1f\x85\u00a0\u2003\u3000\u200b\u0301ạ漢字😀٣²Ⅳ", "'s", "  ", "\n\n", " \n", "Việt", "don't"]
+    counts = WordCounts(enc, most=50, longest=6)  # dropped and refilled on the way
+    for n in rng.integers(0, 15, 3000):
+        text = "".join(rng.choice(letters, n))
+        assert counts.of(text) == token_count(text, enc), repr(text)
+    assert len(counts) <= 50 and max(map(len, counts)) <= 6
+
+
+def test_full_containers_are_not_searched(monkeypatch):
+    step, looked = Packing._step, []
+    monkeypatch.setattr(Packing, "_step", lambda self, light: looked.append(self.free[light]) or step(self, light))
+    p = Packing(np.array([10] * 300 + [6, 6, 6]), 10)  # 6 and 6 never meet
+    p.improve()
+    assert sum(map(bool, p.bins)) == 303 and looked and min(looked) > 0
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = pack_texts(docs, shard_items=60).toPandas()
